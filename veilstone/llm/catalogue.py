@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilstone.llm import confusables, encoding, packing, splitting
+from veilstone.llm import confusables, encoding, langid, packing, splitting
 from veilstone.runtime import table
 
 
@@ -17,6 +17,18 @@ def _looks(spark: SparkSession, d: str) -> DataFrame:
     return book.unionByName(results)
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "obfuscate_results")
+    model = langid.train(rows, "result_id", "text", "lang")
+    return langid.relabel(rows, "result_id", "text", "lang", model).select(F.col("id").alias("result_id"), "lang")
+
+
+def p2_segments(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "obfuscate_results")
+    model = langid.train(rows, "result_id", "text", "lang")
+    return langid.segment_languages(rows, "result_id", "text", model).distinct().withColumnRenamed("id", "result_id")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return confusables.same_looking(_looks(spark, d))
 
@@ -42,6 +54,8 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_segments": p2_segments,
     "p3_found": p3_found,
     "p3_forms": p3_forms,
     "p4_found": p4_found,
