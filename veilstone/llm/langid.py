@@ -29,7 +29,7 @@ TRAIN_CHARS = 4000
 #: Letters that make a segment decide by itself: alphabetic scripts, Chinese and Japanese.
 STRONG_LETTERS, STRONG_CJK = 14, 5
 #: Log-odds per segment, over the next language, that make it decide by itself.
-STRONG_ODDS = 8.0
+STRONG_ODDS = 20.0
 #: N-grams of several orders repeat the same evidence; log-odds are divided by this for the confidence.
 TEMPER = 3.0
 
@@ -66,7 +66,7 @@ def named_language(label: F.Column | str) -> F.Column:
 
 def _segments(text: str) -> list[tuple[int, int, str]]:
     """``(start, end, what is scored)`` of each sentence or line; what has no letters is left out."""
-    masked = _MASK.sub(lambda m: " " * (m.end() - m.start()), text)
+    masked = _MASK.sub(lambda m: "\x01" * (m.end() - m.start()), text)
     out = []
     for m in _SEGMENT.finditer(masked):
         if _LETTER.search(s := m[0]):
@@ -176,7 +176,8 @@ def _judge(segments: list[tuple[int, int, str]], scores: np.ndarray) -> tuple[li
     for (_, _, s), o in zip(segments, odds):
         cjk = len(_CJK.findall(s))
         words = _WORD.findall(s)
-        strong.append(bool(o >= STRONG_ODDS and (cjk >= STRONG_CJK or (len(words) >= 3 and sum(map(len, words)) >= STRONG_LETTERS))))
+        small = {w for w in words if 2 <= len(w) <= 24 and not w.isupper()} or {w for w in words if 2 <= len(w) <= 24 and len(words) >= 4}  # not ids and repeated letters
+        strong.append(bool(o >= STRONG_ODDS and (cjk >= STRONG_CJK or (len(small) >= 3 and sum(map(len, small)) >= STRONG_LETTERS))))
     allowed = sorted({int(b) for b, k in zip(best, strong) if k})
     sentence = bool(allowed)
     if not allowed:
