@@ -56,6 +56,7 @@ def encoder(path: str):
 def _blocks(chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
+        import zstandard
 
         find = regex.compile(pattern()).findall
 
@@ -63,8 +64,9 @@ def _blocks(chars: int):
             coded = pa.array(itertools.chain.from_iterable(found), pa.string()).dictionary_encode()
             lens = np.fromiter(map(len, found), np.int32, len(found))
             codes = coded.indices.to_numpy().astype(np.int32)
-            name = hashlib.blake2b(np.asarray(ids, np.int64).tobytes() + lens.tobytes() + codes.tobytes(), digest_size=12).hexdigest()
-            cols = [pa.array([name]), pa.array([ids], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int32())), pa.array([codes.tobytes()], pa.binary()), pa.array([coded.dictionary.to_pylist()], pa.list_(pa.string()))]
+            name = int.from_bytes(hashlib.blake2b(np.asarray(ids, np.int64).tobytes() + lens.tobytes() + codes.tobytes(), digest_size=8).digest(), "little", signed=True)
+            packed = zstandard.compress(codes.tobytes())
+            cols = [pa.array([name], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int32())), pa.array([packed], pa.binary()), pa.array([coded.dictionary.to_pylist()], pa.list_(pa.string()))]
             return pa.RecordBatch.from_arrays(cols, ["block", "doc_ids", "lens", "codes", "words"])
 
         ids, found, size = [], [], 0
@@ -82,30 +84,37 @@ def _blocks(chars: int):
     return run
 
 
+def _width(path: str) -> str:
+    """Bytes that an id of the vocabulary needs in a shuffle."""
+    return "<u2" if max(_ranks(path).values()) < 1 << 16 else "<u4"
+
+
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = encoder(path).encode_ordinary
+        one, kind = encoder(path).encode_ordinary, _width(path)
         for b in batches:
-            ids = [one(w) for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+            ids = [np.array(one(w), kind).tobytes() for w in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["word", "ids"])
 
     return run
 
 
-def _assemble(key, left: pa.Table, right: pa.Table) -> pa.Table:
-    right = right.combine_chunks()
+def _assemble(left: pa.Table, right: pa.Table, kind: str) -> pa.Table:
+    import zstandard
+
     n = right.num_rows
     out_ids, out_lists = [], []
     if n:
-        lists = right.column("ids").chunk(0)
+        packed = right.column("ids").combine_chunks()
         spot = np.empty(n, np.int64)
         spot[right.column("idx").to_numpy()] = np.arange(n)
-        offs = lists.offsets.to_numpy()
-        flat = lists.values.to_numpy()
+        width = np.dtype(kind).itemsize
+        offs = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + n + 1] // width
+        flat = np.frombuffer(packed.buffers()[2], kind, count=int(offs[-1]))
         size = np.diff(offs)[spot]
         first = offs[:-1][spot]
     for row in left.select(["doc_ids", "lens", "codes"]).to_pylist()[:1]:  # one row of a name: the name is a hash of its content
-        codes = np.frombuffer(row["codes"], np.int32)
+        codes = np.frombuffer(zstandard.decompress(row["codes"]), np.int32)
         lens = np.asarray(row["lens"], np.int64)
         if len(codes):
             each = size[codes]
@@ -116,7 +125,7 @@ def _assemble(key, left: pa.Table, right: pa.Table) -> pa.Table:
         else:
             values, bounds = np.empty(0, np.int32), np.zeros(len(lens) + 1, np.int64)
         out_ids.append(pa.array(row["doc_ids"], pa.int64()))
-        out_lists.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, pa.int32())))
+        out_lists.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.astype(np.int32), pa.int32())))
     return pa.table({"doc_id": pa.chunked_array(out_ids, pa.int64()), "ids": pa.chunked_array(out_lists, pa.list_(pa.int32()))})
 
 
@@ -128,12 +137,17 @@ def encode_corpus(documents: DataFrame, vocabulary: str | None = None, id_col: s
     """
     path = vocabulary or vocabulary_path()
     src = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = cut(src.mapInArrow(_blocks(block_chars), "block string, doc_ids array<long>, lens array<int>, codes binary, words array<string>"))
+    blocks = cut(src.mapInArrow(_blocks(block_chars), "block long, doc_ids array<long>, lens array<int>, codes binary, words array<string>"))
     words = blocks.select(F.col("block").alias("home"), F.posexplode("words").alias("idx", "word"))
-    distinct = words.select("word").distinct().mapInArrow(_encode(path), "word string, ids array<int>")
+    distinct = words.select("word").distinct().mapInArrow(_encode(path), "word string, ids binary")
     back = words.join(distinct, "word").select("home", "idx", "ids")
     skeleton = blocks.select("block", "doc_ids", "lens", "codes")
-    return skeleton.groupBy("block").cogroup(back.groupBy("home")).applyInArrow(_assemble, "doc_id long, ids array<int>")
+    kind = _width(path)
+
+    def together(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _assemble(left, right, kind)
+
+    return skeleton.groupBy("block").cogroup(back.groupBy("home")).applyInArrow(together, "doc_id long, ids array<int>")
 
 
 def decode_ids(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
