@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilstone.llm import confusables, encoding, langid, packing, splitting
+from veilstone.llm import confusables, encoding, langid, names, packing, splitting
 from veilstone.runtime import table
 
 
@@ -45,6 +45,12 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_long(table(spark, d, "obfuscate_results"), "result_id", "text").withColumnRenamed("id", "result_id")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    book = table(spark, d, "codebook").select(F.lit("codebook").alias("source_table"), F.col("session_id").cast("string").alias("grp"), F.col("entry_id").alias("id"), F.col("original").alias("text"))
+    spans = names.first_spans(table(spark, d, "spans")).withColumn("grp", F.col("grp").cast("string"))
+    return names.same_names(book.unionByName(spans), names.place_names(table(spark, d, "places")), names.given_names(table(spark, d, "given_names")))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, d, "documents"))
 
@@ -60,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_forms": p3_forms,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p5_found": p5_found,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
 }
