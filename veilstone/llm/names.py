@@ -23,6 +23,8 @@ from veilstone.runtime import cut
 
 #: Letters of a suffix key.
 SUFFIX = 4
+#: Ratio of the longest common subsequence, twice its length over both lengths, from which tokens of two errors are close.
+CLOSE = 0.85
 #: Names of one group that may share a suffix before it is refined by the other tokens.
 COMMON = 400
 
@@ -35,7 +37,7 @@ debbie deborah|deb deborah|dot dorothy|dolly dorothy|ellie eleanor|nell eleanor|
 larry lawrence|len leonard|leo leonard|lenny leonard|matt matthew|nate nathaniel|nat nathaniel|nick nicholas|pat patricia|trish patricia|patty patricia|phil philip|becky rebecca|becca rebecca|sam samuel
 steve stephen|steph stephane stephen|theo theodore|tess theresa|terry theresa|tim timothy|vicky victoria|vince vincent|ginny virginia|zach zachary|zack zachary|liv olivia|ollie olivia|mimi miriam
 pepe jose|paco francisco|nacho ignacio inacio|lola dolores|concha concepcion conceicao|charo rosario|lupe guadalupe|chus jesus|moncho ramon|bego begona|moni monica|basti sebastian|sebas sebastian|wolf wolfgang
-uli ulrike|max maximilian|maxi maximilian|heinz heinrich|hans johannes|jochen joachim|achim joachim|elli elisabeth|sepp joseph|ze joao jose|lu lucia luisa|fredo frederique|fanfan francois|gus augustus
+uli ulrike|max maximilian|maxi maximilian|heinz heinrich|hans johannes|hannes johannes|jochen joachim|achim joachim|elli elisabeth|sepp joseph|ze joao jose|lu lucia luisa|fredo frederique|fanfan francois|gus augustus
 """
 
 # Legal forms, each with the spellings it is written in.
@@ -71,7 +73,7 @@ PARSED = "norm string, kind string, toks array<string>, inits string, legal stri
 @functools.cache
 def _nicknames() -> dict[str, tuple[str, ...]]:
     rows = [x.split() for x in NICKNAMES.replace("\n", "|").split("|") if x.strip()]
-    return {nick: tuple(full) for nick, *full in rows}
+    return {fold(nick): tuple(map(fold, full)) for nick, *full in rows}
 
 
 @functools.cache
@@ -95,10 +97,15 @@ def _sounds() -> tuple[dict[str, str], frozenset[str]]:
     return sound | {"歐": "ou", "陽": "yang", "司": "ssu", "馬": "ma"}, frozenset(slips)
 
 
+def bare(token: str) -> str:
+    """Lower case without accents."""
+    plain = "".join(c for c in unicodedata.normalize("NFKD", token.lower()) if not unicodedata.combining(c))
+    return plain.replace("ß", "ss").replace("ø", "o").replace("æ", "ae").replace("ł", "l")
+
+
 def fold(token: str) -> str:
     """Lower case without accents; ae, oe and ue count as a, o and u."""
-    plain = "".join(c for c in unicodedata.normalize("NFKD", token.lower()) if not unicodedata.combining(c))
-    return re.sub("([aou])e", r"\1", plain.replace("ß", "ss").replace("ø", "o").replace("æ", "a").replace("ł", "l"))
+    return re.sub("([aou])e", r"\1", bare(token))
 
 
 def _parse_chinese(text: str) -> dict | None:
@@ -147,14 +154,14 @@ def parse(text: str) -> dict | None:
             inits += fold(x.replace(".", ""))
         else:
             dotted = "." if x.endswith(".") and len(raw) > 1 else ""
-            toks.append(fold(x.rstrip(".")).replace("-", "").replace("'", "").replace("’", "") + dotted)
+            toks.append(re.sub("['’.-]", "", bare(x)) + dotted)
     words = [t for t in toks if t != "&"]
     if not words or (len(words) == 1 and not inits and (legal or len(words[0]) < 3)):
         return None
     kind = "single" if len(words) == 1 and not inits else "name"
     acr = "".join(t[0] for t in words) if len(words) >= 3 and not inits else ""
-    keys = ["s:" + t.rstrip(".")[-SUFFIX:] for t in words if len(t) >= 3] + ["a:" + acr] * bool(acr)
-    return {"norm": " ".join(sorted(toks)) + "|" + inits + "/" + legal, "kind": kind, "toks": toks, "inits": inits, "legal": legal, "acr": acr, "keys": list(dict.fromkeys(keys))}
+    keys = ["s:" + fold(t.rstrip("."))[-SUFFIX:] for t in words if len(t) >= 3] + ["a:" + acr] * bool(acr)
+    return {"norm": " ".join(sorted(map(fold, toks))) + "|" + inits + "/" + legal, "kind": kind, "toks": toks, "inits": inits, "legal": legal, "acr": acr, "keys": list(dict.fromkeys(keys))}
 
 
 def lcs(a: str, b: str) -> int:
@@ -171,7 +178,7 @@ def lcs(a: str, b: str) -> int:
 
 def _token(a: str, b: str, known: frozenset[str]) -> str | None:
     """How two tokens fit: equal, nick, short (abbreviated) or slip (one typing error); else null."""
-    if a == b:
+    if a == b or (fold_a := fold(a)) == (fold_b := fold(b)):
         return "equal"
     dot_a, dot_b = a.endswith("."), b.endswith(".")
     if dot_a or dot_b:
@@ -182,17 +189,19 @@ def _token(a: str, b: str, known: frozenset[str]) -> str | None:
         rest = iter(long)
         return "short" if len(short) >= 2 and short[0] == long[0] and all(c in rest for c in short) else None
     nick = _nicknames()
-    if nick.keys() & {a, b} and set(nick.get(a, (a,))) & set(nick.get(b, (b,))):
+    if nick.keys() & {fold_a, fold_b} and set(nick.get(fold_a, (fold_a,))) & set(nick.get(fold_b, (fold_b,))):
         return "nick"
-    if a in known and b in known:
+    if fold_a in known and fold_b in known:
         return None
-    longer = max(len(a), len(b))
-    if longer < 4 or abs(len(a) - len(b)) > 1:
+    longer, apart = max(len(a), len(b)), abs(len(a) - len(b))
+    if longer < 4 or apart > 2:
         return None
-    return "slip" if lcs(a, b) / longer >= 1 - 1 / longer - 1e-9 else None
+    common = lcs(a, b)
+    return "slip" if apart < 2 and common >= longer - 1 or 2 * common >= CLOSE * (len(a) + len(b)) else None
 
 
 def _initial_fits(initial: str, token: str) -> bool:
+    token = fold(token)
     return any(x.startswith(initial) for x in (token, *_nicknames().get(token, ())))
 
 
@@ -235,7 +244,7 @@ def same(a: dict, b: dict, known: frozenset[str] = frozenset()) -> str | None:
         if part["toks"][0] not in whole["toks"] or len(whole["toks"]) > 2 or whole["legal"]:
             return None
         rest = [t for t in whole["toks"] if t != part["toks"][0]]
-        other = _nicknames().get(rest[0], (rest[0],))[0][0] if rest else whole["inits"][:1]
+        other = _nicknames().get(fold(rest[0]), rest)[0][0] if rest else whole["inits"][:1]
         return f"owner:{other}"
     ta, tb, ia, ib = a["toks"], b["toks"], a["inits"], b["inits"]
     if len(ta) == len(tb):
@@ -289,7 +298,7 @@ def _is_place(p: dict, places: frozenset[str]) -> bool:
     if p["kind"] not in ("name", "single") or p.get("legal") or p.get("inits"):
         return False
     full = {"st": "saint", "ste": "sainte", "ft": "fort", "mt": "mount", "n": "north", "w": "west", "pt": "port", "jct": "junction", "lk": "lake"}
-    name = " ".join(full.get(t.rstrip("."), t.rstrip(".")) for t in p["toks"])
+    name = fold(" ".join(full.get(t.rstrip("."), t.rstrip(".")) for t in p["toks"]))
     return name in places or any(abs(len(x) - len(name)) <= 1 and x[0] == name[0] and lcs(x, name) >= max(len(x), len(name)) - 1 for x in places)
 
 
@@ -353,7 +362,7 @@ def same_names(records: DataFrame, places: frozenset[str] = frozenset(), known:
     owned = found.where("verdict <> 'yes'").withColumn("part", F.when(F.col("kind_a").isin(*part_kinds), F.col("norm_a")).otherwise(F.col("norm_b")))
     unique = owned.groupBy(*key, "part").agg(F.countDistinct("verdict").alias("n")).where("n = 1")
     owned = owned.join(unique.select(*key, "part"), [*key, "part"], "left_semi")
-    linked = sure.unionByName(owned.select(*key, "norm_a", "norm_b")).distinct()
+    linked = _through_full_names(sure, found).unionByName(owned.select(*key, "norm_a", "norm_b")).distinct()
 
     a = members.select(*key, F.col("norm").alias("norm_a"), F.col("id").alias("x"))
     b = members.select(*key, F.col("norm").alias("norm_b"), F.col("id").alias("y"))
@@ -365,6 +374,21 @@ def same_names(records: DataFrame, places: frozenset[str] = frozenset(), known:
     return across.unionByName(within).select("source_table", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
+def _through_full_names(sure: DataFrame, found: DataFrame) -> DataFrame:
+    """``sure`` links and those between two forms that are linked to the same full name.
+
+    A full name is Chinese, or has no initials and stands between names in letters only: forms with initials,
+    acronyms and romanisations may stand for several people and link nobody to anybody.
+    """
+    key = ["source_table", "grp"]
+    yes = found.where("verdict = 'yes'")
+    ways = yes.select(*key, F.explode(F.array(F.struct(F.col("norm_a").alias("hub"), F.col("kind_a").alias("k"), F.col("norm_b").alias("end"), F.col("kind_b").alias("e")), F.struct(F.col("norm_b").alias("hub"), F.col("kind_b").alias("k"), F.col("norm_a").alias("end"), F.col("kind_a").alias("e")))).alias("w")).select(*key, "w.*")
+    full = (F.col("k") == "zperson") | ((F.col("k") == "name") & F.col("hub").contains("|/") & F.col("hub").contains(" ") & (F.col("e") != "zperson")) | ((F.col("k") == "name") & F.col("hub").rlike(r"\|/.") & (F.col("e") != "zperson"))
+    ways = ways.where(full)
+    two = ways.select(*key, "hub", F.col("end").alias("norm_a")).join(ways.select(*key, "hub", F.col("end").alias("norm_b")), [*key, "hub"]).where("norm_a < norm_b").select(*key, "norm_a", "norm_b")
+    return sure.unionByName(two).distinct()
+
+
 def first_spans(spans: DataFrame) -> DataFrame:
     """``(source_table, grp, id, text)``: the first span of each exact text in its document."""
     once = spans.where("doc_id is not null and text is not null").select("doc_id", "text", "span_start", "span_id")
