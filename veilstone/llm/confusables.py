@@ -34,22 +34,26 @@ UNSEEN = "͏ᅟᅠ឴឵ㅤﾠ" + "".join(map(chr, (*range(0x180B, 0x180F), *ran
 FOUND_SCHEMA = "source_table string, id_a long, id_b long"
 
 
+#: Characters beyond the basic plane: rare, and a class that holds them isn't compiled to a bitmap.
+_HIGH = re.compile("[\U00010000-\U0010ffff]")
+
+
 @functools.cache
 def _prototypes() -> tuple[re.Pattern, dict[str, str]]:
-    """Pattern of all characters that are replaced or removed, and what each becomes."""
+    """Pattern of the characters of the basic plane that are replaced or removed, and what each character becomes."""
     table = {x: line[0] for line in LOOKALIKES.replace("\n", "|").split("|") if line for x in line[2:]}
     table |= dict.fromkeys(HYPHENS, "-") | dict.fromkeys(UNSEEN, "") | {" ": " "}
     table |= {c: "" for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.category(c) == "Cf"}
-    return re.compile("[" + re.escape("".join(table)) + "]"), table
+    return re.compile("[" + re.escape("".join(c for c in table if c <= "\uffff")) + "]"), table
 
 
 def skeleton(text: str | None) -> str | None:
     """The skeleton of one string; null stays null, ASCII is its own skeleton."""
     if text is None or text.isascii():
         return text
-    pattern, table = _prototypes()
-    plain = unicodedata.normalize("NFKD", text)
-    return unicodedata.normalize("NFKD", pattern.sub(lambda m: table[m[0]], plain))
+    low, table = _prototypes()
+    plain = low.sub(lambda m: table[m[0]], unicodedata.normalize("NFKD", text))
+    return unicodedata.normalize("NFKD", _HIGH.sub(lambda m: table.get(m[0], m[0]), plain))
 
 
 def skeleton_column(text: F.Column | str) -> F.Column:
