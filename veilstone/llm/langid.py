@@ -30,6 +30,8 @@ TRAIN_CHARS = 4000
 STRONG_LETTERS, STRONG_CJK = 14, 5
 #: Log-odds per segment, over the next language, that make it decide by itself.
 STRONG_ODDS = 20.0
+#: Log-odds from which a training segment is held to be in another language than its row's label.
+FOREIGN_ODDS = 40.0
 #: N-grams of several orders repeat the same evidence; log-odds are divided by this for the confidence.
 TEMPER = 3.0
 
@@ -42,12 +44,12 @@ NOTATIONS = {
 # Labels that name no language.
 NO_LANGUAGE = ("", "und", "unknown", "mul", "mixed", "mis", "zxx", "none", "null", "n/a", "na", "other", "auto", "?", "-")
 
-_CODE = r"\[[A-Z]+_[A-Z]+\]"
-_MASK = re.compile(_CODE + r"|https?://\S+|\S+@\S+|<[^<>\s]{1,12}>|[^\s,.;:!?　-ヿ㐀-鿿豈-﫿！-～]*\d[^\s　-ヿ㐀-鿿豈-﫿]*|\b(?:TRACE|DEBUG|INFO|NOTICE|WARN|WARNING|ERROR|FATAL|CRITICAL)\b|(?m:^\s*(?:From|To|Cc|Bcc|Re|Fwd|Fw|Subject|Date|Sent|Reply-To)\s*:)")
+_MASK = re.compile(r"\[[A-Z]+_[A-Z]+\]|<[^<>\s]{1,16}>")
+_LINK = re.compile(r"https?://\S+|[^\s@]+@\S+")
 _SEGMENT = re.compile(r"[^\s.!?。！？；;．][^\n\r  .!?。！？；;．]*(?:[.!?;．]+(?![\s​-‍⁠﻿]|$)[^\n\r  .!?。！？；;．]*)*[.!?。！？；;．]*")
-_CJK = re.compile("[ぁ-ヿ㐀-鿿豈-﫿⼀-⿟]")
 _LETTER = re.compile(r"[^\W\d_]")
-_WORD = re.compile(r"[^\W\d_]+")
+#: Runs of letters that touch no digit: pieces of ids are no words.
+_WORD = re.compile(r"(?<![\w+/=])[^\W\d_]{2,}(?![\w+/=])|[぀-ヿ㐀-鿿豈-﫿⼀-⿟]+")
 
 SEGMENT_SCHEMA = "id long, segment_start int, segment_end int, lang string, confidence double"
 
@@ -67,6 +69,8 @@ def named_language(label: F.Column | str) -> F.Column:
 def _segments(text: str) -> list[tuple[int, int, str]]:
     """``(start, end, what is scored)`` of each sentence or line; what has no letters is left out."""
     masked = _MASK.sub(lambda m: "\x01" * (m.end() - m.start()), text)
+    if "@" in masked or "://" in masked:
+        masked = _LINK.sub(lambda m: "\x01" * (m.end() - m.start()), masked)
     out = []
     for m in _SEGMENT.finditer(masked):
         if _LETTER.search(s := m[0]):
@@ -76,7 +80,7 @@ def _segments(text: str) -> list[tuple[int, int, str]]:
 
 def _features(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(bucket of each n-gram, where each part's n-grams begin, rows of the parts that have any)``."""
-    joined = skeleton("\n".join(re.sub(r"\s+", " ", p) for p in parts)).lower()
+    joined = skeleton("\n".join(parts)).lower()
     text = np.frombuffer(("\n" + joined + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
     brk = text == 10
     own = np.cumsum(brk) - 1
@@ -138,8 +142,8 @@ def _matrix(parts: list[str], labels: np.ndarray, alpha: float = 0.05) -> np.nda
 def fit(labelled: list[tuple[str, str]]) -> np.ndarray:
     """Log-probabilities, buckets by languages, from ``(language, text)``; labels may be partly wrong.
 
-    A first model is fitted to all segments under their row's label; segments that it puts in another
-    language (wrong labels, mixed texts) are left out of the second.
+    A first model is fitted to all segments under their row's label; segments that it clearly puts in
+    another language (wrong labels, mixed texts) are left out of the second.
     """
     parts, labels = [], []
     for lang, text in labelled:
@@ -149,7 +153,9 @@ def fit(labelled: list[tuple[str, str]]) -> np.ndarray:
     y = np.asarray(labels, np.int64)
     matrix = _matrix(parts, y)
     if len(parts):
-        keep = np.flatnonzero(_score(parts, matrix).argmax(1) == y)
+        scores = _score(parts, matrix)
+        against = scores.max(1) - scores[np.arange(len(y)), y]
+        keep = np.flatnonzero(against < FOREIGN_ODDS)
         matrix = _matrix([parts[i] for i in keep], y[keep])
     return matrix
 
@@ -174,14 +180,17 @@ def _judge(segments: list[tuple[int, int, str]], scores: np.ndarray) -> tuple[li
     best, odds = scores.argmax(1), top[:, -1] - top[:, -2]
     strong = []
     for (_, _, s), o in zip(segments, odds):
-        cjk = len(_CJK.findall(s))
+        if o < STRONG_ODDS:
+            strong.append(False)
+            continue
         words = _WORD.findall(s)
-        small = {w for w in words if 2 <= len(w) <= 24 and not w.isupper()} or {w for w in words if 2 <= len(w) <= 24 and len(words) >= 4}  # not ids and repeated letters
-        strong.append(bool(o >= STRONG_ODDS and (cjk >= STRONG_CJK or (len(small) >= 3 and sum(map(len, small)) >= STRONG_LETTERS))))
+        cjk = sum(len(w) for w in words if w[0] > "\u2eff")
+        small = {w for w in words if len(w) <= 24 and not w.isupper()} or {w for w in words if len(w) <= 24 and len(words) >= 4}  # not ids and repeated letters
+        strong.append(cjk >= STRONG_CJK or (len(small) >= 3 and sum(map(len, small)) >= STRONG_LETTERS))
     allowed = sorted({int(b) for b, k in zip(best, strong) if k})
     sentence = bool(allowed)
     if not allowed:
-        enough = [(len(_WORD.findall(s)) >= 2 or len(_CJK.findall(s)) >= 2) and o > 1 for (_, _, s), o in zip(segments, odds)]
+        enough = [o > 1 and (len(w := _WORD.findall(s)) >= 2 or sum(len(x) for x in w if x[0] > "\u2eff") >= 2) for (_, _, s), o in zip(segments, odds)]
         sentence = any(enough)
         allowed = [int(scores.sum(0).argmax())]
     langs, conf = [], []
