@@ -15,7 +15,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilstone.llm.confusables import skeleton
@@ -67,8 +67,6 @@ _CJK = re.compile("[㐀-鿿]")
 _ACRONYM = re.compile(r"(?:[A-Z]\.?){2,6}")
 _PARTICLES = {"and": "&", "und": "&", "et": "&", "y": "&", "e": "&", "&": "&"}
 
-PARSED = "norm string, kind string, toks array<string>, inits string, legal string, acr string, keys array<string>"
-
 
 @functools.cache
 def _nicknames() -> dict[str, tuple[str, ...]]:
@@ -99,6 +97,8 @@ def _sounds() -> tuple[dict[str, str], frozenset[str]]:
 
 def bare(token: str) -> str:
     """Lower case without accents."""
+    if token.isascii():
+        return token.lower()
     plain = "".join(c for c in unicodedata.normalize("NFKD", token.lower()) if not unicodedata.combining(c))
     return plain.replace("ß", "ss").replace("ø", "o").replace("æ", "ae").replace("ł", "l")
 
@@ -193,11 +193,13 @@ def _token(a: str, b: str, known: frozenset[str]) -> str | None:
         return "nick"
     if fold_a in known and fold_b in known:
         return None
-    longer, apart = max(len(a), len(b)), abs(len(a) - len(b))
-    if longer < 4 or apart > 2:
-        return None
-    common = lcs(a, b)
-    return "slip" if apart < 2 and common >= longer - 1 or 2 * common >= CLOSE * (len(a) + len(b)) else None
+    for x, y in {(a, b), (fold_a, fold_b)}:
+        longer, apart = max(len(x), len(y)), abs(len(x) - len(y))
+        if longer >= 4 and apart <= 2:
+            common = lcs(x, y)
+            if apart < 2 and common >= longer - 1 or 2 * common >= CLOSE * (len(x) + len(y)):
+                return "slip"
+    return None
 
 
 def _initial_fits(initial: str, token: str) -> bool:
@@ -268,27 +270,33 @@ def same(a: dict, b: dict, known: frozenset[str] = frozenset()) -> str | None:
     return None
 
 
-def _names(known_places: frozenset[str]):
-    fields = ("norm", "kind", "toks", "inits", "legal", "acr", "keys")
+def _pack(source: str, p: dict) -> str:
+    return "\t".join((source, p["kind"], p.get("legal", ""), p.get("inits", ""), p.get("acr", ""), p["norm"], *p["toks"]))
+
 
+def _unpack(form: str) -> dict:
+    source, kind, legal, inits, acr, norm, *toks = form.split("\t")
+    return {"source": source, "kind": kind, "legal": legal, "inits": inits, "acr": acr, "norm": norm, "toks": toks}
+
+
+def _names(known_places: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, dict | None] = {}
+        memo: dict[tuple[str, str], tuple[str, list[str]] | None] = {}
 
-        def of(text: str) -> dict | None:
-            if text not in memo:
+        def of(source: str, text: str) -> tuple[str, list[str]] | None:
+            if (source, text) not in memo:
                 if len(memo) > 200_000:
                     memo.clear()
                 p = parse(text)
-                memo[text] = None if p is None or _is_place(p, known_places) else {"inits": "", "legal": "", "acr": ""} | p
-            return memo[text]
+                memo[source, text] = None if p is None or _is_place(p, known_places) else (_pack(source, p), p["keys"])
+            return memo[source, text]
 
         for b in batches:
-            got = [of(t) for t in b.column("text").to_pylist()]
+            got = [of(s, t) for s, t in zip(b.column("source_table").to_pylist(), b.column("text").to_pylist())]
             keep = pa.array([i for i, p in enumerate(got) if p], pa.int32())
             rows = [p for p in got if p]
-            kinds = [pa.list_(pa.string()) if f in ("toks", "keys") else pa.string() for f in fields]
-            cols = [b.column(c).take(keep) for c in ("source_table", "grp", "id", "text")] + [pa.array([p[f] for p in rows], k) for f, k in zip(fields, kinds)]
-            yield pa.RecordBatch.from_arrays(cols, ["source_table", "grp", "id", "text", *fields])
+            cols = [b.column(c).take(keep) for c in ("g", "id")] + [pa.array([f for f, _ in rows], pa.string()), pa.array([k for _, k in rows], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(cols, ["g", "id", "form", "keys"])
 
     return run
 
@@ -299,7 +307,7 @@ def _is_place(p: dict, places: frozenset[str]) -> bool:
         return False
     full = {"st": "saint", "ste": "sainte", "ft": "fort", "mt": "mount", "n": "north", "w": "west", "pt": "port", "jct": "junction", "lk": "lake"}
     name = fold(" ".join(full.get(t.rstrip("."), t.rstrip(".")) for t in p["toks"]))
-    return name in places or any(abs(len(x) - len(name)) <= 1 and x[0] == name[0] and lcs(x, name) >= max(len(x), len(name)) - 1 for x in places)
+    return name in places or any(abs(len(x) - len(name)) <= 1 and (x[:2] == name[:2] or x[-2:] == name[-2:]) and lcs(x, name) >= max(len(x), len(name)) - 1 for x in places)
 
 
 def place_names(places: DataFrame) -> frozenset[str]:
@@ -314,83 +322,95 @@ def given_names(names: DataFrame) -> frozenset[str]:
 
 
 def _compare(known: frozenset[str]):
-    fields = ("norm", "kind", "toks", "inits", "legal", "acr")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            left, right = b.column("a").to_pylist(), b.column("b").to_pylist()
-            keep, verdict = [], []
-            for i, (x, y) in enumerate(zip(left, right)):
-                if v := same(x, y, known):
-                    keep.append(i)
-                    verdict.append(v)
-            at = pa.array(keep, pa.int32())
-            cols = [b.column(0).take(at), b.column(1).take(at)] + [pa.array([side[i][f] for i in keep], pa.string()) for side in (left, right) for f in ("norm", "kind")] + [pa.array(verdict, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, ["source_table", "grp", "norm_a", "kind_a", "norm_b", "kind_b", "verdict"])
-
-    _ = fields
+            out = []
+            for i, (x, y) in enumerate(zip(b.column("a").to_pylist(), b.column("b").to_pylist())):
+                p, q = _unpack(x), _unpack(y)
+                if v := same(p, q, known):
+                    out.append((i, p["norm"], p["kind"], q["norm"], q["kind"], v, p["source"]))
+            at, *cols = list(zip(*out)) or [[]] * 7
+            at = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(c).take(at) for c in ("g", "ids_a", "ids_b")] + [pa.array(c, pa.string()) for c in cols], ["g", "ids_a", "ids_b", "norm_a", "kind_a", "norm_b", "kind_b", "verdict", "source_table"])
+
     return run
 
 
+def _candidates(forms: DataFrame, common: int) -> DataFrame:
+    """``(g, a, ids_a, b, ids_b)``: pairs of forms of one group that share a suffix.
+
+    Blocks of more than ``common`` forms are refined: their forms must also agree in the initial of
+    another token, or have no other token to compare.
+    """
+    blocks = forms.select("g", F.explode("keys").alias("key"), "form", "ids").withColumn("k", F.xxhash64("key"))
+    hot = blocks.groupBy("g", "k").agg(F.count("*").alias("n")).where(F.col("n") > common).select("g", "k")
+
+    def pairs(side: DataFrame, on: list[str]) -> DataFrame:
+        right = side.select(*on, F.col("form").alias("b"), F.col("ids").alias("ids_b"))
+        return side.select(*on, F.col("form").alias("a"), F.col("ids").alias("ids_a")).join(right, on).where("a < b").select("g", "a", "ids_a", "b", "ids_b")
+
+    parts = F.split("form", "\t")
+    toks = F.filter(F.slice(parts, 7, 99), lambda t: ~F.endswith(t, F.substring("key", 3, 99)))
+    initials = F.array_distinct(F.concat(F.transform(toks, lambda t: F.substring(t, 1, 1)), F.split(parts[3], ""), F.when(F.size(toks) == 0, F.array(F.lit("*"))).otherwise(F.array().cast("array<string>"))))
+    refined = blocks.join(hot, ["g", "k"], "left_semi").withColumn("fine", F.explode(initials)).drop("key")
+    return pairs(blocks.join(hot, ["g", "k"], "left_anti").drop("key"), ["g", "k"]).unionByName(pairs(refined, ["g", "k", "fine"]))
+
+
 def same_names(records: DataFrame, places: frozenset[str] = frozenset(), known: frozenset[str] = frozenset(), common: int = COMMON) -> DataFrame:
     """``(source_table, id_a, id_b)``: records of one group that name the same person or organisation.
 
-    ``records`` has ``source_table, grp, id, text``. Repeated deliveries of an id count once; records
-    without group, id or a name-like text are left out; the smaller id comes first. Records whose
-    texts fold to the same form are linked without comparison.
+    ``records`` has ``source_table, grp, id, text``, each id once (:func:`once_per_id`, :func:`first_spans`).
+    Records without group, id or a name-like text are left out; the smaller id comes first. Records whose
+    texts fold to the same form are linked without comparison; the ids of a form, one per spelling, travel with it.
     """
-    key = ["source_table", "grp"]
     shape = ~F.col("text").rlike(r"[\p{N}@/:_#*+=<>\[\]{}|~^%$!?]") & F.col("text").rlike(r"\p{L}")
-    src = records.select("source_table", F.col("grp").cast("string").alias("grp"), F.col("id").cast("long").alias("id"), "text").where(F.col("grp").isNotNull() & F.col("id").isNotNull() & shape)
-    parsed = src.mapInArrow(_names(places), "source_table string, grp string, id long, text string, " + PARSED)
-    parsed = cut(parsed.dropDuplicates(["source_table", "id"]))
-    members = parsed.select(*key, "norm", "kind", "id", F.xxhash64("text").alias("exact"))
-    forms = parsed.groupBy(*key, "norm").agg(F.first(F.struct("norm", "kind", "toks", "inits", "legal", "acr")).alias("form"), F.first("keys").alias("keys"))
-
-    blocks = forms.select(*key, "form", F.explode("keys").alias("key"))
-    size = F.count("*").over(Window.partitionBy(*key, "key"))
-    others = F.transform(F.concat(F.filter(F.col("form.toks"), lambda t: (F.length(t) > 1) & ~t.endswith(F.substring("key", 3, 99))), F.array(F.lit(""))), lambda t: F.substring(t, 1, 1))
-    fine = F.when(F.col("n") > common, F.array_distinct(F.concat(others, F.transform(F.split(F.col("form.inits"), ""), lambda c: c)))).otherwise(F.array(F.lit("")))
-    blocks = blocks.withColumn("n", size).select(*key, "key", "form", F.explode(fine).alias("fine"))
-    right = blocks.select(*key, "key", "fine", F.col("form").alias("b"))
-    pairs = blocks.withColumnRenamed("form", "a").join(right, [*key, "key", "fine"]).where("a.norm < b.norm").select(*key, "a", "b")
-    found = pairs.mapInArrow(_compare(known), "source_table string, grp string, norm_a string, kind_a string, norm_b string, kind_b string, verdict string").distinct()
-    found = cut(found)
-
-    sure = found.where("verdict = 'yes'").select(*key, "norm_a", "norm_b")
+    src = records.where(F.col("grp").isNotNull() & F.col("id").isNotNull() & shape)
+    src = src.select("source_table", F.xxhash64("source_table", "grp").alias("g"), F.col("id").cast("long").alias("id"), "text")
+    parsed = src.mapInArrow(_names(places), "g long, id long, form string, keys array<string>")
+    forms = parsed.withColumn("norm", F.split("form", "\t")[5]).groupBy("g", "norm").agg(F.min(F.struct("form", "keys")).alias("f"), F.collect_list("id").alias("ids"))
+    forms = cut(forms.select("g", "f.form", "f.keys", "ids"))
+    schema = "g long, ids_a array<long>, ids_b array<long>, norm_a string, kind_a string, norm_b string, kind_b string, verdict string, source_table string"
+    found = cut(_candidates(forms, common).mapInArrow(_compare(known), schema).dropDuplicates(["g", "norm_a", "norm_b"]))
+
+    sure = found.where("verdict = 'yes'")
     part_kinds = ("single", "zgiven", "zfam")
     owned = found.where("verdict <> 'yes'").withColumn("part", F.when(F.col("kind_a").isin(*part_kinds), F.col("norm_a")).otherwise(F.col("norm_b")))
-    unique = owned.groupBy(*key, "part").agg(F.countDistinct("verdict").alias("n")).where("n = 1")
-    owned = owned.join(unique.select(*key, "part"), [*key, "part"], "left_semi")
-    linked = _through_full_names(sure, found).unionByName(owned.select(*key, "norm_a", "norm_b")).distinct()
-
-    a = members.select(*key, F.col("norm").alias("norm_a"), F.col("id").alias("x"))
-    b = members.select(*key, F.col("norm").alias("norm_b"), F.col("id").alias("y"))
-    across = linked.join(a, [*key, "norm_a"]).join(b, [*key, "norm_b"]).select("source_table", "x", "y")
-    alone = members.where(F.col("kind").isin(*part_kinds)).select(*key, F.col("norm").alias("part")).distinct().join(owned.select(*key, "part").distinct(), [*key, "part"], "left_anti")
-    whole = members.join(alone.withColumnRenamed("part", "norm"), [*key, "norm"], "left_anti")
-    twin = whole.select(*key, "norm", F.col("id").alias("y"), F.col("exact").alias("other"))
-    within = whole.withColumnRenamed("id", "x").join(twin, [*key, "norm"]).where("x < y and exact <> other").select("source_table", "x", "y")
+    unique = owned.groupBy("g", "part").agg(F.countDistinct("verdict").alias("n")).where("n = 1").select("g", "part")
+    owned = owned.join(unique, ["g", "part"], "left_semi")
+    pair = ["source_table", "ids_a", "ids_b"]
+    across = sure.select(*pair).unionByName(_through_full_names(sure).select(*pair)).unionByName(owned.select(*pair))
+    across = across.withColumn("x", F.explode("ids_a")).select("source_table", "x", F.explode("ids_b").alias("y"))
+
+    parts = F.split("form", "\t")
+    several = forms.where(F.size("ids") > 1).select("g", parts[0].alias("source_table"), parts[1].alias("kind"), parts[5].alias("norm"), "ids")
+    whole = several.where(~F.col("kind").isin(*part_kinds)).unionByName(several.where(F.col("kind").isin(*part_kinds)).join(unique.withColumnRenamed("part", "norm"), ["g", "norm"], "left_semi").select(*several.columns))
+    within = whole.select("source_table", F.explode("ids").alias("x"), "ids").select("source_table", "x", F.explode("ids").alias("y")).where("x < y")
     return across.unionByName(within).select("source_table", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
-def _through_full_names(sure: DataFrame, found: DataFrame) -> DataFrame:
-    """``sure`` links and those between two forms that are linked to the same full name.
+def _through_full_names(sure: DataFrame) -> DataFrame:
+    """``(source_table, ids_a, ids_b)`` of two forms that are linked to the same full name.
 
     A full name is Chinese, or has no initials and stands between names in letters only: forms with initials,
     acronyms and romanisations may stand for several people and link nobody to anybody.
     """
-    key = ["source_table", "grp"]
-    yes = found.where("verdict = 'yes'")
-    ways = yes.select(*key, F.explode(F.array(F.struct(F.col("norm_a").alias("hub"), F.col("kind_a").alias("k"), F.col("norm_b").alias("end"), F.col("kind_b").alias("e")), F.struct(F.col("norm_b").alias("hub"), F.col("kind_b").alias("k"), F.col("norm_a").alias("end"), F.col("kind_a").alias("e")))).alias("w")).select(*key, "w.*")
-    full = (F.col("k") == "zperson") | ((F.col("k") == "name") & F.col("hub").contains("|/") & F.col("hub").contains(" ") & (F.col("e") != "zperson")) | ((F.col("k") == "name") & F.col("hub").rlike(r"\|/.") & (F.col("e") != "zperson"))
-    ways = ways.where(full)
-    two = ways.select(*key, "hub", F.col("end").alias("norm_a")).join(ways.select(*key, "hub", F.col("end").alias("norm_b")), [*key, "hub"]).where("norm_a < norm_b").select(*key, "norm_a", "norm_b")
-    return sure.unionByName(two).distinct()
+    one = F.struct(F.col("norm_a").alias("hub"), F.col("kind_a").alias("k"), F.col("norm_b").alias("end"), F.col("kind_b").alias("e"), F.col("ids_b").alias("ids"))
+    two = F.struct(F.col("norm_b").alias("hub"), F.col("kind_b").alias("k"), F.col("norm_a").alias("end"), F.col("kind_a").alias("e"), F.col("ids_a").alias("ids"))
+    ways = sure.select("source_table", "g", F.explode(F.array(one, two)).alias("w")).select("source_table", "g", "w.*")
+    full = F.col("hub").contains("|/") & (F.col("hub").contains(" ") | F.col("hub").rlike(r"\|/."))
+    ways = ways.where((F.col("k") == "zperson") | ((F.col("k") == "name") & full & (F.col("e") != "zperson")))
+    other = ways.select("g", "hub", F.col("end").alias("other"), F.col("ids").alias("ids_b"))
+    return ways.withColumnRenamed("ids", "ids_a").join(other, ["g", "hub"]).where("end < other")
+
+
+def once_per_id(rows: DataFrame, id_col: str, grp_col: str, text_col: str, source: str) -> DataFrame:
+    """``(source_table, grp, id, text)`` with each id once, however often it was delivered."""
+    got = rows.select(F.col(id_col).cast("long").alias("id"), F.col(grp_col).cast("string").alias("grp"), F.col(text_col).alias("text")).where("text is not null")
+    return got.dropDuplicates(["id"]).select(F.lit(source).alias("source_table"), "grp", "id", "text")
 
 
 def first_spans(spans: DataFrame) -> DataFrame:
     """``(source_table, grp, id, text)``: the first span of each exact text in its document."""
     once = spans.where("doc_id is not null and text is not null").select("doc_id", "text", "span_start", "span_id")
     first = once.groupBy("doc_id", "text").agg(F.min(F.struct("span_start", "span_id")).alias("f"))
-    return first.select(F.lit("spans").alias("source_table"), F.col("doc_id").alias("grp"), F.col("f.span_id").alias("id"), "text")
+    return first.select(F.lit("spans").alias("source_table"), F.col("doc_id").cast("string").alias("grp"), F.col("f.span_id").alias("id"), "text")
