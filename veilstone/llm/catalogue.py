@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilstone.llm import confusables, encoding, langid, names, packing, splitting
+from veilstone.llm import addresses, confusables, encoding, langid, names, packing, splitting
 from veilstone.runtime import table
 
 
@@ -17,6 +17,12 @@ def _looks(spark: SparkSession, d: str) -> DataFrame:
     return book.unionByName(results)
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    spans = table(spark, d, "spans").select(F.col("span_id").alias("id"), "text")
+    found = addresses.same_place(spans, addresses.gazetteer(table(spark, d, "places")))
+    return found.select(F.col("id_a").alias("span_id_a"), F.col("id_b").alias("span_id_b"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "obfuscate_results")
     model = langid.train(rows, "result_id", "text", "lang")
@@ -46,8 +52,8 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    book = table(spark, d, "codebook").select(F.lit("codebook").alias("source_table"), F.col("session_id").cast("string").alias("grp"), F.col("entry_id").alias("id"), F.col("original").alias("text"))
-    spans = names.first_spans(table(spark, d, "spans")).withColumn("grp", F.col("grp").cast("string"))
+    book = names.once_per_id(table(spark, d, "codebook"), "entry_id", "session_id", "original", "codebook")
+    spans = names.first_spans(table(spark, d, "spans"))
     return names.same_names(book.unionByName(spans), names.place_names(table(spark, d, "places")), names.given_names(table(spark, d, "given_names")))
 
 
@@ -60,6 +66,7 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_segments": p2_segments,
     "p3_found": p3_found,
