@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilstone.llm import addresses, confusables, encoding, langid, names, packing, splitting
+from veilstone.llm import addresses, confusables, encoding, langid, names, packing, sharedspans, splitting
 from veilstone.runtime import table
 
 
@@ -65,6 +65,14 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(packing.token_counts(table(spark, d, "documents")))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return sharedspans.shared_pairs(table(spark, d, "documents"))
+
+
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    return sharedspans.shared_spans(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -76,6 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
+    "p8_found": p8_found,
+    "p8_spans": p8_spans,
 }
 
 ORACLES: dict[str, str] = {
