@@ -14,6 +14,7 @@ import sys
 import unicodedata
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,13 +59,12 @@ def skeleton(text: str | None) -> str | None:
 
 def skeleton_column(text: F.Column | str) -> F.Column:
     """Column form of :func:`skeleton` (Arrow batches)."""
-    import pandas as pd
 
-    @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         return s.map(skeleton, na_action="ignore")
 
-    return run(F.col(text) if isinstance(text, str) else text)
+    run.__annotations__ = {"s": pd.Series, "return": pd.Series}  # evaluated here: annotations are strings in this module
+    return F.pandas_udf(run, "string")(F.col(text) if isinstance(text, str) else text)
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
