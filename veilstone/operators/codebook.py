@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilstone.functions.matching import empty
+from veilstone.functions.matching import empty, let
 from veilstone.functions.text import code, label_of_code
 
 CODE_SPANS = "array<struct<start:int,end:int,label:string,code:string>>"
@@ -41,6 +41,18 @@ def assign_codes(spans: DataFrame, salts: int = 1) -> DataFrame:
     return numbered(coded, ["session_id"], ["seq", "start", "original"], "ord", salts).select("session_id", "original", "label", code(F.col("label"), F.col("n")).alias("code"), "ord")
 
 
+def document_codes(spans: Column) -> Column:
+    """``MAP<original, code>`` of a document that is a session of its own, from its disjoint spans: no shuffle at all."""
+
+    def step(acc: Column, s: Column) -> Column:
+        seen = F.exists(acc, lambda x: x["original"] == s["text"])
+        n = F.size(F.filter(acc, lambda x: x["label"] == s["label"]))
+        return F.when(seen, acc).otherwise(F.array_append(acc, F.struct(s["text"].alias("original"), s["label"].alias("label"), n.alias("n"))))
+
+    entries = F.aggregate(spans, empty("array<struct<original:string,label:string,n:int>>"), step)
+    return F.map_from_entries(F.transform(entries, lambda x: F.struct(x["original"], code(x["label"], x["n"]))))
+
+
 def originals_of_codes(book: DataFrame) -> DataFrame:
     """``(session_id, code, original)``: the longest original of each code, the first of equally long ones."""
     best = F.max(F.struct(F.length("original").alias("n"), (-F.col("ord")).alias("o"), "original"))
@@ -87,8 +99,8 @@ def obfuscate(text: Column, spans: Column, codes: Column) -> Column:
     """
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"), s["text"].alias("text"))))
 
-    def step(acc: Column, s: Column) -> Column:
-        own = F.element_at(codes, s["text"])
+    def step(book: Column, acc: Column, s: Column) -> Column:
+        own = F.element_at(book, s["text"])
         gap = F.substr(text, acc["pos"] + 1, s["start"] - acc["pos"])
         begin = acc["size"] + s["start"] - acc["pos"]
         span = F.struct(begin.alias("start"), (begin + F.length(own)).alias("end"), s["label"].alias("label"), own.alias("code"))
@@ -96,7 +108,8 @@ def obfuscate(text: Column, spans: Column, codes: Column) -> Column:
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("pos"), F.lit(0).alias("size"), empty(CODE_SPANS).alias("codes"))
     done = lambda acc: F.struct(F.concat(acc["out"], F.substr(text, acc["pos"] + 1)).alias("text"), acc["codes"].alias("code_spans"))
-    return F.when(text.isNotNull(), F.aggregate(ordered, start, step, done))
+    coded = let(codes, lambda book: F.aggregate(ordered, start, lambda acc, s: step(book, acc, s), done))
+    return F.when(text.isNotNull(), coded)
 
 
 def session_json(id: Column, label: Column, created_at: Column, to_code: Column, counters: Column, ignored: Column) -> Column:

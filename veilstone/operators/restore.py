@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilstone.functions.matching import let
 from veilstone.functions.text import CODE, codes_in
 
 
@@ -14,14 +15,16 @@ def restore(text: Column, originals: Column) -> Column:
     ``originals`` maps codes to originals (null: none). ``restored`` counts occurrences; unknown codes stay,
     and are listed once, by first occurrence.
     """
-    gaps = F.split(text, CODE, -1)
-    hits = F.regexp_extract_all(text, F.lit(CODE), F.lit(0))
     known = F.coalesce(originals, F.create_map().cast("map<string,string>"))
-    put = F.transform(hits, lambda c: F.coalesce(F.element_at(known, c), c))
-    joined = F.array_join(F.flatten(F.zip_with(gaps, put, lambda g, c: F.array(g, F.coalesce(c, F.lit(""))))), "")
-    restored = F.size(F.filter(hits, lambda c: F.map_contains_key(known, c)))
-    unknown = F.array_distinct(F.filter(hits, lambda c: ~F.map_contains_key(known, c)))
-    return F.when(text.isNotNull(), F.struct(joined.alias("text"), restored.alias("restored"), unknown.alias("unknown")))
+
+    def put(hits: Column) -> Column:
+        back = F.transform(hits, lambda c: F.coalesce(F.element_at(known, c), c))
+        joined = F.array_join(F.flatten(F.zip_with(F.split(text, CODE, -1), back, lambda g, c: F.array(g, F.coalesce(c, F.lit(""))))), "")
+        restored = F.size(F.filter(hits, lambda c: F.map_contains_key(known, c)))
+        unknown = F.array_distinct(F.filter(hits, lambda c: ~F.map_contains_key(known, c)))
+        return F.struct(joined.alias("text"), restored.alias("restored"), unknown.alias("unknown"))
+
+    return F.when(text.isNotNull(), let(F.regexp_extract_all(text, F.lit(CODE), F.lit(0)), put))
 
 
 def match_count(text: Column, codes: Column) -> Column:
@@ -47,6 +50,7 @@ def recommend(texts: DataFrame, lookup: DataFrame, order: DataFrame, id_col: str
     ``order(session_id, ord)`` breaks ties, the least first. Texts that no session can restore have no row.
     """
     wanted = texts.select(F.col(id_col).alias("id"), F.explode(codes_in(F.col(text_col))).alias("code"))
-    counted = wanted.join(lookup.select("session_id", "code").distinct(), "code").groupBy("id", "session_id").agg(F.count("*").alias("matches"))
-    best = counted.join(order.select("session_id", "ord"), "session_id").groupBy("id").agg(F.max(F.struct("matches", (-F.col("ord")).alias("o"), "session_id")).alias("b"))
-    return best.select("id", F.col("b.session_id").alias("session_id"), F.col("b.matches").alias("matches"))
+    held = lookup.select("session_id", "code").distinct().join(order.select("session_id", F.col("ord").cast("long").alias("ord")), "session_id").select("code", "ord")
+    counted = wanted.join(held, "code").groupBy("id", "ord").agg(F.count("*").alias("matches"))  # fixed-width keys
+    best = counted.groupBy("id").agg(F.max(F.struct("matches", (-F.col("ord")).alias("o"))).alias("b")).select("id", F.col("b.matches").alias("matches"), (-F.col("b.o")).alias("ord"))
+    return best.join(order.select("session_id", F.col("ord").cast("long").alias("ord")), "ord").select("id", "session_id", "matches")

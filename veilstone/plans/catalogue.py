@@ -411,11 +411,8 @@ def session_delete(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def obfuscate_text(spark: SparkSession, d: str) -> DataFrame:
-    kept = let(rules.rule_spans(F.col("text")), lambda s: spans.resolve_overlaps(s))
-    rows = spread(documents(spark, d).select("doc_id", "text").where("text is not null")).withColumn("spans", kept)
-    codes = codebook.assign_codes(rows.select(F.col("doc_id").cast("string").alias("session_id"), F.inline("spans")).withColumn("seq", F.lit(0)))
-    maps = codes.groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("original", "code"))).alias("codes"))
-    coded = rows.join(maps, F.col("session_id") == F.col("doc_id").cast("string"), "left").select("doc_id", codebook.obfuscate(F.col("text"), F.col("spans"), F.coalesce("codes", F.create_map().cast("map<string,string>"))).alias("o"))
+    rows = spread(documents(spark, d).select("doc_id", "text").where("text is not null")).withColumn("spans", let(rules.rule_spans(F.col("text")), spans.resolve_overlaps))
+    coded = rows.select("doc_id", let(F.col("spans"), lambda s: codebook.obfuscate(F.col("text"), s, codebook.document_codes(s))).alias("o"))
     return coded.select("doc_id", F.col("o.text").alias("text"), F.size("o.code_spans").alias("n_codes"))
 
 
