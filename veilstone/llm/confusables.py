@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilstone.runtime import cut
+
 # Prototype, then the letters of other scripts that look like it.
 LOOKALIKES = """
 A ΑАᎪ|B ΒВᏴ|C СϹᏟ|D Ꭰ|E ΕЕᎬ|F Ϝ|G ԌᏀ|H ΗНᎻ|I ΙІӀ|J ЈͿᎫ|K ΚКᏦ|L ᏞԼ|M ΜМᎷϺ|N Ν|O ΟОՕ|P ΡРᏢ
@@ -101,7 +103,7 @@ def same_looking(records: DataFrame) -> DataFrame:
     string aren't paired. Only groups that hold two different strings reach the pairing join.
     """
     key = ["source_table", "grp", "look"]
-    keys = skeleton_keys(records).dropDuplicates(["source_table", "id"])
+    keys = cut(skeleton_keys(records).dropDuplicates(["source_table", "id"]))  # texts are read once for both uses
     mixed = keys.groupBy(key).agg(F.min("exact").alias("lo"), F.max("exact").alias("hi")).where("lo <> hi").select(key)
     left = keys.join(mixed, key, "left_semi")
     right = left.select(*key, F.col("id").alias("id_b"), F.col("exact").alias("exact_b"))
