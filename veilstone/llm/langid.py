@@ -206,7 +206,7 @@ def segment_languages(rows: DataFrame, id_col: str, text_col: str, matrix: np.nd
     """``(id, segment_start, segment_end, lang, confidence)``: the runs of each text in one language.
 
     Neighbouring sentences and lines of one language are one run; its confidence is their mean by
-    length. Null, empty and blank texts and texts without any sentence have no run.
+    length. Null, empty and blank texts, texts without any sentence and rows without an id have no run.
     """
     spark = rows.sparkSession
     held = spark.sparkContext.broadcast(matrix)
@@ -234,7 +234,7 @@ def segment_languages(rows: DataFrame, id_col: str, text_col: str, matrix: np.nd
             cols = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.float64()))], ["id", "segment_start", "segment_end", "lang", "confidence"])
 
-    src = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null and text <> ''")
+    src = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null and text <> ''")
     return src.mapInArrow(run, SEGMENT_SCHEMA)
 
 

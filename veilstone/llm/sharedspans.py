@@ -233,10 +233,11 @@ def shared_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     ``spans`` are the maximal stretches of the text that are covered by runs of at least ``length`` code points that
     stand in another document too. The work is linear in the shared text: no pairs of documents are built.
-    Null texts have null figures; shorter texts share nothing; a text with copies is shared as a whole.
+    Null texts have null figures; shorter texts share nothing; a text with copies is shared as a whole. Rows
+    without an id are left out, an id delivered again counts once.
     """
-    src = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).dropDuplicates(["doc_id"])
-    keyed = src.where((F.length("text") >= length) & F.col("doc_id").isNotNull()).withColumn("t", F.xxhash64("text"))
+    src = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null").dropDuplicates(["doc_id"])
+    keyed = src.where(F.length("text") >= length).withColumn("t", F.xxhash64("text"))
     anchors = cut(keyed.select("t", "text").mapInArrow(_anchors(length, gram), "h long, t long, pos int"))
     shared = anchors.groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").select("h")
     spots = anchors.join(shared, "h", "left_semi").groupBy("t").agg(F.collect_set("pos").alias("spots"))

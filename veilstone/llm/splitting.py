@@ -129,7 +129,7 @@ def split_long(items: DataFrame, id_col: str, text_col: str, limit: int = LIMIT,
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and below limit")
-    src = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    src = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     short = src.where(F.length("text") <= limit).select("id", F.lit(0).alias("piece_no"), F.lit(0).alias("piece_start"), F.length("text").alias("piece_end"), F.col("text").alias("piece"))
     own = src.schema["id"].dataType.simpleString()
     kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[own]
