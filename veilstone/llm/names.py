@@ -378,7 +378,8 @@ def same_names(records: DataFrame, places: frozenset[str] = frozenset(), known:
     unique = owned.groupBy("g", "part").agg(F.countDistinct("verdict").alias("n")).where("n = 1").select("g", "part")
     owned = owned.join(unique, ["g", "part"], "left_semi")
     pair = ["source_table", "ids_a", "ids_b"]
-    across = sure.select(*pair).unionByName(_through_full_names(sure).select(*pair)).unionByName(owned.select(*pair))
+    edges = sure.unionByName(owned.drop("part"))
+    across = edges.select(*pair).unionByName(_through_full_names(edges).select(*pair))
     across = across.withColumn("x", F.explode("ids_a")).select("source_table", "x", F.explode("ids_b").alias("y"))
 
     parts = F.split("form", "\t")
@@ -388,15 +389,15 @@ def same_names(records: DataFrame, places: frozenset[str] = frozenset(), known:
     return across.unionByName(within).select("source_table", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
-def _through_full_names(sure: DataFrame) -> DataFrame:
-    """``(source_table, ids_a, ids_b)`` of two forms that are linked to the same full name.
+def _through_full_names(edges: DataFrame) -> DataFrame:
+    """``(source_table, ids_a, ids_b)`` of two forms that are linked to the same full name, parts of it included.
 
     A full name is Chinese, or has no initials and stands between names in letters only: forms with initials,
     acronyms and romanisations may stand for several people and link nobody to anybody.
     """
     one = F.struct(F.col("norm_a").alias("hub"), F.col("kind_a").alias("k"), F.col("norm_b").alias("end"), F.col("kind_b").alias("e"), F.col("ids_b").alias("ids"))
     two = F.struct(F.col("norm_b").alias("hub"), F.col("kind_b").alias("k"), F.col("norm_a").alias("end"), F.col("kind_a").alias("e"), F.col("ids_a").alias("ids"))
-    ways = sure.select("source_table", "g", F.explode(F.array(one, two)).alias("w")).select("source_table", "g", "w.*")
+    ways = edges.select("source_table", "g", F.explode(F.array(one, two)).alias("w")).select("source_table", "g", "w.*")
     full = F.col("hub").contains("|/") & (F.col("hub").contains(" ") | F.col("hub").rlike(r"\|/."))
     ways = ways.where((F.col("k") == "zperson") | ((F.col("k") == "name") & full & (F.col("e") != "zperson")))
     other = ways.select("g", "hub", F.col("end").alias("other"), F.col("ids").alias("ids_b"))

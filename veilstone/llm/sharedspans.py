@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilstone.runtime import cut
@@ -188,13 +188,13 @@ def shared_pairs(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     delivered again counts once.
     """
     members, entries, holders = reference_blocks(documents, id_col, text_col, length, gram)
-    sized = entries.withColumn("n", F.count("*").over(Window.partitionBy("h")))
-    small = sized.where((F.col("n") > 1) & (F.col("n") <= pairwise))
+    sizes = entries.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    small = entries.join(sizes.where(F.col("n") <= pairwise), "h", "left_semi")
     left = small.select("h", F.col("c").alias("ca"), F.col("off").alias("off_a"), F.col("around").alias("around_a"))
     right = small.select("h", F.col("c").alias("cb"), F.col("off").alias("off_b"), F.col("around").alias("around_b"))
     direct = left.join(right, "h").where("ca < cb").drop("h").mapInArrow(_compare(length, gram), "ca long, cb long")
 
-    grams = sized.where(F.col("n") > pairwise).select("c", "around").mapInArrow(_exact_grams(length), "c long, g long, begin int").select("c", "g").distinct()
+    grams = entries.join(sizes.where(F.col("n") > pairwise), "h", "left_semi").select("c", "around").mapInArrow(_exact_grams(length), "c long, g long, begin int").select("c", "g").distinct()
     again = grams.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
     grams = grams.join(again, "g", "left_semi")
     split = grams.withColumnRenamed("c", "ca").join(grams.withColumnRenamed("c", "cb"), "g").where("ca < cb").select("ca", "cb")
