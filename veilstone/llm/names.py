@@ -112,7 +112,7 @@ def _parse_chinese(text: str) -> dict | None:
     text = "".join(TRADITIONAL.get(c, c) for c in re.sub(r"[\s·・]", "", text))
     m = re.fullmatch(r"(.+?)(股份有限公司|股份\(有\)公司|\(股\)公司|有限公司|\(有\)公司|股份公司|公司)", text)
     core, legal = (m[1], {"股": "股份", "有": "有限"}.get(m[2].lstrip("(")[0], "")) if m else (text, "")
-    if not re.fullmatch("[㐀-鿿]{2,20}", core) or (not m and core[-1] in PLACE_ENDS):
+    if not re.fullmatch("[㐀-鿿]{2,20}", core) or (not m and (core[-1] in PLACE_ENDS or re.search("[路街巷弄号號楼樓]", core))):
         return None
     double = core[:2] in DOUBLE_SURNAMES
     if m or len(core) > 4 or (len(core) == 4 and not double):
