@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veilstone.functions.matching import empty, let
 from veilstone.functions.text import code, label_of_code
+from veilstone.runtime import cut
 
 CODE_SPANS = "array<struct<start:int,end:int,label:string,code:string>>"
 
@@ -20,7 +21,8 @@ def numbered(rows: DataFrame, group: list[str], order: list[str], name: str, sal
     """
     if salts <= 1:
         return rows.withColumn(name, (F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1).cast("long"))
-    ranged = rows.repartitionByRange(salts, *group, *order).withColumn("__part", F.spark_partition_id())
+    # written once: both uses below must see the same ranges
+    ranged = cut(rows.repartitionByRange(salts, *group, *order).withColumn("__part", F.spark_partition_id()))
     inner = ranged.withColumn("__own", F.row_number().over(Window.partitionBy("__part", *group).orderBy(*order)) - 1)
     held = inner.groupBy("__part", *group).agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

@@ -52,9 +52,22 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _CUTS.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_CUTS: list[str] = []
+
+
+def drop_cuts(spark: SparkSession) -> int:
+    """Deletes the tables that :func:`cut` has written in this process; to be called when their results are stored."""
+    n = len(_CUTS)
+    while _CUTS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    return n
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as there are cores; unchanged where the scan already gives them."""
     cores = df.sparkSession.sparkContext.defaultParallelism
