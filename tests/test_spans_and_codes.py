@@ -120,7 +120,7 @@ def test_fold_equals_native_on_single_documents(spark, data):
 
 def test_assign_codes_and_hot_numbering(spark):
     rows = spark.createDataFrame([("s", i, 0, "ID", f"v{i % 40:02d}") for i in range(200)] + [("t", 0, 0, "IP", "v"), (None, 0, 0, "IP", "v"), ("t", 0, 0, None, "w")], "session_id string, seq long, start int, label string, text string")
-    plain, salted = (sorted(map(tuple, C.assign_codes(rows, n).collect())) for n in (1, 5))
+    plain, salted = (sorted(map(tuple, C.assign_codes(rows, n).collect())) for n in (10**6, 9))
     assert plain == salted and len(plain) == 41
     assert ("s", "v27", "ID", "[ID_AB]", 27) in plain
 

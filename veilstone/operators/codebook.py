@@ -12,17 +12,22 @@ from veilstone.runtime import cut
 CODE_SPANS = "array<struct<start:int,end:int,label:string,code:string>>"
 
 
-def numbered(rows: DataFrame, group: list[str], order: list[str], name: str, salts: int = 1) -> DataFrame:
-    """``rows`` with their number from 0 within the group by order.
+#: Rows of one group that a single task numbers; larger groups are numbered in ranges.
+GROUP_ROWS = 1_000_000
 
-    With ``salts`` over 1 a hot group is numbered in ranges: rows are range-partitioned by group and order,
-    numbered within the partition and shifted by what earlier partitions hold of the group, so that
-    no task sorts a whole group.
+
+def numbered(rows: DataFrame, group: list[str], order: list[str], name: str, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """``rows`` with their number from 0 within the group by order, which must be total within the group.
+
+    Where a group has more than ``group_rows`` rows, rows are range-partitioned by group and order, numbered within
+    the partition and shifted by what earlier partitions hold of the group, so that no task sorts a whole hot
+    group. The numbers are the same either way.
     """
-    if salts <= 1:
+    largest = rows.groupBy(*group).count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
+    if (largest["most"] or 0) <= group_rows:
         return rows.withColumn(name, (F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1).cast("long"))
     # written once: both uses below must see the same ranges
-    ranged = cut(rows.repartitionByRange(salts, *group, *order).withColumn("__part", F.spark_partition_id()))
+    ranged = cut(rows.repartitionByRange(-(-largest["all"] // group_rows), *group, *order).withColumn("__part", F.spark_partition_id()))
     inner = ranged.withColumn("__own", F.row_number().over(Window.partitionBy("__part", *group).orderBy(*order)) - 1)
     held = inner.groupBy("__part", *group).agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
@@ -30,7 +35,7 @@ def numbered(rows: DataFrame, group: list[str], order: list[str], name: str, sal
     return inner.join(shift, ["__part", *group]).withColumn(name, (F.col("__own") + F.col("__skip")).cast("long")).drop("__part", "__own", "__skip")
 
 
-def assign_codes(spans: DataFrame, salts: int = 1) -> DataFrame:
+def assign_codes(spans: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """The code book of sessions without linked people, without a fold over their documents.
 
     ``spans(session_id, seq, start, label, text)``; each original takes the label of its first occurrence and
@@ -38,9 +43,9 @@ def assign_codes(spans: DataFrame, salts: int = 1) -> DataFrame:
     """
     rows = spans.where("session_id is not null and label is not null and text is not null")
     first = rows.groupBy("session_id", F.col("text").alias("original")).agg(F.min(F.struct("seq", "start", "label")).alias("f"))
-    first = first.select("session_id", "original", F.col("f.label").alias("label"), F.col("f.seq").alias("seq"), F.col("f.start").alias("start"))
-    coded = numbered(first, ["session_id", "label"], ["seq", "start", "original"], "n", salts)
-    return numbered(coded, ["session_id"], ["seq", "start", "original"], "ord", salts).select("session_id", "original", "label", code(F.col("label"), F.col("n")).alias("code"), "ord")
+    first = cut(first.select("session_id", "original", F.col("f.label").alias("label"), F.col("f.seq").alias("seq"), F.col("f.start").alias("start")))
+    coded = numbered(first, ["session_id", "label"], ["seq", "start", "original"], "n", group_rows)
+    return numbered(coded, ["session_id"], ["seq", "start", "original"], "ord", group_rows).select("session_id", "original", "label", code(F.col("label"), F.col("n")).alias("code"), "ord")
 
 
 def document_codes(spans: Column) -> Column:
