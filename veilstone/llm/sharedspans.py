@@ -178,7 +178,8 @@ def reference_blocks(documents: DataFrame, id_col: str = "doc_id", text_col: str
     spots = anchors.join(shared, "h", "left_semi").groupBy("t").agg(F.collect_set(F.struct("h", "pos")).alias("spots"))  # bounded by the text's own length
     around = src.select("t", "text").join(spots, "t").mapInArrow(_surroundings(length, gram), "h long, t long, off int, around string")
     around = cut(around.withColumn("c", F.xxhash64("h", "off", "around")))
-    return src.select("t", "doc_id").distinct(), around.select("h", "c", "off", "around").dropDuplicates(["c"]), around.select("c", "t").distinct()
+    entries = cut(around.select("h", "c", "off", "around").dropDuplicates(["c"]))
+    return src.select("t", "doc_id").distinct(), entries, around.select("c", "t").distinct()
 
 
 def shared_pairs(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, pairwise: int = PAIRWISE) -> DataFrame:
