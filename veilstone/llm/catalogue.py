@@ -73,6 +73,16 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     return sharedspans.shared_spans(table(spark, d, "documents"))
 
 
+def p8_share(spark: SparkSession, d: str) -> DataFrame:
+    return sharedspans.shared_spans(table(spark, d, "documents")).where("n_chars is not null").select("doc_id", "shared_chars", "n_chars")
+
+
+#: Every run of 200 code points of every text, by hash; exact, and slow where the tables are large.
+_GRAMS = (
+    "g AS (SELECT doc_id, CAST(unnest(range(1, length(text) - 198)) AS INTEGER) AS s, text FROM documents WHERE length(text) >= 200), h AS (SELECT doc_id, s, md5(substring(text, s, 200)) AS k FROM g), "
+    "m AS (SELECT k FROM h GROUP BY k HAVING min(doc_id) <> max(doc_id)), x AS (SELECT h.* FROM h JOIN m USING (k))"
+)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -86,8 +96,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_containers": p7_containers,
     "p8_found": p8_found,
     "p8_spans": p8_spans,
+    "p8_share": p8_share,
 }
 
 ORACLES: dict[str, str] = {
+    "p8_found": f"WITH {_GRAMS} SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM x a JOIN x b ON a.k = b.k AND a.doc_id < b.doc_id",
+    "p8_share": (
+        f"WITH {_GRAMS}, c AS (SELECT doc_id, sum(least(200, coalesce(n - s, 200))) AS shared FROM (SELECT doc_id, s, lead(s) OVER (PARTITION BY doc_id ORDER BY s) AS n FROM x) GROUP BY doc_id) "
+        "SELECT d.doc_id, CAST(coalesce(c.shared, 0) AS INTEGER) AS shared_chars, CAST(length(d.text) AS INTEGER) AS n_chars FROM documents d LEFT JOIN c USING (doc_id) WHERE d.text IS NOT NULL"
+    ),
     "p4_found": "SELECT DISTINCT result_id FROM obfuscate_results WHERE length(text) > 2000",
 }
