@@ -103,6 +103,7 @@ def bare(token: str) -> str:
     return plain.replace("ß", "ss").replace("ø", "o").replace("æ", "ae").replace("ł", "l")
 
 
+@functools.lru_cache(1 << 16)
 def fold(token: str) -> str:
     """Lower case without accents; ae, oe and ue count as a, o and u."""
     return re.sub("([aou])e", r"\1", bare(token))
@@ -301,13 +302,26 @@ def _names(known_places: frozenset[str]):
     return run
 
 
+@functools.lru_cache(4)
+def _by_ends(places: frozenset[str]) -> dict[str, list[str]]:
+    """Places by their first two and by their last two letters."""
+    out: dict[str, list[str]] = {}
+    for x in places:
+        out.setdefault("^" + x[:2], []).append(x)
+        out.setdefault("$" + x[-2:], []).append(x)
+    return out
+
+
 def _is_place(p: dict, places: frozenset[str]) -> bool:
     """Bare place names aren't names; one typing error and the usual abbreviations are allowed for."""
     if p["kind"] not in ("name", "single") or p.get("legal") or p.get("inits"):
         return False
     full = {"st": "saint", "ste": "sainte", "ft": "fort", "mt": "mount", "n": "north", "w": "west", "pt": "port", "jct": "junction", "lk": "lake"}
     name = fold(" ".join(full.get(t.rstrip("."), t.rstrip(".")) for t in p["toks"]))
-    return name in places or any(abs(len(x) - len(name)) <= 1 and (x[:2] == name[:2] or x[-2:] == name[-2:]) and lcs(x, name) >= max(len(x), len(name)) - 1 for x in places)
+    if name in places:
+        return True
+    near = _by_ends(places)
+    return any(abs(len(x) - len(name)) <= 1 and lcs(x, name) >= max(len(x), len(name)) - 1 for end in ("^" + name[:2], "$" + name[-2:]) for x in near.get(end, ()))
 
 
 def place_names(places: DataFrame) -> frozenset[str]:
