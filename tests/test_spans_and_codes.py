@@ -115,7 +115,6 @@ def test_fold_equals_native_on_single_documents(spark, data):
     folded = {r["doc_id"]: r["text"] for r in D.obfuscate_sessions(docs, names=()).collect()}
     same = sum(native[i] == folded[i] for i in native)
     assert len(native) == len(folded) and same >= 0.9 * len(native)  # the fold also codes occurrences that rules missed
-    assert all(len(D.CodeBook().to_code) == 0 for _ in range(1))
 
 
 def test_assign_codes_and_hot_numbering(spark):
