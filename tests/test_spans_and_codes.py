@@ -100,6 +100,39 @@ def test_single_characters_are_not_propagated(spark):
     assert [(s[0], s[1]) for s in spans] == [(0, 1)]
 
 
+def test_sessions_go_on_from_their_state(spark):
+    first = spark.createDataFrame([("s", 0, 0, "a@x.example 10.0.0.1 Emily在", "auto", "all"), ("t", 0, 1, "b@x.example", "auto", "all")], DOCS)
+    book = D.code_book(spark.createDataFrame(D.obfuscate_sessions(first).collect(), D.RESULT))
+    book, ignored = C.unmark(book, spark.createDataFrame([], "session_id string, original string, code string, ord long"), spark.createDataFrame([("s", "[IP_A]")], "session_id string, code string"))
+    more = spark.createDataFrame([("s", 1, 2, "Emily: 10.0.0.1 10.0.0.2 c@x.example a@x.example", "auto", "all"), ("u", 0, 3, "a@x.example", "auto", "all")], DOCS)
+    got = {r["doc_id"]: r for r in D.obfuscate_sessions(more, book=book, ignored=ignored).collect()}
+    assert got[2]["text"] == "[PERSON_A]: 10.0.0.1 [IP_B] [EMAIL_B] [EMAIL_A]" and got[3]["text"] == "[EMAIL_A]"
+    assert [(e["original"], e["ord"]) for e in got[2]["new_codes"]] == [("10.0.0.2", 3), ("c@x.example", 4)]
+    counted = D.obfuscate_sessions(more, book=book, counters=spark.createDataFrame([("s", "EMAIL", 9)], "session_id string, label string, n long"))
+    assert "[EMAIL_J]" in {r["doc_id"]: r["text"] for r in counted.collect()}[2]
+
+
+def test_fake_models_in_scenarios(spark):
+    from veilstone.operators import detectors as M
+
+    def coded(text, slot, *found, scope="all", lang="auto"):
+        registry = M.Registry()
+        registry.register(slot, lambda: lambda t: [(t.index(v), t.index(v) + len(v), label, 0.9) for v, label in found if v in t])
+        docs = M.model_spans(spark.createDataFrame([("s", 0, 0, text, lang, scope)], DOCS), registry)
+        return D.obfuscate_sessions(docs, names=("Jason",), extra=F.col("model_cand"), model_used=F.col("model_used")).first()["text"]
+
+    assert coded("Rosa rang. Later Rosa wrote to Tim.", "en", ("Rosa", "PERSON")) == "[PERSON_A] rang. Later [PERSON_A] wrote to Tim."
+    assert coded("Rosa Diaz rang, Diaz and Rosa agreed", "en", ("Rosa Diaz", "PERSON")) == "[PERSON_A] rang, [PERSON_A] and [PERSON_A] agreed"
+    assert coded("李大華說，大華走了", "zh", ("李大華", "PERSON")) == "[PERSON_A]說，[PERSON_A]走了"
+    assert coded("收件：李大華診所", "zh", ("李大華診所", "ORG"), ("李大華", "PERSON"), scope="names") == "收件：[PERSON_A]診所"
+    assert coded("收件：李大華診所", "zh", ("李大華診所", "ORG"), ("李大華", "PERSON")) == "收件：[ORG_A]"
+    assert coded("李大華：早\n陳立：早\n備註：無\n9:15\t林安\t好", "zh", ("李大華", "PERSON")) == "[PERSON_A]：早\n[PERSON_B]：早\n備註：無\n9:15\t[PERSON_C]\t好"
+    assert coded("請Zed Qor說好", "pii", ("Zed Qor 說", "PERSON")) == "請[PERSON_A]說好"
+    assert coded("Zed is here", "mixed", ("Zed", "PERSON")) == "Zed is here" and coded("Zed在", "mixed", ("Zed", "PERSON"), lang="zh") == "[PERSON_A]在"
+    assert coded("大華主持stand-up", "zh", ("大華", "PERSON"), ("stand-up", "PERSON")) == "[PERSON_A]主持stand-up"
+    assert coded("Jason's 電腦", "zh") == "[PERSON_A]'s 電腦"
+
+
 def test_null_empty_repeated_and_sessionless(spark):
     rows = spark.createDataFrame([("s", 0, 1, "a@x.example", "auto", "all"), ("s", 0, 1, "a@x.example", "auto", "all"), ("s", 1, 2, None, "zh", None), ("s", 2, 3, "", None, "all"), (None, None, 4, "a@x.example b@x.example", None, None), ("s", 3, 5, "x " * 20000 + "a@x.example", "en", "all")], DOCS)
     out = {r["doc_id"]: r for r in D.obfuscate_sessions(rows).collect()}
