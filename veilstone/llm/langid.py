@@ -90,7 +90,7 @@ def _features(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for n in ORDERS:
         h = np.zeros(len(text) - n + 1, np.uint32)
         letter = np.zeros(len(h), bool)
-        crossed = np.zeros(len(h), np.uint8)
+        crossed = np.zeros(len(h), bool)
         for k in range(n):
             x = plain[k : len(plain) - n + 1 + k]
             h = (h ^ x) * np.uint32(0x9E3779B1)
@@ -99,9 +99,7 @@ def _features(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             if 0 < k < n - 1:
                 crossed |= brk[k : len(brk) - n + 1 + k]
         h = (h * np.uint32(0x85EBCA6B)) >> np.uint32(16)
-        keep = letter & ~crossed.astype(bool)
-        if n > 1:  # a gram that begins with a break belongs to the part that begins there
-            keep &= True
+        keep = letter & ~crossed  # a gram that begins with a break belongs to the part that begins there
         ids.append((h[keep] & np.uint32(BUCKETS - 1)).astype(np.int32))
         rows.append(own[: len(h)][keep])
     ids_all, rows_all = np.concatenate(ids), np.concatenate(rows)
