@@ -180,6 +180,22 @@ def test_recommend(spark):
     assert {tuple(r) for r in X.recommend(texts, lookup, order).select("id", "session_id", "matches").collect()} == {(1, "q", 2), (2, "p", 1)}
 
 
+def test_recommend_against_counting(spark):
+    random.seed(9)
+    codes = [f"[{x}_{y}]" for x in "PQ" for y in "ABCDE"]
+    books = {f"s{k}": set(random.sample(codes, random.randint(0, 7))) for k in range(12)}
+    texts = [(i, " ".join(random.choices([*codes, "[Z_Z]", "word"], k=random.randint(0, 6)))) for i in range(150)]
+    want = {}
+    for i, t in texts:
+        best = max(((len(held & set(t.split())), -k) for k, held in enumerate(books.values())))
+        if best[0]:
+            want[i] = (f"s{-best[1]}", best[0])
+    lookup = spark.createDataFrame([(s, c) for s, held in books.items() for c in held], "session_id string, code string")
+    order = spark.createDataFrame([(s, k) for k, s in enumerate(books)], "session_id string, ord int")
+    got = X.recommend(spark.createDataFrame(texts, "id int, text string"), lookup, order)
+    assert {r["id"]: (r["session_id"], r["matches"]) for r in got.collect()} == want
+
+
 def test_edits_are_inverse(spark):
     text, originals = "a [P_A] b [P_B] c [P_A]", ["Ann Lee", "Bo", "Ann"]
     spans = [(2, 7, "P", "[P_A]"), (10, 15, "P", "[P_B]"), (18, 23, "P", "[P_A]")]

@@ -34,6 +34,11 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that have a text, in enough partitions for work on the text."""
+    return spread(documents(spark, d).where("text is not null").select("doc_id", "text"))
+
+
 def given(spark: SparkSession, d: str) -> list[str]:
     """Given names of a table of fixed size."""
     return sorted({r["name"] for r in table(spark, d, "given_names").select("name").distinct().collect() if r["name"]})
@@ -143,18 +148,18 @@ def card_check(spark: SparkSession, d: str) -> DataFrame:
     "SELECT doc_id, CASE WHEN l > 0 AND CAST(h AS DOUBLE) / l >= 0.2 THEN 'zh' ELSE 'en' END AS detected FROM n"
 )
 def lang_detect(spark: SparkSession, d: str) -> DataFrame:
-    return documents(spark, d).where("text is not null").select("doc_id", T.detect_language(F.col("text")).alias("detected"))
+    return texts(spark, d).select("doc_id", T.detect_language(F.col("text")).alias("detected"))
 
 
 @query(f"SELECT doc_id, regexp_matches(text, '[{_HAN}]') AS zh, regexp_matches(text, '[A-Za-z]{{2}}') AS en FROM documents WHERE text IS NOT NULL")
 def langs_in(spark: SparkSession, d: str) -> DataFrame:
-    langs = documents(spark, d).where("text is not null").select("doc_id", T.languages_in(F.col("text")).alias("l"))
+    langs = texts(spark, d).select("doc_id", T.languages_in(F.col("text")).alias("l"))
     return langs.select("doc_id", F.array_contains("l", "zh").alias("zh"), F.array_contains("l", "en").alias("en"))
 
 
 @query(f"SELECT doc_id, regexp_replace(regexp_replace(text, '([{_RUN}])([A-Za-z])', '\\1 \\2', 'g'), '([A-Za-z])([{_RUN}])', '\\1 \\2', 'g') AS spaced FROM documents WHERE text IS NOT NULL")
 def script_spacing(spark: SparkSession, d: str) -> DataFrame:
-    return documents(spark, d).where("text is not null").select("doc_id", T.space_scripts(F.col("text")).alias("spaced"))
+    return texts(spark, d).select("doc_id", T.space_scripts(F.col("text")).alias("spaced"))
 
 
 @query(
@@ -162,7 +167,7 @@ def script_spacing(spark: SparkSession, d: str) -> DataFrame:
     "SELECT doc_id, CAST(m + 1 AS BIGINT) AS entries, CAST(n AS BIGINT) AS last FROM s"
 )
 def script_spacing_index(spark: SparkSession, d: str) -> DataFrame:
-    index = documents(spark, d).where("text is not null").select("doc_id", T.space_scripts_index(F.col("text")).alias("i"))
+    index = texts(spark, d).select("doc_id", T.space_scripts_index(F.col("text")).alias("i"))
     return index.select("doc_id", F.size("i").cast("long").alias("entries"), F.element_at("i", -1).cast("long").alias("last"))
 
 
