@@ -1 +1 @@
-"""Subpackage."""
+"""Scalar functions as native expressions."""

@@ -1 +1 @@
-"""Subpackage."""
+"""Operators on documents, spans, code books and replies."""

@@ -1 +1 @@
-"""Subpackage."""
+"""Queries over whole tables."""

@@ -1 +1 @@
-"""Subpackage."""
+"""Sources and sinks."""

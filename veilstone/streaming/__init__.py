@@ -1 +1 @@
-"""Subpackage."""
+"""Operators on streams."""
