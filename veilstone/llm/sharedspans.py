@@ -176,10 +176,13 @@ def reference_blocks(documents: DataFrame, id_col: str = "doc_id", text_col: str
     anchors = cut(src.select("t", "text").mapInArrow(_anchors(length, gram), "h long, t long, pos int"))
     shared = anchors.groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").select("h")
     spots = anchors.join(shared, "h", "left_semi").groupBy("t").agg(F.collect_set(F.struct("h", "pos")).alias("spots"))  # bounded by the text's own length
-    around = src.select("t", "text").join(spots, "t").mapInArrow(_surroundings(length, gram), "h long, t long, off int, around string")
+    members = src.select("t", "doc_id").distinct()
+    # one document of each text is read again: copies, however many, aren't
+    spots = spots.join(members.groupBy("t").agg(F.min("doc_id").alias("doc_id")), "t")
+    around = src.select("doc_id", "text").join(spots, "doc_id").mapInArrow(_surroundings(length, gram), "h long, t long, off int, around string")
     around = cut(around.withColumn("c", F.xxhash64("h", "off", "around")))
     entries = cut(around.select("h", "c", "off", "around").dropDuplicates(["c"]))
-    return src.select("t", "doc_id").distinct(), entries, around.select("c", "t").distinct()
+    return members, entries, around.select("c", "t").distinct()
 
 
 def shared_pairs(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, pairwise: int = PAIRWISE) -> DataFrame:
@@ -237,11 +240,14 @@ def shared_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     Null texts have null figures; shorter texts share nothing; a text with copies is shared as a whole. Rows
     without an id are left out, an id delivered again counts once.
     """
-    src = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null").dropDuplicates(["doc_id"])
-    keyed = src.where(F.length("text") >= length).withColumn("t", F.xxhash64("text"))
-    anchors = cut(keyed.select("t", "text").mapInArrow(_anchors(length, gram), "h long, t long, pos int"))
+    src = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    n = F.length("text")
+    ids = cut(src.select("doc_id", n.alias("n_chars"), F.when(n >= length, F.xxhash64("text")).alias("t")).dropDuplicates(["doc_id"]))  # texts themselves aren't shuffled here
+    texts = ids.where("t is not null").groupBy("t").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    long = src.where(n >= length)
+    anchors = cut(long.select(F.xxhash64("text").alias("t"), "text").mapInArrow(_anchors(length, gram), "h long, t long, pos int"))
     shared = anchors.groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").select("h")
-    spots = anchors.join(shared, "h", "left_semi").groupBy("t").agg(F.collect_set("pos").alias("spots"))
+    spots = anchors.join(shared, "h", "left_semi").groupBy("t").agg(F.collect_set("pos").alias("spots")).join(texts.select("t", "doc_id"), "t")
     side = length - gram
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,14 +266,11 @@ def shared_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
             join = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
             yield pa.RecordBatch.from_arrays([pa.array(join(ts, np.int64)), pa.array(join(hs, np.int64)), pa.array(join(ps, np.int32))], ["t", "g", "start"])
 
-    runs = cut(keyed.select("t", "text").dropDuplicates(["t"]).join(spots, "t").mapInArrow(grams, "t long, g long, start int"))
+    runs = cut(long.select("doc_id", "text").join(spots, "doc_id").mapInArrow(grams, "t long, g long, start int"))
     twice = runs.groupBy("g").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").select("g")
     starts = runs.join(twice, "g", "left_semi").groupBy("t").agg(F.collect_set("start").alias("starts"))
     spans = starts.mapInArrow(_merge(length), "t long, span_start int, span_end int").groupBy("t").agg(F.array_sort(F.collect_list(F.struct("span_start", "span_end"))).alias("spans"))
-    copied = keyed.groupBy("t").agg(F.count("*").alias("copies"))
-    found = keyed.select("doc_id", "t").join(copied, "t").join(spans, "t", "left")
-    n = F.length("text")
-    out = src.select("doc_id", n.alias("n_chars")).join(found, "doc_id", "left")
+    out = ids.join(texts.select("t", "copies"), "t", "left").join(spans, "t", "left")
     whole = F.array(F.struct(F.lit(0).alias("span_start"), F.col("n_chars").alias("span_end")))
     out = out.withColumn("spans", F.when(F.col("n_chars").isNull(), None).when(F.col("copies") > 1, whole).otherwise(F.coalesce("spans", F.array().cast("array<struct<span_start:int,span_end:int>>"))))
     chars = F.aggregate("spans", F.lit(0), lambda acc, x: acc + x["span_end"] - x["span_start"])
