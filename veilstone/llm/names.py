@@ -350,11 +350,28 @@ def _compare(known: frozenset[str]):
     return run
 
 
+def _other_letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """First and last letters of the tokens that don't have the block's suffix, and of the names they are short for.
+
+    A typing error changes one of the two. Initials have their letter; acronyms have none.
+    """
+    nick = _nicknames()
+    for b in batches:
+        out = []
+        for key, form in zip(b.column("key").to_pylist(), b.column("form").to_pylist()):
+            p = _unpack(form)
+            others = [] if key.startswith("a:") else [fold(t.rstrip(".")) for t in p["toks"] if not fold(t.rstrip(".")).endswith(key[2:])]
+            words = [w for t in others for w in (t, *nick.get(t, ())) if w]
+            out.append(sorted({x for w in words for x in ("^" + w[0], "$" + w[-1])} | {"^" + c for c in p["inits"] if not key.startswith("a:")}))
+        yield pa.RecordBatch.from_arrays([b.column(c) for c in ("g", "k", "form", "ids")] + [pa.array(out, pa.list_(pa.string()))], ["g", "k", "form", "ids", "letters"])
+
+
 def _candidates(forms: DataFrame, common: int) -> DataFrame:
     """``(g, a, ids_a, b, ids_b)``: pairs of forms of one group that share a suffix.
 
-    Blocks of more than ``common`` forms are refined: their forms must also agree in the initial of
-    another token, or have no other token to compare.
+    Suffix blocks of more than ``common`` forms are refined: their forms must also agree in the first or last
+    letter of another token (that of an initial is its letter; nicknames count as the names they stand for). The
+    few forms without another token meet the whole block, and so do acronyms.
     """
     blocks = forms.select("g", F.explode("keys").alias("key"), "form", "ids").withColumn("k", F.xxhash64("key"))
     hot = blocks.groupBy("g", "k").agg(F.count("*").alias("n")).where(F.col("n") > common).select("g", "k")
@@ -363,11 +380,11 @@ def _candidates(forms: DataFrame, common: int) -> DataFrame:
         right = side.select(*on, F.col("form").alias("b"), F.col("ids").alias("ids_b"))
         return side.select(*on, F.col("form").alias("a"), F.col("ids").alias("ids_a")).join(right, on).where("a < b").select("g", "a", "ids_a", "b", "ids_b")
 
-    parts = F.split("form", "\t")
-    toks = F.filter(F.slice(parts, 7, 99), lambda t: ~F.endswith(t, F.substring("key", 3, 99)))
-    initials = F.array_distinct(F.concat(F.transform(toks, lambda t: F.substring(t, 1, 1)), F.split(parts[3], ""), F.when(F.size(toks) == 0, F.array(F.lit("*"))).otherwise(F.array().cast("array<string>"))))
-    refined = blocks.join(hot, ["g", "k"], "left_semi").withColumn("fine", F.explode(initials)).drop("key")
-    return pairs(blocks.join(hot, ["g", "k"], "left_anti").drop("key"), ["g", "k"]).unionByName(pairs(refined, ["g", "k", "fine"]))
+    refined = blocks.join(hot, ["g", "k"], "left_semi").select("g", "k", "key", "form", "ids").mapInArrow(_other_letters, "g long, k long, form string, ids array<long>, letters array<string>")
+    lone = refined.where(F.size("letters") == 0).select("g", "k", F.col("form").alias("x"), F.col("ids").alias("ids_x"))
+    met = refined.select("g", "k", "form", "ids").join(lone, ["g", "k"]).where("form <> x").select("g", F.least("form", "x").alias("a"), F.when(F.col("form") < F.col("x"), F.col("ids")).otherwise(F.col("ids_x")).alias("ids_a"), F.greatest("form", "x").alias("b"), F.when(F.col("form") < F.col("x"), F.col("ids_x")).otherwise(F.col("ids")).alias("ids_b"))
+    refined = refined.withColumn("fine", F.explode("letters")).drop("letters")
+    return pairs(blocks.join(hot, ["g", "k"], "left_anti").drop("key"), ["g", "k"]).unionByName(pairs(refined, ["g", "k", "fine"])).unionByName(met)
 
 
 def same_names(records: DataFrame, places: frozenset[str] = frozenset(), known: frozenset[str] = frozenset(), common: int = COMMON) -> DataFrame:
