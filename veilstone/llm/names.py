@@ -374,12 +374,14 @@ def _candidates(forms: DataFrame, common: int) -> DataFrame:
     few forms without another token meet the whole block, and so do acronyms.
     """
     blocks = forms.select("g", F.explode("keys").alias("key"), "form", "ids").withColumn("k", F.xxhash64("key"))
-    hot = blocks.groupBy("g", "k").agg(F.count("*").alias("n")).where(F.col("n") > common).select("g", "k")
+    hot = cut(blocks.groupBy("g", "k").agg(F.count("*").alias("n")).where(F.col("n") > common).select("g", "k"))
 
     def pairs(side: DataFrame, on: list[str]) -> DataFrame:
         right = side.select(*on, F.col("form").alias("b"), F.col("ids").alias("ids_b"))
         return side.select(*on, F.col("form").alias("a"), F.col("ids").alias("ids_a")).join(right, on).where("a < b").select("g", "a", "ids_a", "b", "ids_b")
 
+    if hot.isEmpty():
+        return pairs(blocks.drop("key"), ["g", "k"])
     refined = blocks.join(hot, ["g", "k"], "left_semi").select("g", "k", "key", "form", "ids").mapInArrow(_other_letters, "g long, k long, form string, ids array<long>, letters array<string>")
     lone = refined.where(F.size("letters") == 0).select("g", "k", F.col("form").alias("x"), F.col("ids").alias("ids_x"))
     met = refined.select("g", "k", "form", "ids").join(lone, ["g", "k"]).where("form <> x").select("g", F.least("form", "x").alias("a"), F.when(F.col("form") < F.col("x"), F.col("ids")).otherwise(F.col("ids_x")).alias("ids_a"), F.greatest("form", "x").alias("b"), F.when(F.col("form") < F.col("x"), F.col("ids_x")).otherwise(F.col("ids")).alias("ids_b"))
