@@ -270,8 +270,10 @@ def scope_names(spark: SparkSession, d: str) -> DataFrame:
     "WITH v AS (SELECT DISTINCT doc_id, text AS value FROM spans WHERE regexp_full_match(text, '[\\x{4E00}-\\x{9FFF}]{2,}')) SELECT v.doc_id, v.value, CAST((length(d.text) - length(replace(d.text, v.value, ''))) // length(v.value) AS BIGINT) AS hits FROM v JOIN documents d USING (doc_id) WHERE contains(d.text, v.value)"
 )
 def known_propagation(spark: SparkSession, d: str) -> DataFrame:
-    values = table(spark, d, "spans").where(F.col("text").rlike("^[\\x{4E00}-\\x{9FFF}]{2,}$")).groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("text", F.lit("PERSON")))).alias("values"))
+    """Every known value of a document; the SQL has no edge guards and covers the Chinese values without digits or spaces only."""
+    values = table(spark, d, "spans").where(F.length("text") > 1).groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("text", F.lit("PERSON")))).alias("values"))
     joined = documents(spark, d).select("doc_id", "text").join(values, "doc_id")
+    joined = joined.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "doc_id")
     found = joined.select("doc_id", F.inline(spans.find_all(F.col("text"), F.col("values"))))
     return found.groupBy("doc_id", F.col("text").alias("value")).agg(F.count("*").alias("hits"))
 
