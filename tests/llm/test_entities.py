@@ -51,6 +51,14 @@ def test_copies_repeats_and_unclear_parts(spark, places):
     assert {tuple(r) for r in A.same_place(df.where("id < 4"), places).collect()} == {(1, 2), (1, 3), (2, 3)}
 
 
+def test_large_blocks_lose_no_misspelt_street(spark, places):
+    streets = ["Jazmin", "Jzamin", "Hawthorn", "Hawhtorn", "Umbershore", "Ubmershore", "Alderknoll", "Aldreknoll", "Mulberry", "Mlberryy", "Brightwater", "Xrightwatex", "Copper Hollow", "Copper Holow"]
+    df = spark.createDataFrame([(i, f"7 {w} Lane, Lake Marren") for i, w in enumerate(streets)], "id long, text string")
+    whole = {tuple(r) for r in A.same_place(df, places, common=300).collect()}
+    assert whole == {(i, i + 1) for i in range(0, len(streets), 2)}
+    assert {tuple(r) for r in A.same_place(df, places, common=0).collect()} == whole
+
+
 @pytest.mark.parametrize("text,n", [("12", 12), ("十", 10), ("二十", 20), ("九十九", 99), ("一五五", 155), ("一百二十三", 123), ("二零九", 209), ("三百零五", 305), ("兩", 2)])
 def test_chinese_numbers(text, n):
     assert A.chinese_number(text) == n

@@ -25,7 +25,7 @@ OVERLAP = 0.8
 #: Edits (insertions, deletions, replacements) by which words of 6 letters or more may differ; shorter ones by half.
 EDITS = 2
 
-#: Forms of a block beyond which it is refined by a second rare piece.
+#: Forms of a block beyond which it is refined by the street words that are equal or nearly so.
 COMMON = 300
 
 # Kinds of street and how they are written.
@@ -247,14 +247,18 @@ def _agree(column: str) -> F.Column:
     return (a == b) | (a == "") | (b == "")
 
 
+def _allowed(word: F.Column, edits: int) -> F.Column:
+    """Edits by which a street word may differ from one of the other side."""
+    return F.when(F.length(word) >= 6, F.lit(edits)).otherwise(F.when(F.length(word) >= 4, F.lit(edits // 2)).otherwise(F.lit(0)))
+
+
 def _words_fit(edits: int, overlap: float) -> F.Column:
     """Rarity-weighted share of street words that are in common or nearly so, on the side where it is less."""
 
     def share(own: str, other: str) -> F.Column:
         w, o = F.col(f"{own}.weighted"), F.col(f"{other}.words")
-        allowed = lambda x: F.when(F.length(x) >= 6, F.lit(edits)).otherwise(F.when(F.length(x) >= 4, F.lit(edits // 2)).otherwise(F.lit(0)))
         rest = F.array_except(o, F.array_intersect(F.col("a.words"), F.col("b.words")))
-        good = F.filter(w, lambda x: F.array_contains(o, x["word"]) | F.exists(rest, lambda y: F.levenshtein(x["word"], y) <= allowed(x["word"])))
+        good = F.filter(w, lambda x: F.array_contains(o, x["word"]) | F.exists(rest, lambda y: F.levenshtein(x["word"], y) <= _allowed(x["word"], edits)))
         total = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x["weight"])
         return total(good) / total(w)
 
@@ -272,7 +276,7 @@ def link_forms(forms: DataFrame, edits: int = EDITS, overlap: float = OVERLAP, c
     df = words.groupBy("word").agg(F.count("*").alias("df"))
     weighted = words.join(df, "word").withColumn("weight", 1.0 / (1.0 + F.log1p("df"))).groupBy("f").agg(F.collect_list(F.struct("word", "weight")).alias("weighted"))
     rich = cut(forms.join(weighted, "f"))
-    pairs = _blocks(rich, common)
+    pairs = _blocks(rich, edits, common)
     fits = _agree("kind") & _agree("point") & _agree("district") & _agree("town") & (F.col("a.style") == F.col("b.style"))
     links = pairs.where(fits & _words_fit(edits, overlap)).select(F.col("a.f").alias("fa"), F.col("b.f").alias("fb"), *[F.struct(F.col(f"a.{c}").alias("a"), F.col(f"b.{c}").alias("b")).alias(c) for c in PARTS]).distinct()
     links = cut(links)
@@ -292,23 +296,44 @@ def _through_a_third(links: DataFrame) -> DataFrame:
     return links.unionByName(two).distinct()
 
 
-def _blocks(rich: DataFrame, common: int) -> DataFrame:
-    """``(a, b)``: pairs of forms with the same digits and a rare word in common.
+def _shortened(word: F.Column, edits: int) -> F.Column:
+    """``word`` and all that is left of it after deletions, as many as any word that fits it may call for.
 
-    Every street word is a rare word, and so is the town, which finds streets with a typing error. Blocks of
-    more than ``common`` forms, such as a frequent number in a large town, are refined by a second rare piece: the
-    first or the last letters of a street word, which one typing error leaves as they are.
+    Two words of which one allows ``edits`` to the other have one of these in common.
     """
-    town = F.when(F.col("town") != "", F.array("town")).otherwise(F.array().cast("array<string>"))
-    block = rich.select("dig", F.explode(F.array_distinct(F.concat("words", town))).alias("rare"), F.struct("f", "num", "style", "kind", "point", "district", "town", "words", "weighted").alias("a"))
-    hot = block.groupBy("dig", "rare").agg(F.count("*").alias("n")).where(F.col("n") > common).select("dig", "rare")
+    n = F.length(word)
+    depth = F.when(n >= 6, F.lit(edits)).otherwise(F.greatest(F.lit(0), F.lit(edits // 2) - F.greatest(F.lit(0), 4 - n), n + (edits - 6)))
+    without = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(w.substr(F.lit(1), i - 1), w.substr(i + 1, F.length(w))))
+    level = out = F.array(word)
+    for k in range(1, edits + 1):
+        level = F.array_distinct(F.flatten(F.transform(F.filter(level, lambda w, k=k: (depth >= k) & (F.length(w) > 0)), without)))
+        out = F.concat(out, level)
+    return F.array_distinct(out)
 
-    def pairs(side: DataFrame, on: list[str]) -> DataFrame:
-        return side.join(side.withColumnRenamed("a", "b"), on).where("a.f < b.f and a.num = b.num").select("a", "b")
 
-    ends = F.flatten(F.transform(F.col("a.words"), lambda w: F.array(F.concat(F.lit("^"), F.substring(w, 1, 4)), F.concat(F.lit("$"), F.substring(w, -4, 4)))))
-    refined = block.join(hot, ["dig", "rare"], "left_semi").withColumn("piece", F.explode(F.array_distinct(ends)))
-    return pairs(block.join(hot, ["dig", "rare"], "left_anti"), ["dig", "rare"]).unionByName(pairs(refined, ["dig", "rare", "piece"]))
+def _blocks(rich: DataFrame, edits: int, common: int) -> DataFrame:
+    """``(a, b)``: pairs of forms with the same digits and a rare word in common.
+
+    Every street word is a rare word, and so is the town, which finds streets with a typing error. In blocks of
+    more than ``common`` forms, such as a frequent number in a large town, those pairs are left out that can't fit: of
+    the words of any pair that fits two are equal, and it stands in the block of that word, or within the edits allowed,
+    and those are found by what is left of them after deletions.
+    """
+    on = ["dig", "num", "style", "rare"]
+    town = F.when(F.col("town") != "", F.array("town")).otherwise(F.array().cast("array<string>"))
+    block = rich.select("dig", "num", "style", F.explode(F.array_distinct(F.concat("words", town))).alias("rare"), F.struct("f", "num", "style", "kind", "point", "district", "town", "words", "weighted").alias("a"))
+    hot = block.groupBy(on).agg(F.count("*").alias("n")).where(F.col("n") > common).select(on)
+
+    def pairs(side: DataFrame) -> DataFrame:
+        return side.join(side.withColumnRenamed("a", "b"), on).where("a.f < b.f").select("a", "b")
+
+    large = block.join(hot, on, "left_semi")
+    by_word = large.withColumn("word", F.explode("a.words"))
+    keys = by_word.select(*on, "word").distinct().select(*on, "word", F.explode(_shortened(F.col("word"), edits)).alias("rest")).withColumn("rest", F.xxhash64("rest"))
+    fit = F.levenshtein("word", "other") <= F.greatest(_allowed(F.col("word"), edits), _allowed(F.col("other"), edits))
+    near = keys.join(keys.withColumnRenamed("word", "other"), [*on, "rest"]).where((F.col("word") != F.col("other")) & fit).select(*on, "word", "other").distinct()
+    misspelt = by_word.join(near, [*on, "word"]).drop("word").join(by_word.withColumnRenamed("a", "b").withColumnRenamed("word", "other"), [*on, "other"]).where("a.f < b.f").select("a", "b")
+    return pairs(block.join(hot, on, "left_anti")).unionByName(pairs(large.where(F.array_contains("a.words", F.col("rare"))))).unionByName(misspelt)
 
 
 def same_place(records: DataFrame, g: Gazetteer, edits: int = EDITS, overlap: float = OVERLAP, common: int = COMMON) -> DataFrame:
