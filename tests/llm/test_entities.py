@@ -108,6 +108,13 @@ def test_refined_blocks_lose_no_link_and_compare_less(spark):
     assert 0 < N._candidates(forms, 3).distinct().count() < N._candidates(forms, 400).distinct().count()
 
 
+def test_initials_meet_surnames_with_a_slip_in_the_suffix(spark):
+    cases = [("Lorveley, V.", "Victoria Lorvelye"), ("B. Carnby", "Corin Barnbyy"), ("M. Thornby", "Peggy Thornyb"), ("E. Lund", "Eve Bund"), ("K. Ouvering", "Kathy Uovering")]
+    want = [tuple(c) for c, v in zip(cases, verdicts(cases)) if v]
+    assert want == [c for c in cases if c[1] != "Corin Barnbyy"]
+    assert link(spark, [t for c in cases for t in c]) == {(2 * i, 2 * i + 1) for i, c in enumerate(cases) if c in want}
+
+
 def test_lone_surname_of_one_person(spark):
     assert link(spark, ["Robert Thornby", "R. Thornby", "Thornby", "THORNBY"]) == {(i, j) for i in range(4) for j in range(i + 1, 4)}
     assert link(spark, ["Corvin", "CORVIN", "Corvyn"], places=frozenset({"corvin"})) == set()

@@ -2,7 +2,8 @@
 
 Suffix blocking: every token of a name is indexed by its suffix of a minimum length (one character in Chinese),
 always together with the group it stands in, so that suffixes common in the corpus needn't be discarded; a suffix
-that is still common within its group is refined by the name's other tokens. Names that share a block are compared
+that is still common within its group is refined by the name's other tokens. A surname with initials also meets the
+full names of its group that have the initial and a letter at the surname's ends in common. Names that share a block are compared
 token by token by the ratio of their longest common subsequence, with initials, nicknames, abbreviations,
 acronyms, legal forms and romanised Chinese understood.
 """
@@ -161,10 +162,33 @@ def parse(text: str) -> dict | None:
         return None
     kind = "single" if len(words) == 1 and not inits else "name"
     acr = "".join(t[0] for t in words) if len(words) >= 3 and not inits else ""
-    keys = ["s:" + fold(t.rstrip("."))[-SUFFIX:] for t in words if len(t) >= 3] + ["a:" + acr] * bool(acr)
+    keys = ["s:" + fold(t.rstrip("."))[-SUFFIX:] for t in words if len(t) >= 3] + ["a:" + acr] * bool(acr) + _initial_keys(words, toks, inits)
     return {"norm": " ".join(sorted(map(fold, toks))) + "|" + inits + "/" + legal, "kind": kind, "toks": toks, "inits": inits, "legal": legal, "acr": acr, "keys": list(dict.fromkeys(keys))}
 
 
+def _end_letters(token: str) -> set[str]:
+    """Letters at the ends of a token, so many that two tokens that are equal or a slip apart have one in common.
+
+    Of the letters that such tokens don't share, one at least is at the end, or the last letters are equal.
+    """
+    out = set()
+    for x in (token, fold(token)):
+        many = max(2, int(round((1 - CLOSE) * (2 * len(x) + 2), 6)))
+        out |= {"^" + c for c in x[:many]} | {"$" + x[-1:]}
+    return out
+
+
+def _initial_keys(words: list[str], toks: list[str], inits: str) -> list[str]:
+    """``i:`` keys of a surname with initials, ``f:`` keys of a full name: the initial and a letter of the surname."""
+    plain = [t.rstrip(".") for t in toks]
+    if len(words) == 1 and inits:
+        return sorted(f"i:{inits[0]}{c}" for c in _end_letters(plain[toks.index(words[0])]))
+    if len(toks) != 2 or "&" in toks:
+        return []
+    firsts = [{x[0] for x in (fold(t), *_nicknames().get(fold(t), ())) if x} for t in toks]
+    return sorted({f"f:{x}{c}" for i in (0, 1) for x in firsts[1 - i] for c in _end_letters(plain[i])})
+
+
 def lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence."""
     if len(a) < len(b):
@@ -367,26 +391,45 @@ def _other_letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _candidates(forms: DataFrame, common: int) -> DataFrame:
-    """``(g, a, ids_a, b, ids_b)``: pairs of forms of one group that share a suffix.
+    """``(g, a, ids_a, b, ids_b)``: pairs of forms of one group that share a suffix, or the initial and a letter of the surname.
 
     Suffix blocks of more than ``common`` forms are refined: their forms must also agree in the first or last
     letter of another token (that of an initial is its letter; nicknames count as the names they stand for). The
     few forms without another token meet the whole block, and so do acronyms.
     """
-    blocks = forms.select("g", F.explode("keys").alias("key"), "form", "ids").withColumn("k", F.xxhash64("key"))
+    initials = F.col("key").rlike("^[if]:")
+    blocks = forms.select("g", F.explode("keys").alias("key"), "form", "ids").where(~initials).withColumn("k", F.xxhash64("key"))
     hot = cut(blocks.groupBy("g", "k").agg(F.count("*").alias("n")).where(F.col("n") > common).select("g", "k"))
 
     def pairs(side: DataFrame, on: list[str]) -> DataFrame:
         right = side.select(*on, F.col("form").alias("b"), F.col("ids").alias("ids_b"))
         return side.select(*on, F.col("form").alias("a"), F.col("ids").alias("ids_a")).join(right, on).where("a < b").select("g", "a", "ids_a", "b", "ids_b")
 
+    by_initial = _by_initial(forms)
     if hot.isEmpty():
-        return pairs(blocks.drop("key"), ["g", "k"])
+        return pairs(blocks.drop("key"), ["g", "k"]).unionByName(by_initial)
     refined = blocks.join(hot, ["g", "k"], "left_semi").select("g", "k", "key", "form", "ids").mapInArrow(_other_letters, "g long, k long, form string, ids array<long>, letters array<string>")
     lone = refined.where(F.size("letters") == 0).select("g", "k", F.col("form").alias("x"), F.col("ids").alias("ids_x"))
     met = refined.select("g", "k", "form", "ids").join(lone, ["g", "k"]).where("form <> x").select("g", F.least("form", "x").alias("a"), F.when(F.col("form") < F.col("x"), F.col("ids")).otherwise(F.col("ids_x")).alias("ids_a"), F.greatest("form", "x").alias("b"), F.when(F.col("form") < F.col("x"), F.col("ids_x")).otherwise(F.col("ids")).alias("ids_b"))
     refined = refined.withColumn("fine", F.explode("letters")).drop("letters")
-    return pairs(blocks.join(hot, ["g", "k"], "left_anti").drop("key"), ["g", "k"]).unionByName(pairs(refined, ["g", "k", "fine"])).unionByName(met)
+    return pairs(blocks.join(hot, ["g", "k"], "left_anti").drop("key"), ["g", "k"]).unionByName(pairs(refined, ["g", "k", "fine"])).unionByName(met).unionByName(by_initial)
+
+
+def _by_initial(forms: DataFrame) -> DataFrame:
+    """``(g, a, ids_a, b, ids_b)``: surnames with initials and the full names of their group that may be theirs.
+
+    Only pairs without a common suffix; the others are candidates already.
+    """
+    of = lambda kind: F.filter("keys", lambda k: k.startswith(kind))
+    suffixes = F.filter("keys", lambda k: k.startswith("s:"))
+    short = forms.where(F.exists("keys", lambda k: k.startswith("i:"))).select("g", of("i:").alias("i"), suffixes.alias("si"), F.col("form").alias("x"), F.col("ids").alias("ids_x"))
+    full = forms.where(F.exists("keys", lambda k: k.startswith("f:"))).join(short.select("g").distinct(), "g", "left_semi")
+    full = full.select("g", of("f:").alias("f"), suffixes.alias("sf"), F.col("form").alias("y"), F.col("ids").alias("ids_y"))
+    short = short.select("*", F.explode("i").alias("key")).withColumn("key", F.expr("substring(key, 3)")).drop("i")
+    full = full.select("*", F.explode("f").alias("key")).withColumn("key", F.expr("substring(key, 3)")).drop("f")
+    met = short.join(full, ["g", "key"]).where(~F.arrays_overlap("si", "sf"))
+    swap = F.col("x") < F.col("y")
+    return met.select("g", F.least("x", "y").alias("a"), F.when(swap, F.col("ids_x")).otherwise(F.col("ids_y")).alias("ids_a"), F.greatest("x", "y").alias("b"), F.when(swap, F.col("ids_y")).otherwise(F.col("ids_x")).alias("ids_b"))
 
 
 def same_names(records: DataFrame, places: frozenset[str] = frozenset(), known: frozenset[str] = frozenset(), common: int = COMMON) -> DataFrame:
