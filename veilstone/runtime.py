@@ -28,8 +28,8 @@ def build_session(app: str = "veilstone", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share.
 
-    ``spark.checkpoint.dir`` names it on a cluster. Only where it is unset, as in local tests, a
-    fresh temporary folder is made and set as the checkpoint folder.
+    ``spark.checkpoint.dir`` names it on a cluster. Only on a local master, as in tests, a fresh temporary
+    folder is made where it is unset; elsewhere executors wouldn't share it, and that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -38,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="veilstone-")
     context.setCheckpointDir(made)
     return made
@@ -74,6 +76,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Rows that a table may have to be read to the driver as one of a fixed size.
+FIXED_ROWS = 200_000
+
+
+def fixed_table(df: DataFrame, most: int = FIXED_ROWS) -> list:
+    """The rows of a table of a fixed size; an error if there are more than ``most``, so that it never grows unseen."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows in a table that is read to the driver")
+    return rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` below ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
