@@ -130,18 +130,19 @@ def brute(texts, n=200):
     return sorted((i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if grams[i] & grams[j])
 
 
-@pytest.mark.parametrize("pairwise", [0, 2, 48])
-def test_shared_pairs_against_brute_force(spark, pairwise):
+@pytest.mark.parametrize("block_rows", [0, 8192])
+def test_shared_pairs_against_brute_force(spark, block_rows):
     texts = shared_corpus()
     df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, t string")
-    assert sorted(map(tuple, R.shared_pairs(df.unionByName(df.limit(5)), pairwise=pairwise).collect())) == brute(texts)
+    assert sorted(map(tuple, R.shared_pairs(df.unionByName(df.limit(5)), block_rows=block_rows).collect())) == brute(texts)
     assert R.shared_pairs(df.limit(0)).count() == 0
 
 
-def test_shared_spans_against_brute_force(spark):
+@pytest.mark.parametrize("block_rows", [0, 8192])
+def test_shared_spans_against_brute_force(spark, block_rows):
     texts = shared_corpus()
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "x" * 300)], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in R.shared_spans(df).collect()}
+    got = {r["doc_id"]: r for r in R.shared_spans(df, block_rows=block_rows).collect()}
     assert set(got) == set(range(len(texts)))
     holders = {}
     for i, t in enumerate(texts):

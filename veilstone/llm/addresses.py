@@ -1,9 +1,10 @@
 """Address records that denote one location, however they are written.
 
 Each record is read into its house number, the digits that belong to the location, the words of its street and its
-town; floors, units and rooms are left out. Then numbers first: records are blocked on their sorted digit tokens
-plus one rare word, the street words of the two are intersected, and a pair is accepted by the rarity-weighted share of
-the words in common and the edit distance of those that are left.
+town; floors, units and rooms are left out. Then numbers first: records are blocked on their sorted digit tokens, their
+town and one rare word of the street, equal or misspelt; the street words of the two are intersected, and a pair is
+accepted by the rarity-weighted share of the words in common and the edit distance of those that are left. Locations
+are classes: what is linked through others is linked.
 """
 
 from __future__ import annotations
@@ -16,18 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilstone.llm.confusables import skeleton
-from veilstone.llm.names import TRADITIONAL, bare, fold, lcs
-from veilstone.runtime import cut
+from veilstone.llm.names import Writing, bare, fold, lcs, writing
+from veilstone.runtime import cut, fixed_table
 
 #: Share of the rarity of all street words that must be in common or within :data:`EDITS` of a word of the other side.
 OVERLAP = 0.8
 #: Edits (insertions, deletions, replacements) by which words of 6 letters or more may differ; shorter ones by half.
 EDITS = 2
 
-#: Forms of a block beyond which it is refined by the street words that are equal or nearly so.
-COMMON = 300
-
 # Kinds of street and how they are written.
 KINDS = {
     "en": "street st str|avenue ave av|boulevard blvd boul|road rd|drive dr|lane ln|court ct|terrace ter terr|parkway pkwy pky|place pl|square sq|highway hwy|circle cir|way wy|trail trl",
@@ -42,62 +39,78 @@ TOWN_SHORT = {"st": "saint", "ste": "sainte", "sta": "santa", "sto": "santo", "f
 # Parts of an address inside the building.
 UNITS = re.compile(
     r"#\s*[a-z0-9]+|\b(?:apt|apartment|suite|ste|unit|appt|appartement|bat|batiment|piso|puerta|pta|escalera|esc|wohnung|whg|room|rm|floor|fl|etage|planta)\b\.?\s*(?:no\.?\s*|#\s*)?\d+\s?[a-z]?\b"
-    r"|\b\d+\s?[ao]\.?\s*(?:planta|piso)\b|\b\d+(?:\.|er|e|eme|re)?\s*(?:og|stock|etage|obergeschoss|floor)\b|\b(?:eg|erdgeschoss|rdc)\b|\b\d+o\.?\s+(?:[a-z]\b|izq\b|dcha\b)"
+    r"|\b\d+\s?[ao]\.?\s*(?:planta|piso)\b|\b\d+(?:\.|er|e|eme|re|st|nd|rd|th)?\s*(?:og|stock|etage|obergeschoss|floor)\b|\b(?:eg|erdgeschoss|rdc)\b|\b\d+o\.?\s+(?:[a-z]\b|izq\b|dcha\b)"
 )
-# Simplified characters of place names and their traditional forms, besides those of names.
-PLACE_CHARS = TRADITIONAL | dict(zip("县区号楼层东西云鹤枫鹭芦涛锦莲兰坞汀岚雾滨桥关渚泽浦溪湖门园场头龙凤", "縣區號樓層東西雲鶴楓鷺蘆濤錦蓮蘭塢汀嵐霧濱橋關渚澤浦溪湖門園場頭龍鳳")) | {"臺": "台", "巿": "市"}
+# Ordinal numbers that name streets.
+ORDINALS = {x: str(i) for i, x in enumerate("first second third fourth fifth sixth seventh eighth ninth tenth".split(), 1)}
 
 _DIGITS = dict(zip("零〇一二三四五六七八九", (0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 9)))
-_NUMBER = "[0-9零〇一二兩三四五六七八九十百千]+"
+_NUMBER = "[0-9零〇一二两三四五六七八九十百千]+"
+# in simplified characters; the first character of a street may be one that ends a town or district
 _CHINESE = re.compile(
-    rf"^(?:\d{{3,6}}-?)?(?P<city>[^市縣區\d]{{2,3}}[市縣])?(?P<district>[^區路街\d]{{2,3}}區)?(?P<street>[^\d段巷弄號市縣區]{{1,6}}?(?:大道|路|街))"
-    rf"(?:(?P<section>{_NUMBER})段)?(?:(?P<lane>{_NUMBER})巷)?(?:(?P<alley>{_NUMBER})弄)?(?P<house>{_NUMBER})(?:[之-](?P<sub>{_NUMBER}))?號(?:之(?P<sub2>{_NUMBER})(?![樓fF]))?"
+    rf"^(?:\d{{3,6}}-?)?(?P<city>[^市县区\d]{{2,3}}[市县])?(?P<district>[^区路街\d]{{2,3}}区)?(?P<street>[市县区]?[^\d段巷弄号市县区]{{1,6}}?(?:大道|路|街))"
+    rf"(?:(?P<section>{_NUMBER})段)?(?:(?P<lane>{_NUMBER})巷)?(?:(?P<alley>{_NUMBER})弄)?(?P<house>{_NUMBER})(?:[之-](?P<sub>{_NUMBER}))?号(?:之(?P<sub2>{_NUMBER})(?![楼fF]))?"
 )
 
 #: Parts that a record may lack.
 PARTS = ("kind", "point", "district", "town")
+_OWN = ["num", "dig", "style", "kind", "point", "district", "town", "words"]
 FORM = "num string, dig string, style string, kind string, point string, district string, town string, words array<string>"
 
 
 @dataclass(frozen=True)
 class Gazetteer:
-    """The towns of a table of fixed size, as addresses are read against them."""
+    """The towns of a table of fixed size, as addresses are read against them, and the tables by which text is read."""
 
+    writing: Writing
     by_code: dict[str, tuple[str, str]] = field(default_factory=dict)  # postcode: (style, town)
     towns: dict[str, str] = field(default_factory=dict)  # folded name: style
     districts: dict[str, str] = field(default_factory=dict)  # Chinese district: city
-    regions: frozenset[str] = frozenset()
+    regions: dict[str, list[list[str]]] = field(default_factory=dict)  # first word: words of the regions that begin with it
+    by_word: dict[str, list[str]] = field(default_factory=dict)  # last word of a town, whole and less a letter: towns
 
 
 def gazetteer(places: DataFrame) -> Gazetteer:
     """Reads ``places(address_style, city, district, region_name, region_code, postcode)``; a table of fixed size."""
-    by_code, towns, districts, regions = {}, {}, {}, set()
-    for r in places.distinct().collect():
+    g = Gazetteer(writing(places.sparkSession))
+    look, regions = g.writing.looks.skeleton, set()
+    for r in fixed_table(places.distinct()):
         style, city = r["address_style"], r["city"]
         if not city or not style:
             continue
         if style == "zh":
-            city = _chinese(city)
+            city = _chinese(city, g)
             if r["district"]:
-                districts[_chinese(r["district"])] = city
+                g.districts[_chinese(r["district"], g)] = city
         else:
-            city = " ".join(re.split(r"[\s\-]+", bare(skeleton(city))))
-            towns[city] = style
+            city = " ".join(re.split(r"[\s\-]+", bare(look(city))))
+            g.towns[city] = style
             if r["postcode"]:
-                by_code[r["postcode"]] = (style, city)
-        regions |= {bare(skeleton(x)) for x in (r["region_name"], r["region_code"]) if x}
-    return Gazetteer(by_code, towns, districts, frozenset(regions))
+                g.by_code[r["postcode"]] = (style, city)
+        regions |= {bare(look(x)) for x in (r["region_name"], r["region_code"]) if x}
+    for region in sorted(regions):
+        g.regions.setdefault(region.split()[0], []).append(region.split())
+    for town in sorted(g.towns):
+        for key in _town_keys(town.split()[-1]):
+            g.by_word.setdefault(key, []).append(town)
+    return g
+
 
+def _town_keys(word: str) -> set[str]:
+    """A word and what is left of it without a letter: words that are a slip apart have one of these in common."""
+    word = fold(word)
+    return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
 
-def _chinese(text: str) -> str:
-    return "".join(PLACE_CHARS.get(c, c) for c in re.sub(r"[\s,、]", "", text))
+
+def _chinese(text: str, g: Gazetteer) -> str:
+    return g.writing.han.plain(re.sub(r"[\s,、]", "", text)).replace("巿", "市")
 
 
 def chinese_number(text: str) -> int:
     """The value of Arabic or Chinese numerals, positional (一五五) or with units (一百五十五)."""
     if text.isdigit() and text.isascii():
         return int(text)
-    text = text.replace("兩", "二")
+    text = text.replace("两", "二").replace("兩", "二")
     if not re.search("[十百千]", text):
         return int("".join(c if c.isascii() else str(_DIGITS[c]) for c in text))
     total = digit = 0
@@ -111,7 +124,7 @@ def chinese_number(text: str) -> int:
 
 
 def _parse_chinese(text: str, g: Gazetteer) -> dict | None:
-    m = _CHINESE.match(_chinese(text))
+    m = _CHINESE.match(_chinese(text, g))
     if not m:
         return None
     v = {k: chinese_number(x) for k in ("section", "lane", "alley", "house", "sub", "sub2") if (x := m[k])}
@@ -129,62 +142,85 @@ def _near(a: str, b: str) -> bool:
 
 def _find_town(toks: list[str], town: str, near: bool) -> tuple[int, int] | None:
     want = town.split()
-    if not near and not any(x == want[-1] or fold(x) == fold(want[-1]) for x in toks):  # the last word of a town is never short
-        return None
     for i in range(len(toks) - len(want), -1, -1):
         got = toks[i : i + len(want)]
-        if all(x == y or TOWN_SHORT.get(x) == y or fold(x) == fold(y) for x, y in zip(got, want)):
-            return i, i + len(want)
-        if near and all(x == y or TOWN_SHORT.get(x) == y or _near(x, y) for x, y in zip(got, want)):
+        if all(x == y or TOWN_SHORT.get(x) == y or fold(x) == fold(y) or (near and _near(x, y)) for x, y in zip(got, want)):
             return i, i + len(want)
     return None
 
 
+def _towns_in(toks: list[str], g: Gazetteer) -> set[str]:
+    """Towns whose last word stands in the text, whole, shortened or with a slip."""
+    keys = {k for t in toks for x in (t, TOWN_SHORT.get(t, "")) if x for k in _town_keys(x)}
+    return {town for k in keys for town in g.by_word.get(k, ())}
+
+
 def parse(text: str, g: Gazetteer) -> dict | None:
-    """What identifies the location of one address; null if the text isn't the address of a building."""
-    plain = skeleton(text)
+    """What identifies the location of one address; null if the text isn't the address of a building.
+
+    An address has a house number, at least one word or number of a street, and a kind of street, a town or a
+    postcode. Where neither town nor postcode is known, the street of an English address follows its number. A range of
+    numbers is one of its own; numbered streets are told apart by their digits.
+    """
+    plain = g.writing.looks.skeleton(text)
     if re.search("[號号]", plain):
         return _parse_chinese(plain, g)
     plain = bare(plain).replace("№", "no ").replace("c/", "calle ").replace("p.o ", "paseo ")
     plain = re.sub(r"(?<=[a-z])\.(?=[a-z]\b)", "", plain)
     plain = re.sub(r"\b(\d{5})-\d{4}\b", r"\1", re.sub(r"\bd-(?=\d{5}\b)", "", plain))
     plain = UNITS.sub(" , ", plain)
-    codes = re.findall(r"(?<!\d)\d{5}(?!\d)", plain)
+    ordinals = re.findall(r"\b(\d{1,3})(?:st|nd|rd|th)\b", plain)
+    plain = re.sub(r"\b\d{1,3}(?:st|nd|rd|th)\b", " nth ", plain)
+    fives = re.findall(r"(?<![\d\w])\d{5}(?!\d)", plain)
+    codes = [c for c in fives if c in g.by_code]
+    if not codes and fives and re.search(r"(?<![\w.:/])(?!\d{5}(?!\d))\d{1,6}[a-z]?(?![\w.:/]*\d)", plain):
+        codes = fives  # another number is the house's
+    elif not codes and fives:
+        codes = fives[1:] if re.match(r"\W*\d{5}(?!\d)", plain) else fives  # a leading one is the house's
     style, town = next((g.by_code[c] for c in codes if c in g.by_code), ("", ""))
-    plain = re.sub(r"(?<!\d)\d{5}(?!\d)", " , ", plain)
-    houses = list(re.finditer(r"(?<![\w.:/])(\d{1,4})(?:\s?(bis|ter|quater|[a-z])(?![\w.]))?(?![\w:./]*\d)", plain))
-    if not houses:
+    for c in codes:
+        plain = re.sub(rf"(?<!\d){c}(?!\d)(?!.*(?<!\d){c}(?!\d))" if fives.count(c) > codes.count(c) else rf"(?<!\d){c}(?!\d)", " , ", plain)
+    house = re.search(r"(?<![\w.:/])(\d{1,6})(?:\s?(bis|ter|quater|[a-z])(?![\w.]))?(?![\w:./]*\d)", plain)
+    if not house:
         return None
-    house = houses[0]
-    toks = re.findall(r"[^\W\d_]+", plain[: house.start()] + " , " + plain[house.start(2) if house[2] else house.end() :])
-    if not 0 < len(toks) <= 14 or max(map(len, toks)) > 40:
+    number, after = house[1], plain[house.start(2) if house[2] else house.end() :]
+    if (upto := re.match(r"\s?-\s?(\d{1,6})(?!\d)", after)) and int(upto[1]) > int(number):
+        number, after = f"{number}-{upto[1]}", after[upto.end() :]
+    before = re.findall(r"[^\W\d_]+", plain[: house.start()])
+    toks = before + re.findall(r"[^\W\d_]+", after)
+    if not toks:
         return None
-    toks_all = toks
-    spot = None
+    toks_all, spot, ahead = toks, None, len(before)
     if town:
         spot = _find_town(toks, town, False) or _find_town(toks, town, True)
     else:
+        around = _towns_in(toks, g)
         for near in (False, True):
-            hits = [(b - a, name, (a, b)) for name in g.towns if (at := _find_town(toks, name, near)) for a, b in [at]]
+            hits = [(b - a, name, (a, b)) for name in around if (at := _find_town(toks, name, near)) for a, b in [at]]
             if hits:
                 _, town, spot = max(hits)
                 style = g.towns[town]
                 break
     if spot:
         toks = toks[: spot[0]] + toks[spot[1] :]
-    for region in g.regions:
-        part = region.split()
-        for i in range(len(toks) - len(part) + 1):
-            if toks[i : i + len(part)] == part and (len(region) > 2 or region != "el" or style in ("", "en")):
-                if not style:
-                    style = "en"
+        ahead -= max(0, min(spot[1], ahead) - spot[0])
+    i = 0
+    while i < len(toks):
+        for part in g.regions.get(toks[i], ()):
+            if toks[i : i + len(part)] == part and (part != ["el"] or style in ("", "en")):
+                style = style or "en"
                 toks = toks[:i] + toks[i + len(part) :]
+                ahead -= len(part) if i < ahead else 0
                 break
+        else:
+            i += 1
     if not style:
         style = "es" if set(toks) & {"calle", "cl", "avenida", "avda", "paseo", "pso"} else "de" if any(re.search("(strasse|str|weg|gasse|allee|platz)$", t) and len(t) > 6 for t in toks) else "fr" if set(toks) & {"rue", "bd"} or set(toks_all) & {"du", "des", "aux"} else "en"
+    if style == "en" and not town and not codes:
+        toks = toks[max(0, ahead) :]
     letter = house[2] or ""
-    if style == "en" and letter:
-        letter = ""
+    if style == "en" and letter and (letter in POINTS or house[0][-len(letter) - 1].isspace()):
+        letter = ""  # a compass point or a word of the street
     elif letter:
         toks = toks.copy()
         for i, t in enumerate(toks):
@@ -204,11 +240,16 @@ def parse(text: str, g: Gazetteer) -> dict | None:
             kind = kinds[t]
         elif style == "en" and t in POINTS and not point:
             point = POINTS[t]
+        elif style == "en" and t in ORDINALS and i + 1 < len(toks) and toks[i + 1] in kinds:
+            ordinals.append(ORDINALS[t])
+            words.append("nth")
         elif t not in FILLERS and len(t) > 1:
             words.append(t)
-    if not words or max(map(len, words)) < 4 or not (town or kind or codes):
+    long = max(map(len, words), default=0) >= 4
+    if not words or not (kind if not long else town or kind or codes):
         return None
-    return {"num": house[1] + letter, "dig": house[1], "style": style, "kind": kind, "point": point, "district": "", "town": town, "words": sorted(set(map(fold, words)))}
+    digits = sorted([number, *ordinals])
+    return {"num": number + letter + "".join("/" + x for x in ordinals), "dig": " ".join(digits), "style": style, "kind": kind, "point": point, "district": "", "town": town, "words": sorted(set(map(fold, words)))}
 
 
 def _forms(g: Gazetteer):
@@ -265,8 +306,8 @@ def _words_fit(edits: int, overlap: float) -> F.Column:
     return F.least(share("a", "b"), share("b", "a")) >= overlap
 
 
-def link_forms(forms: DataFrame, edits: int = EDITS, overlap: float = OVERLAP, common: int = COMMON) -> DataFrame:
-    """``(fa, fb)`` with ``fa < fb``: distinct forms of one location.
+def link_forms(forms: DataFrame, edits: int = EDITS, overlap: float = OVERLAP) -> DataFrame:
+    """``(fa, fb)`` with ``fa < fb``: distinct forms that are compared and fit.
 
     ``forms`` has ``f`` (its number) and the columns of :data:`FORM`. Where a form lacks the kind of
     street, the compass point, the district or the town, and the forms that fit it differ in that, it
@@ -276,24 +317,35 @@ def link_forms(forms: DataFrame, edits: int = EDITS, overlap: float = OVERLAP, c
     df = words.groupBy("word").agg(F.count("*").alias("df"))
     weighted = words.join(df, "word").withColumn("weight", 1.0 / (1.0 + F.log1p("df"))).groupBy("f").agg(F.collect_list(F.struct("word", "weight")).alias("weighted"))
     rich = cut(forms.join(weighted, "f"))
-    pairs = _blocks(rich, edits, common)
-    fits = _agree("kind") & _agree("point") & _agree("district") & _agree("town") & (F.col("a.style") == F.col("b.style"))
+    pairs = _blocks(rich, edits)
+    fits = _agree("kind") & _agree("point") & _agree("district") & _agree("town")
     links = pairs.where(fits & _words_fit(edits, overlap)).select(F.col("a.f").alias("fa"), F.col("b.f").alias("fb"), *[F.struct(F.col(f"a.{c}").alias("a"), F.col(f"b.{c}").alias("b")).alias(c) for c in PARTS]).distinct()
     links = cut(links)
     missing = [F.struct(F.col(mine).alias("f"), F.when(F.col(f"{c}.{side}") == "", F.lit(c)).alias("what"), F.col(f"{c}.{other}").alias("value")) for mine, side, other in (("fa", "a", "b"), ("fb", "b", "a")) for c in PARTS]
     filled = links.select(F.inline(F.array(*missing))).where("what is not null and value <> ''")
-    unclear = filled.groupBy("f", "what").agg(F.countDistinct("value").alias("n")).where("n > 1").groupBy("f").agg(F.collect_set("what").alias("unclear"))
+    unclear = filled.groupBy("f", "what").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("lo <> hi").groupBy("f").agg(F.collect_set("what").alias("unclear"))
     for mine, side, other in (("fa", "a", "b"), ("fb", "b", "a")):
         hit = F.array(*[F.when((F.col(f"{c}.{side}") == "") & (F.col(f"{c}.{other}") != ""), F.lit(c)) for c in PARTS])
         links = links.join(unclear.withColumnRenamed("f", mine), mine, "left").where(F.col("unclear").isNull() | ~F.arrays_overlap("unclear", F.filter(hit, lambda x: x.isNotNull()))).drop("unclear")
-    return _through_a_third(links.select("fa", "fb"))
+    return links.select("fa", "fb")
 
 
-def _through_a_third(links: DataFrame) -> DataFrame:
-    """``links`` and those between two forms that are linked to the same third: each may have a typing error of its own."""
-    ways = links.select(F.inline(F.array(F.struct(F.col("fa").alias("hub"), F.col("fb").alias("end")), F.struct(F.col("fb").alias("hub"), F.col("fa").alias("end")))))
-    two = ways.select("hub", F.col("end").alias("fa")).join(ways.select("hub", F.col("end").alias("fb")), "hub").where("fa < fb").select("fa", "fb")
-    return links.unionByName(two).distinct()
+def classes(links: DataFrame) -> DataFrame:
+    """``(f, place)`` of the linked forms: each form takes the least number that it reaches, over links of links.
+
+    Rounds double the distance (a form also takes the label of its label), so few are needed, and each is a join of
+    numbers only.
+    """
+    ways = cut(links.select(F.inline(F.array(F.struct(F.col("fa").alias("f"), F.col("fb").alias("o")), F.struct(F.col("fb").alias("f"), F.col("fa").alias("o"))))))
+    labels = cut(ways.groupBy("f").agg(F.least(F.min("o"), F.first("f")).alias("place")))
+    while True:
+        near = ways.join(labels.select(F.col("f").alias("o"), "place"), "o").groupBy("f").agg(F.min("place").alias("near"))
+        step = labels.join(near, "f").select("f", "place", F.least("place", "near").alias("low"))
+        jump = step.join(labels.select(F.col("f").alias("low"), F.col("place").alias("lower")), "low", "left")
+        after = cut(jump.select("f", F.least("low", F.coalesce("lower", "low")).alias("new"), "place"))
+        labels = after.select("f", F.col("new").alias("place"))
+        if not after.where("new <> place").take(1):
+            return labels
 
 
 def _shortened(word: F.Column, edits: int) -> F.Column:
@@ -306,47 +358,53 @@ def _shortened(word: F.Column, edits: int) -> F.Column:
     without = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(w.substr(F.lit(1), i - 1), w.substr(i + 1, F.length(w))))
     level = out = F.array(word)
     for k in range(1, edits + 1):
-        level = F.array_distinct(F.flatten(F.transform(F.filter(level, lambda w, k=k: (depth >= k) & (F.length(w) > 0)), without)))
+        level = F.when(depth >= k, F.array_distinct(F.flatten(F.transform(F.filter(level, lambda w: F.length(w) > 0), without)))).otherwise(F.array().cast("array<string>"))
         out = F.concat(out, level)
     return F.array_distinct(out)
 
 
-def _blocks(rich: DataFrame, edits: int, common: int) -> DataFrame:
-    """``(a, b)``: pairs of forms with the same digits and a rare word in common.
+def _blocks(rich: DataFrame, edits: int) -> DataFrame:
+    """``(a, b)``: pairs of forms with the same digits, towns that agree, and a street word that is equal or nearly so.
 
-    Every street word is a rare word, and so is the town, which finds streets with a typing error. In blocks of
-    more than ``common`` forms, such as a frequent number in a large town, those pairs are left out that can't fit: of
-    the words of any pair that fits two are equal, and it stands in the block of that word, or within the edits allowed,
-    and those are found by what is left of them after deletions.
+    Of the words of any pair that fits, two are equal or within the edits allowed. Nearly equal words are found among the
+    distinct words of a number by what is left of them after deletions. A form with a town meets those of its town and
+    those without; so neither a frequent number in many towns nor a town with many streets makes a block of all pairs.
     """
-    on = ["dig", "num", "style", "rare"]
-    town = F.when(F.col("town") != "", F.array("town")).otherwise(F.array().cast("array<string>"))
-    block = rich.select("dig", "num", "style", F.explode(F.array_distinct(F.concat("words", town))).alias("rare"), F.struct("f", "num", "style", "kind", "point", "district", "town", "words", "weighted").alias("a"))
-    hot = block.groupBy(on).agg(F.count("*").alias("n")).where(F.col("n") > common).select(on)
-
-    def pairs(side: DataFrame) -> DataFrame:
-        return side.join(side.withColumnRenamed("a", "b"), on).where("a.f < b.f").select("a", "b")
-
-    large = block.join(hot, on, "left_semi")
-    by_word = large.withColumn("word", F.explode("a.words"))
-    keys = by_word.select(*on, "word").distinct().select(*on, "word", F.explode(_shortened(F.col("word"), edits)).alias("rest")).withColumn("rest", F.xxhash64("rest"))
+    on = ["dig", "num", "style"]
+    side = rich.select(*on, "town", F.explode("words").alias("word"), F.struct("f", "kind", "point", "district", "town", "words", "weighted").alias("a"))
+    distinct = side.select(*on, "word").distinct()
+    keys = distinct.select(*on, "word", F.explode(_shortened(F.col("word"), edits)).alias("rest")).withColumn("rest", F.xxhash64("rest"))
     fit = F.levenshtein("word", "other") <= F.greatest(_allowed(F.col("word"), edits), _allowed(F.col("other"), edits))
-    near = keys.join(keys.withColumnRenamed("word", "other"), [*on, "rest"]).where((F.col("word") != F.col("other")) & fit).select(*on, "word", "other").distinct()
-    misspelt = by_word.join(near, [*on, "word"]).drop("word").join(by_word.withColumnRenamed("a", "b").withColumnRenamed("word", "other"), [*on, "other"]).where("a.f < b.f").select("a", "b")
-    return pairs(block.join(hot, on, "left_anti")).unionByName(pairs(large.where(F.array_contains("a.words", F.col("rare"))))).unionByName(misspelt)
-
-
-def same_place(records: DataFrame, g: Gazetteer, edits: int = EDITS, overlap: float = OVERLAP, common: int = COMMON) -> DataFrame:
+    near = keys.join(keys.withColumnRenamed("word", "other"), [*on, "rest"]).where((F.col("word") < F.col("other")) & fit).select(*on, "word", "other").distinct()
+    pairs = []
+    with_town, without = side.where("town <> ''"), side.where("town = ''")
+    right = lambda d: d.withColumnRenamed("a", "b")
+    pairs.append(with_town.join(right(with_town), [*on, "town", "word"]).where("a.f < b.f").select("a", "b"))
+    pairs.append(without.join(right(without), [*on, "word"]).where("a.f < b.f").select("a", "b"))
+    pairs.append(without.drop("town").join(right(with_town).drop("town"), [*on, "word"]).select("a", "b"))
+    slips = near.unionByName(near.select(*on, F.col("other").alias("word"), F.col("word").alias("other")))
+    slipped = side.join(slips, [*on, "word"]).drop("word").withColumnRenamed("other", "word")
+    s_town, s_without = slipped.where("town <> ''"), slipped.where("town = ''")
+    pairs.append(s_town.join(right(with_town), [*on, "town", "word"]).where("a.f < b.f").select("a", "b"))
+    pairs.append(s_without.join(right(without), [*on, "word"]).where("a.f < b.f").select("a", "b"))
+    pairs.append(s_without.drop("town").join(right(with_town).drop("town"), [*on, "word"]).select("a", "b"))
+    both = pairs[0]
+    for p in pairs[1:]:
+        both = both.unionByName(p)
+    return both.select(F.when(F.col("a.f") < F.col("b.f"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("a.f") < F.col("b.f"), F.col("b")).otherwise(F.col("a")).alias("b"))
+
+
+def same_place(records: DataFrame, g: Gazetteer, edits: int = EDITS, overlap: float = OVERLAP) -> DataFrame:
     """``(id_a, id_b)``: records that are addresses of one location, the smaller id first.
 
-    Ids delivered again count once. Records of the same form are linked without comparison.
+    Ids delivered again count once. Records of the same form are linked without comparison; locations are the
+    classes of linked forms, and each class is expanded to its pairs of records once.
     """
     read = read_addresses(records.dropDuplicates(["id"]), g)
-    own = F.xxhash64("num", "style", "kind", "point", "district", "town", F.array_join("words", " "))
-    read = cut(read.withColumn("f", own))
-    forms = read.drop("id").dropDuplicates(["f"])
-    links = link_forms(forms, edits, overlap, common)
-    ids = read.select("f", "id")
-    across = links.join(ids.select(F.col("f").alias("fa"), F.col("id").alias("x")), "fa").join(ids.select(F.col("f").alias("fb"), F.col("id").alias("y")), "fb").select("x", "y")
-    within = ids.withColumnRenamed("id", "x").join(ids.withColumnRenamed("id", "y"), "f").where("x < y").select("x", "y")
-    return across.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    read = cut(read)
+    forms = read.groupBy(*_OWN).agg(F.min("id").alias("f"))
+    forms = cut(forms)
+    labels = classes(link_forms(forms, edits, overlap))
+    place = read.select(*_OWN, "id").join(forms, _OWN).select("id", "f").join(labels, "f", "left").select("id", F.coalesce("place", "f").alias("place"))
+    place = cut(place)
+    return place.withColumnRenamed("id", "id_a").join(place.withColumnRenamed("id", "id_b"), "place").where("id_a < id_b").select("id_a", "id_b")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilstone.llm import addresses, confusables, encoding, langid, names, packing, sharedspans, splitting
+from veilstone.llm import addresses, confusables, encoding, langid, names, packing, sharedspans, splitting, unicode_data
 from veilstone.runtime import table
 
 
@@ -40,7 +40,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_forms(spark: SparkSession, d: str) -> DataFrame:
-    return _looks(spark, d).select("source_table", "id", confusables.skeleton_column("text").alias("form"))
+    return _looks(spark, d).select("source_table", "id", confusables.skeleton_column("text", unicode_data.looks(spark)).alias("form"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

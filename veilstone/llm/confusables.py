@@ -1,17 +1,13 @@
 """One consistent form for text that looks the same but differs in its characters.
 
 The form is a confusables skeleton: compatibility decomposition, removal of invisible characters,
-replacement of every look-alike by its prototype, decomposition again. Case, accents, digits,
+replacement of every look-alike by its prototype in the public table of confusables, decomposition again. Case, accents, digits,
 punctuation and the number of spaces stay visible. Two strings look the same if their skeletons are equal.
 """
 
 from __future__ import annotations
 
-import functools
 import hashlib
-import re
-import sys
-import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,69 +15,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilstone.llm.unicode_data import Looks, looks
 from veilstone.runtime import cut
 
-# Prototype, then the letters of other scripts that look like it.
-LOOKALIKES = """
-A ΑАᎪ|B ΒВᏴ|C СϹᏟ|D Ꭰ|E ΕЕᎬ|F Ϝ|G ԌᏀ|H ΗНᎻ|I ΙІӀ|J ЈͿᎫ|K ΚКᏦ|L ᏞԼ|M ΜМᎷϺ|N Ν|O ΟОՕ|P ΡРᏢ
-Q Ԛ|R Ꭱ|S ЅՏᏚ|T ΤТᎢ|U Ս|V ѴᏙ|W ԜᎳ|X ΧХ|Y ΥҮУ|Z ΖᏃ|a αа|c сϲ|d ԁ|e е|g ց|h һհ|i іιᎥ|j јϳյ
-l ӏ|n ո|o οоօσ|p ρр|q ԛզ|s ѕ|u υս|v νѵ|w ԝ|x х|y уγү
-"""
-
-# Hyphens, dashes of hyphen width and minus signs that stand for "-".
-HYPHENS = "˗֊۔‐‑‒–⁃−➖Ⲻ﹘"
-
-# Invisible characters outside the category Cf (fillers, joiners, variation selectors).
-UNSEEN = "͏ᅟᅠ឴឵ㅤﾠ" + "".join(map(chr, (*range(0x180B, 0x180F), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0))))
-
 FOUND_SCHEMA = "source_table string, id_a long, id_b long"
 
 
-#: Characters beyond the basic plane: rare, and a class that holds them isn't compiled to a bitmap.
-_HIGH = re.compile("[\U00010000-\U0010ffff]")
-
 
-@functools.cache
-def _prototypes() -> tuple[re.Pattern, dict[str, str]]:
-    """Pattern of the characters of the basic plane that are replaced or removed, and what each character becomes."""
-    table = {x: line[0] for line in LOOKALIKES.replace("\n", "|").split("|") if line for x in line[2:]}
-    table |= dict.fromkeys(HYPHENS, "-") | dict.fromkeys(UNSEEN, "") | {" ": " "}
-    table |= {c: "" for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.category(c) == "Cf"}
-    return re.compile("[" + re.escape("".join(c for c in table if c <= "\uffff")) + "]"), table
-
-
-def skeleton(text: str | None) -> str | None:
-    """The skeleton of one string; null stays null, ASCII is its own skeleton."""
-    if text is None or text.isascii():
-        return text
-    low, table = _prototypes()
-    plain = low.sub(lambda m: table[m[0]], unicodedata.normalize("NFKD", text))
-    return unicodedata.normalize("NFKD", _HIGH.sub(lambda m: table.get(m[0], m[0]), plain))
-
-
-def skeleton_column(text: F.Column | str) -> F.Column:
-    """Column form of :func:`skeleton` (Arrow batches)."""
+def skeleton_column(text: F.Column | str, table: Looks) -> F.Column:
+    """The skeleton of a column (Arrow batches); null stays null."""
 
     def run(s: pd.Series) -> pd.Series:
-        return s.map(skeleton, na_action="ignore")
+        return s.map(table.skeleton, na_action="ignore")
 
     run.__annotations__ = {"s": pd.Series, "return": pd.Series}  # evaluated here: annotations are strings in this module
     return F.pandas_udf(run, "string")(F.col(text) if isinstance(text, str) else text)
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(table: Looks):
     def digest(x: str) -> bytes:
         return hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
-    for b in batches:
-        look, exact = [], []
-        for t in b.column("__text").to_pylist():
-            s = skeleton(t)
-            seen = bool(s) and not s.isspace()
-            look.append(digest(s) if seen else None)
-            exact.append(digest(t) if seen else None)
-        cols = [b.column("__source"), b.column("__group"), b.column("__id"), pa.array(look, pa.binary()), pa.array(exact, pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, ["source_table", "grp", "id", "look", "exact"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            look, exact = [], []
+            for t in b.column("__text").to_pylist():
+                s = table.skeleton(t)
+                seen = bool(s) and not s.isspace()
+                look.append(digest(s) if seen else None)
+                exact.append(digest(t) if seen else None)
+            cols = [b.column("__source"), b.column("__group"), b.column("__id"), pa.array(look, pa.binary()), pa.array(exact, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["source_table", "grp", "id", "look", "exact"])
+
+    return run
 
 
 def skeleton_keys(records: DataFrame) -> DataFrame:
@@ -93,19 +59,23 @@ def skeleton_keys(records: DataFrame) -> DataFrame:
     """
     inner = records.select(F.col("source_table").alias("__source"), F.col("grp").cast("string").alias("__group"), F.col("id").cast("long").alias("__id"), F.col("text").alias("__text"))
     inner = inner.where("__group is not null and __id is not null and __text is not null and __text <> ''")
-    return inner.mapInArrow(_keys, "source_table string, grp string, id long, look binary, exact binary").where("look is not null")
+    return inner.mapInArrow(_keys(looks(records.sparkSession)), "source_table string, grp string, id long, look binary, exact binary").where("look is not null")
 
 
 def same_looking(records: DataFrame) -> DataFrame:
     """``(source_table, id_a, id_b)``: records of one group with equal skeletons and different strings.
 
     Repeated deliveries of an id count once; the smaller id comes first; records with the very same
-    string aren't paired. Only groups that hold two different strings reach the pairing join.
+    string aren't paired: the distinct strings of a form are, and their ids are joined to the pairs, so that the
+    work grows with the result, however often a string stands.
     """
     key = ["source_table", "grp", "look"]
-    keys = cut(skeleton_keys(records).dropDuplicates(["source_table", "id"]))  # texts are read once for both uses
+    keys = cut(skeleton_keys(records).dropDuplicates(["source_table", "id"]))  # texts are read once for all uses
     mixed = keys.groupBy(key).agg(F.min("exact").alias("lo"), F.max("exact").alias("hi")).where("lo <> hi").select(key)
-    left = keys.join(mixed, key, "left_semi")
-    right = left.select(*key, F.col("id").alias("id_b"), F.col("exact").alias("exact_b"))
-    pairs = left.withColumnRenamed("id", "id_a").join(right, key).where("id_a < id_b and exact <> exact_b")
-    return pairs.select("source_table", "id_a", "id_b").distinct()
+    held = keys.join(mixed, key, "left_semi")
+    strings = held.select(*key, "exact").distinct()
+    pairs = strings.withColumnRenamed("exact", "exact_a").join(strings.withColumnRenamed("exact", "exact_b"), key).where("exact_a < exact_b")
+    first = held.select(*key, F.col("exact").alias("exact_a"), F.col("id").alias("x"))
+    other = held.select(*key, F.col("exact").alias("exact_b"), F.col("id").alias("y"))
+    found = pairs.join(first, [*key, "exact_a"]).join(other, [*key, "exact_b"])
+    return found.select("source_table", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))

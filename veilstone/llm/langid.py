@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilstone.llm.confusables import skeleton
+from veilstone.llm.unicode_data import Looks, looks
 
 LANGS = ("en", "zh", "de", "fr", "es", "pt", "ja")
 #: Hash buckets of the n-grams; the broadcast matrix has BUCKETS x 8 floats of 4 bytes.
@@ -24,8 +25,6 @@ BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 #: Rows of each language, at most, on which the model is fitted; the same rows whatever the order of the input.
 TRAIN_ROWS = 400
-#: Code points of a training row that are read, at most (fitting only; every text is scored whole).
-TRAIN_CHARS = 4000
 #: Letters that make a segment decide by itself: alphabetic scripts, Chinese and Japanese.
 STRONG_LETTERS, STRONG_CJK = 14, 5
 #: Log-odds per segment, over the next language, that make it decide by itself.
@@ -51,6 +50,16 @@ _LETTER = re.compile(r"[^\W\d_]")
 #: Runs of letters that touch no digit: pieces of ids are no words.
 _WORD = re.compile(r"(?<![\w+/=])[^\W\d_]{2,}(?![\w+/=])|[぀-ヿ㐀-鿿豈-﫿⼀-⿟]+")
 
+
+
+@dataclass(frozen=True)
+class Model:
+    """Log-probabilities, buckets by languages, and the look-alikes that are folded before n-grams are taken."""
+
+    matrix: np.ndarray
+    table: Looks
+
+
 SEGMENT_SCHEMA = "id long, segment_start int, segment_end int, lang string, confidence double"
 
 
@@ -78,9 +87,9 @@ def _segments(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def _features(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _features(parts: list[str], table: Looks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(bucket of each n-gram, where each part's n-grams begin, rows of the parts that have any)``."""
-    joined = skeleton("\n".join(parts)).lower()
+    joined = table.skeleton("\n".join(parts)).lower()
     text = np.frombuffer(("\n" + joined + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
     brk = text == 10
     own = np.cumsum(brk) - 1
@@ -109,20 +118,20 @@ def _features(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids_all, starts, rows_all[starts] if len(rows_all) else np.empty(0, np.int64)
 
 
-def _score(parts: list[str], matrix: np.ndarray) -> np.ndarray:
+def _score(parts: list[str], model: Model) -> np.ndarray:
     out = np.zeros((len(parts), len(LANGS)), np.float32)
     step = 4000  # parts at once; bounds the memory of the gathered rows
     for a in range(0, len(parts), step):
-        ids, starts, rows = _features(parts[a : a + step])
+        ids, starts, rows = _features(parts[a : a + step], model.table)
         if len(starts):
-            out[a + rows] = np.add.reduceat(matrix[ids], starts, axis=0)[:, : len(LANGS)]
+            out[a + rows] = np.add.reduceat(model.matrix[ids], starts, axis=0)[:, : len(LANGS)]
     return out
 
 
-def _matrix(parts: list[str], labels: np.ndarray, alpha: float = 0.05) -> np.ndarray:
+def _matrix(parts: list[str], labels: np.ndarray, table: Looks, alpha: float = 0.05) -> np.ndarray:
     counts = np.zeros((len(LANGS), BUCKETS), np.float64)
     for a in range(0, len(parts), 4000):
-        ids, starts, rows = _features(parts[a : a + 4000])
+        ids, starts, rows = _features(parts[a : a + 4000], table)
         each = np.repeat(labels[a : a + 4000][rows], np.diff(np.r_[starts, len(ids)]))
         for k in range(len(LANGS)):
             counts[k] += np.bincount(ids[each == k], minlength=BUCKETS)
@@ -137,35 +146,35 @@ def _matrix(parts: list[str], labels: np.ndarray, alpha: float = 0.05) -> np.nda
     return out
 
 
-def fit(labelled: list[tuple[str, str]]) -> np.ndarray:
-    """Log-probabilities, buckets by languages, from ``(language, text)``; labels may be partly wrong.
+def fit(labelled: list[tuple[str, str]], table: Looks) -> Model:
+    """A model from ``(language, text)``; labels may be partly wrong.
 
     A first model is fitted to all segments under their row's label; segments that it clearly puts in
     another language (wrong labels, mixed texts) are left out of the second.
     """
     parts, labels = [], []
     for lang, text in labelled:
-        own = [s for _, _, s in _segments(text[:TRAIN_CHARS])]
+        own = [s for _, _, s in _segments(text)]
         parts += own
         labels += [LANGS.index(lang)] * len(own)
     y = np.asarray(labels, np.int64)
-    matrix = _matrix(parts, y)
+    matrix = _matrix(parts, y, table)
     if len(parts):
-        scores = _score(parts, matrix)
+        scores = _score(parts, Model(matrix, table))
         against = scores.max(1) - scores[np.arange(len(y)), y]
         keep = np.flatnonzero(against < FOREIGN_ODDS)
-        matrix = _matrix([parts[i] for i in keep], y[keep])
-    return matrix
+        matrix = _matrix([parts[i] for i in keep], y[keep], table)
+    return Model(matrix, table)
 
 
-def train(rows: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int = TRAIN_ROWS) -> np.ndarray:
-    """A model fitted on at most ``per_lang`` rows of each language, those with the least hash of id."""
+def train(rows: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int = TRAIN_ROWS) -> Model:
+    """A model fitted on the whole texts of at most ``per_lang`` rows of each language, those with the least hash of id."""
     base = rows.select(F.col(id_col).alias("id"), named_language(lang_col).alias("lang")).where(F.col("lang").isin(*LANGS) & F.col("id").isNotNull())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     chosen = base.distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang).select("id", "lang")
-    texts = rows.select(F.col(id_col).alias("id"), F.substring(text_col, 1, TRAIN_CHARS).alias("text")).where("text is not null")
+    texts = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     got = texts.join(F.broadcast(chosen), "id").select("id", "lang", "text").distinct().collect()  # at most 7 x per_lang rows
-    return fit([(r["lang"], r["text"]) for r in sorted(got, key=lambda r: (r["id"], r["lang"]))])
+    return fit([(r["lang"], r["text"]) for r in sorted(got, key=lambda r: (r["id"], r["lang"]))], looks(rows.sparkSession, east=False))
 
 
 def _judge(segments: list[tuple[int, int, str]], scores: np.ndarray) -> tuple[list[int], list[float], bool]:
@@ -200,14 +209,14 @@ def _judge(segments: list[tuple[int, int, str]], scores: np.ndarray) -> tuple[li
     return langs, conf, sentence
 
 
-def segment_languages(rows: DataFrame, id_col: str, text_col: str, matrix: np.ndarray) -> DataFrame:
+def segment_languages(rows: DataFrame, id_col: str, text_col: str, model: Model) -> DataFrame:
     """``(id, segment_start, segment_end, lang, confidence)``: the runs of each text in one language.
 
     Neighbouring sentences and lines of one language are one run; its confidence is their mean by
     length. Null, empty and blank texts, texts without any sentence and rows without an id have no run.
     """
     spark = rows.sparkSession
-    held = spark.sparkContext.broadcast(matrix)
+    held = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -236,13 +245,13 @@ def segment_languages(rows: DataFrame, id_col: str, text_col: str, matrix: np.nd
     return src.mapInArrow(run, SEGMENT_SCHEMA)
 
 
-def relabel(rows: DataFrame, id_col: str, text_col: str, lang_col: str, matrix: np.ndarray) -> DataFrame:
+def relabel(rows: DataFrame, id_col: str, text_col: str, lang_col: str, model: Model) -> DataFrame:
     """``(id, lang, confidence)`` of each text whose label doesn't fit: one row per language written in it.
 
     A label doesn't fit if it is missing, names no language or one in which nothing is written, or if
     the text has sentences in more than one language. Deliveries of an id count once.
     """
-    runs = segment_languages(rows.withColumn("__id", F.col(id_col)), "__id", text_col, matrix)
+    runs = segment_languages(rows.withColumn("__id", F.col(id_col)), "__id", text_col, model)
     size = F.col("segment_end") - F.col("segment_start")
     per = runs.groupBy("id", "lang").agg((F.sum(F.col("confidence") * size) / F.sum(size)).alias("confidence"))
     label = rows.select(F.col(id_col).cast("long").alias("id"), named_language(lang_col).alias("label")).groupBy("id").agg(F.min("label").alias("label"))

@@ -1,11 +1,12 @@
 """Linking of the variant spellings of persons and organisations within a session or document.
 
-Suffix blocking: every token of a name is indexed by its suffix of a minimum length (one character in Chinese),
-always together with the group it stands in, so that suffixes common in the corpus needn't be discarded; a suffix
-that is still common within its group is refined by the name's other tokens. A surname with initials also meets the
-full names of its group that have the initial and a letter at the surname's ends in common. Names that share a block are compared
-token by token by the ratio of their longest common subsequence, with initials, nicknames, abbreviations,
-acronyms, legal forms and romanised Chinese understood.
+Suffix blocking: every token of a name is indexed by its suffix of a minimum length (a shorter token as a whole, a Chinese
+name by the sound of its last character), always together with the group it stands in; tokens that share a
+longer suffix share that one too. A suffix that is common within its group isn't discarded but refined by the
+name's other tokens. A surname with initials also meets the full names of its group that have the initial and a letter at
+the surname's ends in common. Names that share a block are compared token by token by the ratio of their
+longest common subsequence, with initials, nicknames, titles, abbreviations, acronyms, legal forms and romanised
+Chinese understood. Simplified forms and pronunciations of all Chinese characters come from public data.
 """
 
 from __future__ import annotations
@@ -14,17 +15,20 @@ import functools
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilstone.llm.confusables import skeleton
-from veilstone.runtime import cut
+from veilstone.functions.text import COMPOUND_SURNAMES, TITLES
+from veilstone.llm.unicode_data import Han, Looks, han, looks
+from veilstone.runtime import cut, fixed_table
 
 #: Letters of a suffix key.
 SUFFIX = 4
-#: Ratio of the longest common subsequence, twice its length over both lengths, from which tokens of two errors are close.
+#: Ratio of the longest common subsequence, twice its length over both lengths, from which tokens are close; that of one
+#: letter in the longer token is enough.
 CLOSE = 0.85
 #: Names of one group that may share a suffix before it is refined by the other tokens.
 COMMON = 400
@@ -39,33 +43,29 @@ larry lawrence|len leonard|leo leonard|lenny leonard|matt matthew|nate nathaniel
 steve stephen|steph stephane stephen|theo theodore|tess theresa|terry theresa|tim timothy|vicky victoria|vince vincent|ginny virginia|zach zachary|zack zachary|liv olivia|ollie olivia|mimi miriam
 pepe jose|paco francisco|nacho ignacio inacio|lola dolores|concha concepcion conceicao|charo rosario|lupe guadalupe|chus jesus|moncho ramon|bego begona|moni monica|basti sebastian|sebas sebastian|wolf wolfgang
 uli ulrike|max maximilian|maxi maximilian|heinz heinrich|hans johannes|hannes johannes|jochen joachim|achim joachim|elli elisabeth|sepp joseph|ze joao jose|lu lucia luisa|fredo frederique|fanfan francois|gus augustus
+jon jonathan|katie katherine|gabe gabriel|sue susan|don donald|ron ronald|josh joshua|ken kenneth|jeff jeffrey|ray raymond|art arthur|bert albert|dave david|doug douglas|walt walter|cathy catherine|cindy cynthia
+sally sarah|abby abigail|angie angela|barb barbara|bernie bernard|carrie caroline|ernie ernest|fran frances|gene eugene|gerry gerald|jerry gerald jerome|gil gilbert|hal harold|izzy isabel|jackie jacqueline
+jess jessica|joe joseph|judy judith|lou louis|mandy amanda|marty martin|mitch mitchell|nan nancy|norm norman|pam pamela|pete peter|reg reginald|russ russell|stan stanley|stu stuart|tina christina|val valerie|vic victor
 """
 
 # Legal forms, each with the spellings it is written in.
 LEGAL = """
-ltd limited|inc incorporated|corp corporation|sl sociedad-limitada|sarl|gmbh gesellschaft-mbh gesellschaft-mit-beschraenkter-haftung|llc|plc|ag aktiengesellschaft|sa sociedad-anonima|srl|kg|bv|oy
+ltd limited|inc incorporated|corp corporation|co company|sl sociedad-limitada|sarl|gmbh gesellschaft-mbh gesellschaft-mit-beschraenkter-haftung|llc limited-liability-company|plc|ag aktiengesellschaft|sa sociedad-anonima
+srl|kg kommanditgesellschaft|bv|nv|oy|ab|sas|spa|lda limitada|ohg|pty-ltd|llp|gmbh-&-co-kg gmbh-und-co-kg gmbh-co-kg|ag-&-co-kg ag-und-co-kg
 """
-
-# How characters of Chinese names are romanised; after a slash, characters that are typed for them by mistake.
-SOUNDS = """
-liu 劉|wu 吳|lin 林霖|ssuma 司馬|kuo 郭|lai 賴|tsai 蔡|hsieh 謝|yeh 葉|chang 張|hsu 許徐|cheng 鄭澄/橙|yang 楊|chuang 莊|ouyang 歐陽|su 蘇|chen 陳蓁/臻|lu 呂盧|huang 黃|wang 王|li 李|chou 周|sun 孫|chu 朱
-ho 何|lo 羅|kao 高|chiang 江|hung 洪|chiu 邱|tseng 曾|liao 廖|shen 沈|pan 潘|chao 趙|hu 胡|tang 唐|tsao 曹|peng 彭|fu 傅|wen 溫|sung 宋|tu 杜|ma 馬|ssu 司|ou 歐|han 瀚|kai 凱|ying 穎/潁|yu 瑜語宥余游/瑀|jui 芮
-feng 豐|chi 琪綺/琦祺|hua 樺/華|ching 靜晴/靖情|wei 緯維瑋魏/惟偉|hsiao 曉蕭|yuan 淵|chun 鈞/均|ting 庭/廷|jung 蓉/容|yi 翊/翌|yun 筠/芸|ning 寧|lan 嵐|yen 彥|chieh 潔/絜
-"""
-
-# Simplified characters and their traditional forms, as far as names of persons and firms use them.
-TRADITIONAL = dict(zip(
-    "颖丰静桦吴钧岚绮凯许彦叶马谢杨欧阳黄玮宁刘语维庄苏洁渊张赖陈晓纬吕郑岭雾峰湾乐霁仪纺织险经纪台罗孙赵邓卢钟贾邹陆龙钱闫谭韩冯肖万东华卫国庆伟丽艳军强辉飞红荣贤贵宾",
-    "穎豐靜樺吳鈞嵐綺凱許彥葉馬謝楊歐陽黃瑋寧劉語維莊蘇潔淵張賴陳曉緯呂鄭嶺霧峰灣樂霽儀紡織險經紀臺羅孫趙鄧盧鍾賈鄒陸龍錢閆譚韓馮蕭萬東華衛國慶偉麗豔軍強輝飛紅榮賢貴賓",
-))
-
-# Surnames of two characters, prefixes of familiar names, ends of place names.
-DOUBLE_SURNAMES = ("司馬", "歐陽", "諸葛", "上官", "司徒", "夏侯", "皇甫", "尉遲", "公孫", "慕容")
+# Forms of address and degrees besides those of the core, and parts that tell generations apart.
+MORE_TITLES = frozenset("herr frau sra srta mme mlle monsieur madame senor senora senorita dra dott ing hon rev capt".split())
+GENERATIONS = {"jr": "jr", "junior": "jr", "sr": "sr", "senior": "sr", "ii": "ii", "iii": "iii", "iv": "iv"}
+# Fixed values, in simplified characters: prefixes of familiar names, ends of place names, inner parts of addresses.
 FAMILIAR = "小阿老"
-PLACE_ENDS = "市縣區路街巷號樓道段鎮鄉村里"
+PLACE_ENDS = "市县区路街巷号楼道段镇乡村里"
+# How the initials and the finals of the common romanisation are spelled in the older one, without its marks.
+OLD_INITIALS = {"zh": "ch", "ch": "ch", "sh": "sh", "b": "p", "p": "p", "d": "t", "t": "t", "g": "k", "k": "k", "j": "ch", "q": "ch", "x": "hs", "z": "ts", "c": "ts", "r": "j"}
+OLD_WHOLE = {"zi": "tzu", "ci": "tzu", "si": "ssu", "zhi": "chih", "chi": "chih", "shi": "shih", "ri": "jih", "er": "erh", "you": "yu", "yan": "yen", "ye": "yeh", "yue": "yueh", "ge": "ko", "ke": "ko", "he": "ho", "e": "o", "gui": "kuei", "kui": "kuei", "guo": "kuo", "kuo": "kuo", "huo": "huo", "shuo": "shuo", "yong": "yung"}
+OLD_FINALS = {"ian": "ien", "ie": "ieh", "ue": "ueh", "uo": "o", "ong": "ung", "iong": "iung"}
 
 _CJK = re.compile("[㐀-鿿]")
-_ACRONYM = re.compile(r"(?:[A-Z]\.?){2,6}")
+_ACRONYM = re.compile(r"(?:[A-Z]\.?){3,}")
 _PARTICLES = {"and": "&", "und": "&", "et": "&", "y": "&", "e": "&", "&": "&"}
 
 
@@ -81,19 +81,34 @@ def _legal() -> dict[str, str]:
     return {spelling.replace("-", " "): names[0] for names in rows for spelling in names}
 
 
+@dataclass(frozen=True)
+class Writing:
+    """Tables of a fixed size by which names are read."""
+
+    looks: Looks
+    han: Han
+    compound: frozenset[str]  # Chinese surnames of two characters, in simplified ones
+
+
+def writing(spark: SparkSession) -> Writing:
+    h = han(spark)
+    return Writing(looks(spark, east=False), h, frozenset(map(h.plain, COMPOUND_SURNAMES)))
+
+
 @functools.cache
-def _sounds() -> tuple[dict[str, str], frozenset[str]]:
-    """Romanisation by character, and the characters that are only typed by mistake."""
-    sound, slips = {}, set()
-    for x in SOUNDS.replace("\n", "|").split("|"):
-        if x.strip():
-            name, chars = x.split()
-            own, _, wrong = chars.partition("/")
-            if len(name) > 4 and own in DOUBLE_SURNAMES:
-                continue
-            sound |= dict.fromkeys(own + wrong, name)
-            slips |= set(wrong)
-    return sound | {"歐": "ou", "陽": "yang", "司": "ssu", "馬": "ma"}, frozenset(slips)
+def _old(syllable: str) -> str:
+    """The older romanisation of a syllable of the common one."""
+    if syllable in OLD_WHOLE:
+        return OLD_WHOLE[syllable]
+    first = next((x for x in (syllable[:2], syllable[:1]) if x in OLD_INITIALS), "")
+    final = syllable[len(first) :]
+    return OLD_INITIALS.get(first, "") + OLD_FINALS.get(final, final)
+
+
+def _spoken(chars: str, h: Han) -> list[str]:
+    """Chinese characters in both romanisations, without tones."""
+    plain = [bare(h.sound.get(c, c)) for c in chars]
+    return ["".join(map(_old, plain)), "".join(plain)]
 
 
 def bare(token: str) -> str:
@@ -110,44 +125,61 @@ def fold(token: str) -> str:
     return re.sub("([aou])e", r"\1", bare(token))
 
 
-def _parse_chinese(text: str) -> dict | None:
-    text = "".join(TRADITIONAL.get(c, c) for c in re.sub(r"[\s·・]", "", text))
+def _parse_chinese(text: str, w: Writing) -> dict | None:
+    h = w.han
+    text = h.plain(re.sub(r"[\s·・]", "", text))
     m = re.fullmatch(r"(.+?)(股份有限公司|股份\(有\)公司|\(股\)公司|有限公司|\(有\)公司|股份公司|公司)", text)
     core, legal = (m[1], {"股": "股份", "有": "有限"}.get(m[2].lstrip("(")[0], "")) if m else (text, "")
-    if not re.fullmatch("[㐀-鿿]{2,20}", core) or (not m and (core[-1] in PLACE_ENDS or re.search("[路街巷弄号號楼樓]", core))):
+    if not re.fullmatch("[㐀-鿿]{2,}", core) or (not m and (core[-1] in PLACE_ENDS or re.search("[路街巷弄号楼]", core))):
         return None
-    double = core[:2] in DOUBLE_SURNAMES
+    double = core[:2] in w.compound
     if m or len(core) > 4 or (len(core) == 4 and not double):
         return {"norm": core + "/" + legal, "kind": "zorg", "toks": [core], "legal": legal, "keys": ["c:" + core[-4:]]}
-    sound, _ = _sounds()
-    say = lambda x: "".join(sound.get(c, c) for c in x)
+    sound = bare(h.sound.get(core[-1], core[-1]))
     if len(core) == 2:
-        if core[0] in FAMILIAR:
-            return {"norm": core, "kind": "zfam", "toks": [core[1]], "keys": ["z:" + sound.get(core[1], core[1])]}
-        return {"norm": core, "kind": "zgiven", "toks": [core], "keys": ["z:" + sound.get(core[1], core[1])]}
+        kind = "zfam" if core[0] in FAMILIAR else "zgiven"
+        return {"norm": core, "kind": kind, "toks": [core[1:] if kind == "zfam" else core], "keys": ["z:" + sound]}
     cut_at = 2 if double else 1
     surname, given = core[:cut_at], core[cut_at:]
-    return {"norm": core, "kind": "zperson", "toks": [surname, given, fold(say(surname)), fold(say(given))], "keys": ["z:" + sound.get(core[-1], core[-1]), "s:" + fold(say(given))[-SUFFIX:]]}
+    spoken = [fold(x) for pair in zip(_spoken(surname, h), _spoken(given, h)) for x in pair]
+    syllables = ",".join(bare(h.sound.get(c, c)) for c in given)
+    keys = ["z:" + sound, *("p:" + x[-SUFFIX:] for x in spoken)]
+    return {"norm": core, "kind": "zperson", "toks": [surname, given, syllables, *spoken], "keys": list(dict.fromkeys(keys))}
 
 
-def parse(text: str) -> dict | None:
-    """What is compared of one text; null if it can't be the name of a person or an organisation."""
-    plain = unicodedata.normalize("NFC", skeleton(text) or "").strip(" \t\r\n,;.'\"")
-    if not plain or len(plain) > 120:
-        return None
+@functools.cache
+def _titles() -> frozenset[str]:
+    return MORE_TITLES | {fold(x) for x in TITLES}
+
+
+def parse(text: str, w: Writing) -> list[dict]:
+    """What is compared of one text, in each way it can be read; nothing if it can't name a person or an organisation."""
+    plain = unicodedata.normalize("NFC", w.looks.skeleton(text) or "").strip(" \t\r\n,;.'\"")
+    if not plain:
+        return []
     if _CJK.search(plain):
-        return _parse_chinese(plain)
+        found = _parse_chinese(plain, w)
+        return [found] if found else []
     raw = [x for x in re.split(r"[\s,;]+", plain) if x]
-    if not 1 <= len(raw) <= 8 or not all(re.fullmatch(r"&|[^\W\d_]+(?:['’.\-][^\W\d_]+)*\.?", x) for x in raw):
-        return None
+    if not raw or not all(re.fullmatch(r"&|[^\W\d_]+(?:['’.\-][^\W\d_]+)*\.?", x) for x in raw):
+        return []
     legal, table = "", _legal()
-    for n in (4, 2, 1):
+    for n in (5, 4, 3, 2, 1):
         tail = " ".join(fold(x).replace(".", "") for x in raw[-n:])
         if len(raw) > n and tail in table:
             legal, raw = table[tail], raw[:-n]
             break
-    if len(raw) == 1 and _ACRONYM.fullmatch(raw[0]) and (legal or "." in raw[0]) and len(letters := raw[0].replace(".", "").lower()) >= 3:
-        return {"norm": letters + "./" + legal, "kind": "acronym", "toks": [letters], "legal": legal, "acr": letters, "keys": ["a:" + letters]}
+    if len(raw) == 1 and _ACRONYM.fullmatch(raw[0]) and (legal or "." in raw[0]):
+        return [_acronym(raw[0], legal)]
+    generation = ""
+    for k in range(len(raw) - 1, 0, -1):
+        if (g := GENERATIONS.get(fold(raw[k]).rstrip("."))) and len(raw) > 2:
+            generation, raw = g, raw[:k] + raw[k + 1 :]
+            break
+    for k, x in enumerate(raw):
+        if len(raw) > 1 and (fold(x).rstrip(".") in _titles() or (k == 0 and fold(x) == "sr.")):
+            raw = raw[:k] + raw[k + 1 :]
+            break
     toks, inits = [], ""
     for x in raw:
         if x.lower() in _PARTICLES and len(raw) > 2:
@@ -159,11 +191,20 @@ def parse(text: str) -> dict | None:
             toks.append(re.sub("['’.-]", "", bare(x)) + dotted)
     words = [t for t in toks if t != "&"]
     if not words or (len(words) == 1 and not inits and (legal or len(words[0]) < 3)):
-        return None
+        return []
     kind = "single" if len(words) == 1 and not inits else "name"
     acr = "".join(t[0] for t in words) if len(words) >= 3 and not inits else ""
-    keys = ["s:" + fold(t.rstrip("."))[-SUFFIX:] for t in words if len(t) >= 3] + ["a:" + acr] * bool(acr) + _initial_keys(words, toks, inits)
-    return {"norm": " ".join(sorted(map(fold, toks))) + "|" + inits + "/" + legal, "kind": kind, "toks": toks, "inits": inits, "legal": legal, "acr": acr, "keys": list(dict.fromkeys(keys))}
+    keys = ["s:" + fold(t.rstrip("."))[-SUFFIX:] for t in words] + ["a:" + acr] * bool(acr) + _initial_keys(words, toks, inits)
+    norm = " ".join(sorted(map(fold, toks))) + "|" + inits + "/" + legal + ("^" + generation) * bool(generation)
+    found = [{"norm": norm, "kind": kind, "toks": toks, "inits": inits, "legal": legal, "acr": acr, "gen": generation, "keys": list(dict.fromkeys(keys))}]
+    if kind == "single" and len(raw) == 1 and _ACRONYM.fullmatch(raw[0]):
+        found.append(_acronym(raw[0], ""))
+    return found
+
+
+def _acronym(text: str, legal: str) -> dict:
+    letters = text.replace(".", "").lower()
+    return {"norm": letters + "./" + legal, "kind": "acronym", "toks": [letters], "legal": legal, "acr": letters, "keys": ["a:" + letters]}
 
 
 def _end_letters(token: str) -> set[str]:
@@ -219,11 +260,9 @@ def _token(a: str, b: str, known: frozenset[str]) -> str | None:
     if fold_a in known and fold_b in known:
         return None
     for x, y in {(a, b), (fold_a, fold_b)}:
-        longer, apart = max(len(x), len(y)), abs(len(x) - len(y))
-        if longer >= 4 and apart <= 2:
-            common = lcs(x, y)
-            if apart < 2 and common >= longer - 1 or 2 * common >= CLOSE * (len(x) + len(y)):
-                return "slip"
+        longer = max(len(x), len(y))
+        if longer >= 4 and 2 * lcs(x, y) >= min(CLOSE, 1 - 1 / longer) * (len(x) + len(y)):
+            return "slip"
     return None
 
 
@@ -235,19 +274,17 @@ def _initial_fits(initial: str, token: str) -> bool:
 def same(a: dict, b: dict, known: frozenset[str] = frozenset()) -> str | None:
     """``"yes"``, ``"owner:<other part>"`` where b bears a alone or part of a (to be unique), or null."""
     kinds = {a["kind"], b["kind"]}
-    if a["legal"] and b["legal"] and a["legal"] != b["legal"]:
+    if any(a[x] and b[x] and a[x] != b[x] for x in ("legal", "gen")):
         return None
     if "zorg" in kinds:
         return "yes" if kinds == {"zorg"} and a["toks"] == b["toks"] else None
     if "acronym" in kinds:
         return "yes" if a["acr"] and a["acr"] == b["acr"] else None
     if kinds == {"zperson"}:
-        (sa, ga), (sb, gb) = a["toks"][:2], b["toks"][:2]
-        if sa != sb or len(ga) != len(gb):
+        (sa, ga, ta), (sb, gb, tb) = a["toks"][:3], b["toks"][:3]
+        if sa != sb or ta != tb:
             return None
-        sound, slips = _sounds()
-        off = [(x, y) for x, y in zip(ga, gb) if x != y]
-        return "yes" if len(off) == 1 and sound.get(off[0][0]) == sound.get(off[0][1], "?") and set(off[0]) & slips else None
+        return "yes" if len(ga) == len(gb) and sum(x != y for x, y in zip(ga, gb)) == 1 else None  # one character typed for another of the same syllable
     if "zperson" in kinds and kinds & {"zgiven", "zfam"}:
         part, whole = (a, b) if b["kind"] == "zperson" else (b, a)
         surname, given = whole["toks"][:2]
@@ -258,12 +295,14 @@ def same(a: dict, b: dict, known: frozenset[str] = frozenset()) -> str | None:
         return None
     if "zperson" in kinds:
         zh, other = (a, b) if a["kind"] == "zperson" else (b, a)
-        want = sorted(zh["toks"][2:])
         got = sorted(other["toks"])
         if other["inits"] or len(got) != 2:
             return None
-        fits = [_token(x, y, frozenset()) for x, y in zip(want, got)]
-        return "yes" if fits in (["equal", "equal"], ["equal", "slip"], ["slip", "equal"]) else None
+        for spoken in (zh["toks"][3:5], zh["toks"][5:7]):
+            fits = [_token(x, y, frozenset()) for x, y in zip(sorted(spoken), got)]
+            if fits in (["equal", "equal"], ["equal", "slip"], ["slip", "equal"]):
+                return "yes"
+        return None
     if "single" in kinds:
         if kinds == {"single"} or "&" in a["toks"] + b["toks"]:
             return None
@@ -296,44 +335,42 @@ def same(a: dict, b: dict, known: frozenset[str] = frozenset()) -> str | None:
 
 
 def _pack(source: str, p: dict) -> str:
-    return "\t".join((source, p["kind"], p.get("legal", ""), p.get("inits", ""), p.get("acr", ""), p["norm"], *p["toks"]))
+    return "\t".join((source, p["kind"], p.get("legal", ""), p.get("inits", ""), p.get("acr", ""), p["norm"], p.get("gen", ""), *p["toks"]))
 
 
 def _unpack(form: str) -> dict:
-    source, kind, legal, inits, acr, norm, *toks = form.split("\t")
-    return {"source": source, "kind": kind, "legal": legal, "inits": inits, "acr": acr, "norm": norm, "toks": toks}
+    source, kind, legal, inits, acr, norm, gen, *toks = form.split("\t")
+    return {"source": source, "kind": kind, "legal": legal, "inits": inits, "acr": acr, "norm": norm, "gen": gen, "toks": toks}
 
 
-def _names(known_places: frozenset[str]):
+def _names(known_places: frozenset[str], w: Writing):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[tuple[str, str], tuple[str, list[str]] | None] = {}
+        memo: dict[tuple[str, str], list[tuple[str, list[str]]]] = {}
 
-        def of(source: str, text: str) -> tuple[str, list[str]] | None:
+        def of(source: str, text: str) -> list[tuple[str, list[str]]]:
             if (source, text) not in memo:
                 if len(memo) > 200_000:
                     memo.clear()
-                p = parse(text)
-                memo[source, text] = None if p is None or _is_place(p, known_places) else (_pack(source, p), p["keys"])
+                memo[source, text] = [(_pack(source, p), p["keys"]) for p in parse(text, w) if not _is_place(p, known_places)]
             return memo[source, text]
 
         for b in batches:
-            got = [of(s, t) for s, t in zip(b.column("source_table").to_pylist(), b.column("text").to_pylist())]
-            keep = pa.array([i for i, p in enumerate(got) if p], pa.int32())
-            rows = [p for p in got if p]
-            cols = [b.column(c).take(keep) for c in ("g", "id")] + [pa.array([f for f, _ in rows], pa.string()), pa.array([k for _, k in rows], pa.list_(pa.string()))]
+            got = [(i, f, k) for i, (s, t) in enumerate(zip(b.column("source_table").to_pylist(), b.column("text").to_pylist())) for f, k in of(s, t)]
+            at = pa.array([i for i, _, _ in got], pa.int32())
+            cols = [b.column(c).take(at) for c in ("g", "id")] + [pa.array([f for _, f, _ in got], pa.string()), pa.array([k for _, _, k in got], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(cols, ["g", "id", "form", "keys"])
 
     return run
 
 
+def _less_one(name: str) -> set[str]:
+    """What is left of a name without one of its letters."""
+    return {name[:i] + name[i + 1 :] for i in range(len(name))}
+
+
 @functools.lru_cache(4)
-def _by_ends(places: frozenset[str]) -> dict[str, list[str]]:
-    """Places by their first two and by their last two letters."""
-    out: dict[str, list[str]] = {}
-    for x in places:
-        out.setdefault("^" + x[:2], []).append(x)
-        out.setdefault("$" + x[-2:], []).append(x)
-    return out
+def _nearly(places: frozenset[str]) -> frozenset[str]:
+    return frozenset(x for place in places for x in _less_one(place))
 
 
 def _is_place(p: dict, places: frozenset[str]) -> bool:
@@ -344,19 +381,21 @@ def _is_place(p: dict, places: frozenset[str]) -> bool:
     name = fold(" ".join(full.get(t.rstrip("."), t.rstrip(".")) for t in p["toks"]))
     if name in places:
         return True
-    near = _by_ends(places)
-    return any(abs(len(x) - len(name)) <= 1 and lcs(x, name) >= max(len(x), len(name)) - 1 for end in ("^" + name[:2], "$" + name[-2:]) for x in near.get(end, ()))
+    near = _nearly(places)
+    return name in near or any(x in near or x in places for x in _less_one(name))  # all but one letter in common
 
 
 def place_names(places: DataFrame) -> frozenset[str]:
     """Folded names of the places, a table of fixed size."""
-    rows = places.select("city").distinct().collect()
-    return frozenset(fold(skeleton(r["city"])).replace("-", "") for r in rows if r["city"] and not _CJK.search(r["city"]))
+    table = looks(places.sparkSession, east=False)
+    rows = fixed_table(places.select("city").distinct())
+    return frozenset(fold(table.skeleton(r["city"])).replace("-", "") for r in rows if r["city"] and not _CJK.search(r["city"]))
 
 
 def given_names(names: DataFrame) -> frozenset[str]:
     """Folded given names, a table of fixed size."""
-    return frozenset(fold(skeleton(r["name"])) for r in names.select("name").distinct().collect() if r["name"])
+    table = looks(names.sparkSession, east=False)
+    return frozenset(fold(table.skeleton(r["name"])) for r in fixed_table(names.select("name").distinct()) if r["name"])
 
 
 def _compare(known: frozenset[str]):
@@ -375,29 +414,42 @@ def _compare(known: frozenset[str]):
 
 
 def _other_letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """First and last letters of the tokens that don't have the block's suffix, and of the names they are short for.
+    """What else forms of one suffix have in common if they fit: letters at the ends of another token, or all of a lone one.
 
-    A typing error changes one of the two. Initials have their letter; acronyms have none.
+    Of the tokens one has the suffix, and the others fit those of the other form, so that they have one of
+    :func:`_end_letters` in common, or those of the names they are short for. Initials have their letter. A lone
+    token is equal in both forms. Chinese names have the surname, the given name or its last character in common.
     """
     nick = _nicknames()
     for b in batches:
         out = []
         for key, form in zip(b.column("key").to_pylist(), b.column("form").to_pylist()):
             p = _unpack(form)
-            others = [] if key.startswith("a:") else [fold(t.rstrip(".")) for t in p["toks"] if not fold(t.rstrip(".")).endswith(key[2:])]
-            words = [w for t in others for w in (t, *nick.get(t, ())) if w]
-            out.append(sorted({x for w in words for x in ("^" + w[0], "$" + w[-1])} | {"^" + c for c in p["inits"] if not key.startswith("a:")}))
+            kind, toks = p["kind"], [t.rstrip(".") for t in p["toks"] if t != "&"]
+            if key[0] in "ac":
+                own = {"="}
+            elif key[0] == "z":
+                own = {"s" + toks[0], "g" + toks[1], "l" + toks[1][-1]} if kind == "zperson" else {("l" if kind == "zfam" else "g") + toks[0]}
+            else:
+                own = {"^" + c for c in p["inits"]}
+                for i, t in enumerate(toks):
+                    if fold(t)[-SUFFIX:] != key[2:]:
+                        continue
+                    own.add("=" + fold(t))
+                    for other in toks[:i] + toks[i + 1 :]:
+                        for x in (other, *nick.get(fold(other), ())):
+                            own |= _end_letters(x)
+            out.append(sorted(own))
         yield pa.RecordBatch.from_arrays([b.column(c) for c in ("g", "k", "form", "ids")] + [pa.array(out, pa.list_(pa.string()))], ["g", "k", "form", "ids", "letters"])
 
 
 def _candidates(forms: DataFrame, common: int) -> DataFrame:
     """``(g, a, ids_a, b, ids_b)``: pairs of forms of one group that share a suffix, or the initial and a letter of the surname.
 
-    Suffix blocks of more than ``common`` forms are refined: their forms must also agree in the first or last
-    letter of another token (that of an initial is its letter; nicknames count as the names they stand for). The
-    few forms without another token meet the whole block, and so do acronyms.
+    Suffix blocks of more than ``common`` forms are refined by what their forms must have in common besides the suffix
+    if they fit, which loses no link (:func:`_other_letters`).
     """
-    initials = F.col("key").rlike("^[if]:")
+    initials = F.col("key").rlike("^[ifp]:")
     blocks = forms.select("g", F.explode("keys").alias("key"), "form", "ids").where(~initials).withColumn("k", F.xxhash64("key"))
     hot = cut(blocks.groupBy("g", "k").agg(F.count("*").alias("n")).where(F.col("n") > common).select("g", "k"))
 
@@ -405,31 +457,43 @@ def _candidates(forms: DataFrame, common: int) -> DataFrame:
         right = side.select(*on, F.col("form").alias("b"), F.col("ids").alias("ids_b"))
         return side.select(*on, F.col("form").alias("a"), F.col("ids").alias("ids_a")).join(right, on).where("a < b").select("g", "a", "ids_a", "b", "ids_b")
 
-    by_initial = _by_initial(forms)
+    by_initial = _by_initial(forms).unionByName(_by_romanisation(forms))
     if hot.isEmpty():
         return pairs(blocks.drop("key"), ["g", "k"]).unionByName(by_initial)
     refined = blocks.join(hot, ["g", "k"], "left_semi").select("g", "k", "key", "form", "ids").mapInArrow(_other_letters, "g long, k long, form string, ids array<long>, letters array<string>")
-    lone = refined.where(F.size("letters") == 0).select("g", "k", F.col("form").alias("x"), F.col("ids").alias("ids_x"))
-    met = refined.select("g", "k", "form", "ids").join(lone, ["g", "k"]).where("form <> x").select("g", F.least("form", "x").alias("a"), F.when(F.col("form") < F.col("x"), F.col("ids")).otherwise(F.col("ids_x")).alias("ids_a"), F.greatest("form", "x").alias("b"), F.when(F.col("form") < F.col("x"), F.col("ids_x")).otherwise(F.col("ids")).alias("ids_b"))
     refined = refined.withColumn("fine", F.explode("letters")).drop("letters")
-    return pairs(blocks.join(hot, ["g", "k"], "left_anti").drop("key"), ["g", "k"]).unionByName(pairs(refined, ["g", "k", "fine"])).unionByName(met).unionByName(by_initial)
+    return pairs(blocks.join(hot, ["g", "k"], "left_anti").drop("key"), ["g", "k"]).unionByName(pairs(refined, ["g", "k", "fine"])).unionByName(by_initial)
+
+
+def _pairs_of(met: DataFrame) -> DataFrame:
+    """``(g, a, ids_a, b, ids_b)`` of ``(g, x, ids_x, y, ids_y)``."""
+    swap = F.col("x") < F.col("y")
+    return met.select("g", F.least("x", "y").alias("a"), F.when(swap, F.col("ids_x")).otherwise(F.col("ids_y")).alias("ids_a"), F.greatest("x", "y").alias("b"), F.when(swap, F.col("ids_y")).otherwise(F.col("ids_x")).alias("ids_b"))
+
+
+def _keyed(forms: DataFrame, kind: str, name: str) -> DataFrame:
+    """Forms with the keys of one kind, without the mark of that kind."""
+    own = F.transform(F.filter("keys", lambda k: k.startswith(kind)), lambda k: F.substr(k, F.lit(3)))
+    return forms.select("g", F.col("form").alias(name), F.col("ids").alias(f"ids_{name}"), F.explode(own).alias("key"), F.filter("keys", lambda k: k.startswith("s:")).alias(f"s_{name}"))
 
 
 def _by_initial(forms: DataFrame) -> DataFrame:
-    """``(g, a, ids_a, b, ids_b)``: surnames with initials and the full names of their group that may be theirs.
+    """Surnames with initials and the full names of their group that may be theirs.
 
     Only pairs without a common suffix; the others are candidates already.
     """
-    of = lambda kind: F.filter("keys", lambda k: k.startswith(kind))
-    suffixes = F.filter("keys", lambda k: k.startswith("s:"))
-    short = forms.where(F.exists("keys", lambda k: k.startswith("i:"))).select("g", of("i:").alias("i"), suffixes.alias("si"), F.col("form").alias("x"), F.col("ids").alias("ids_x"))
-    full = forms.where(F.exists("keys", lambda k: k.startswith("f:"))).join(short.select("g").distinct(), "g", "left_semi")
-    full = full.select("g", of("f:").alias("f"), suffixes.alias("sf"), F.col("form").alias("y"), F.col("ids").alias("ids_y"))
-    short = short.select("*", F.explode("i").alias("key")).withColumn("key", F.expr("substring(key, 3)")).drop("i")
-    full = full.select("*", F.explode("f").alias("key")).withColumn("key", F.expr("substring(key, 3)")).drop("f")
-    met = short.join(full, ["g", "key"]).where(~F.arrays_overlap("si", "sf"))
-    swap = F.col("x") < F.col("y")
-    return met.select("g", F.least("x", "y").alias("a"), F.when(swap, F.col("ids_x")).otherwise(F.col("ids_y")).alias("ids_a"), F.greatest("x", "y").alias("b"), F.when(swap, F.col("ids_y")).otherwise(F.col("ids_x")).alias("ids_b"))
+    short = _keyed(forms, "i:", "x")
+    full = _keyed(forms.join(forms.where(F.exists("keys", lambda k: k.startswith("i:"))).select("g").distinct(), "g", "left_semi"), "f:", "y")
+    return _pairs_of(short.join(full, ["g", "key"]).where(~F.arrays_overlap("s_x", "s_y")))
+
+
+def _by_romanisation(forms: DataFrame) -> DataFrame:
+    """Chinese names and the Latin names of two words of their group that end like their surname or given name."""
+    chinese = _keyed(forms, "p:", "x")
+    parts = F.split("form", "\t")
+    two = forms.where((parts[1] == "name") & (parts[3] == "") & (F.size(parts) == 9))
+    latin = _keyed(two.join(forms.where(F.exists("keys", lambda k: k.startswith("p:"))).select("g").distinct(), "g", "left_semi"), "s:", "y")
+    return _pairs_of(chinese.join(latin, ["g", "key"]).select("g", "x", "ids_x", "y", "ids_y").dropDuplicates(["g", "x", "y"]))
 
 
 def same_names(records: DataFrame, places: frozenset[str] = frozenset(), known: frozenset[str] = frozenset(), common: int = COMMON) -> DataFrame:
@@ -442,7 +506,7 @@ def same_names(records: DataFrame, places: frozenset[str] = frozenset(), known:
     shape = ~F.col("text").rlike(r"[\p{N}@/:_#*+=<>\[\]{}|~^%$!?]") & F.col("text").rlike(r"\p{L}")
     src = records.where(F.col("grp").isNotNull() & F.col("id").isNotNull() & shape)
     src = src.select("source_table", F.xxhash64("source_table", "grp").alias("g"), F.col("id").cast("long").alias("id"), "text")
-    parsed = src.mapInArrow(_names(places), "g long, id long, form string, keys array<string>")
+    parsed = src.mapInArrow(_names(places, writing(records.sparkSession)), "g long, id long, form string, keys array<string>")
     forms = parsed.withColumn("norm", F.split("form", "\t")[5]).groupBy("g", "norm").agg(F.min(F.struct("form", "keys")).alias("f"), F.collect_list("id").alias("ids"))
     forms = cut(forms.select("g", "f.form", "f.keys", "ids"))
     schema = "g long, ids_a array<long>, ids_b array<long>, norm_a string, kind_a string, norm_b string, kind_b string, verdict string, source_table string"
@@ -456,7 +520,7 @@ def same_names(records: DataFrame, places: frozenset[str] = frozenset(), known:
     pair = ["source_table", "ids_a", "ids_b"]
     edges = sure.unionByName(owned.drop("part"))
     across = edges.select(*pair).unionByName(_through_full_names(edges).select(*pair))
-    across = across.withColumn("x", F.explode("ids_a")).select("source_table", "x", F.explode("ids_b").alias("y"))
+    across = across.withColumn("x", F.explode("ids_a")).select("source_table", "x", F.explode("ids_b").alias("y")).where("x <> y")
 
     parts = F.split("form", "\t")
     several = forms.where(F.size("ids") > 1).select("g", parts[0].alias("source_table"), parts[1].alias("kind"), parts[5].alias("norm"), "ids")
@@ -469,7 +533,8 @@ def _through_full_names(edges: DataFrame) -> DataFrame:
     """``(source_table, ids_a, ids_b)`` of two forms that are linked to the same full name, parts of it included.
 
     A full name is Chinese, or has no initials and stands between names in letters only: forms with initials,
-    acronyms and romanisations may stand for several people and link nobody to anybody.
+    acronyms and romanisations may stand for several people and link nobody to anybody, and a name without its
+    generation doesn't link a junior to a senior. The pairs are the result's own, so a hub of many forms has many.
     """
     one = F.struct(F.col("norm_a").alias("hub"), F.col("kind_a").alias("k"), F.col("norm_b").alias("end"), F.col("kind_b").alias("e"), F.col("ids_b").alias("ids"))
     two = F.struct(F.col("norm_b").alias("hub"), F.col("kind_b").alias("k"), F.col("norm_a").alias("end"), F.col("kind_a").alias("e"), F.col("ids_a").alias("ids"))
@@ -477,7 +542,12 @@ def _through_full_names(edges: DataFrame) -> DataFrame:
     full = F.col("hub").contains("|/") & (F.col("hub").contains(" ") | F.col("hub").rlike(r"\|/."))
     ways = ways.where((F.col("k") == "zperson") | ((F.col("k") == "name") & full & (F.col("e") != "zperson")))
     other = ways.select("g", "hub", F.col("end").alias("other"), F.col("ids").alias("ids_b"))
-    return ways.withColumnRenamed("ids", "ids_a").join(other, ["g", "hub"]).where("end < other")
+    return ways.withColumnRenamed("ids", "ids_a").join(other, ["g", "hub"]).where("end < other").where(_one_generation("end", "other"))
+
+
+def _one_generation(a: str, b: str) -> F.Column:
+    of = lambda c: F.regexp_extract(c, r"\^(\w+)$", 1)
+    return (of(a) == of(b)) | (of(a) == "") | (of(b) == "")
 
 
 def once_per_id(rows: DataFrame, id_col: str, grp_col: str, text_col: str, source: str) -> DataFrame:
