@@ -6,6 +6,7 @@ worker, so that a model is loaded where and when it is first used.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -52,7 +53,7 @@ def with_spaced_scripts(detect: Callable[[str], Found], text: str) -> Found:
     places = [c + k for k, c in enumerate(cuts)]  # of the inserted spaces
 
     def back(at: int) -> int:
-        return at - sum(p < at for p in places)
+        return at - bisect.bisect_left(places, at)
 
     return [(back(s), back(e), label, score) for s, e, label, score in detect(spaced)]
 
