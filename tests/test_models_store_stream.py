@@ -32,6 +32,18 @@ def test_viterbi_against_all_paths():
         assert tuple(G.viterbi(scores, tags)) == best
 
 
+def test_viterbi_of_texts_of_all_lengths_at_once(spark):
+    tags = ["O", "B-P", "I-P", "E-P", "S-P"]
+    rng = np.random.default_rng(2)
+    sizes = np.array([1, 5, 3, 7])
+    scores = rng.normal(size=(4, 7, len(tags)))
+    together = G.viterbi_batch(scores, sizes, tags)
+    assert [p.tolist() for p in together] == [G.viterbi(scores[i, :n], tags) for i, n in enumerate(sizes)]
+    rows = spark.createDataFrame([(0, scores[1, :5].tolist()), (1, []), (2, None), (3, scores[0, :1].tolist())], "i int, l array<array<double>>")
+    got = [r[0] for r in rows.orderBy("i").select(G.viterbi_tags(F.col("l"), tags, bias=0.0)).collect()]
+    assert got[0] == [tags[i] for i in together[1]] and got[1:3] == [[], None] and len(got[3]) == 1
+
+
 def decode(spark, text, tokens, labels, **kw):
     row = spark.createDataFrame([(text, tokens)], f"t string, k {G.TOKENS}")
     return [(s["start"], s["end"], s["label"], s["text"], round(s["score"], 3)) for s in row.select(G.decode_bio(F.col("t"), F.col("k"), labels, **kw)).first()[0]]
@@ -131,13 +143,14 @@ def test_json_without_ignored(spark):
     assert s["ignored"] == {} and s["counters"] == {"A": 1}
 
 
-def test_stale_directories(tmp_path):
-    names = ["veilstone-1", "veilstone-22", "veilstone-x", "other-1", f"veilstone-{os.getpid()}"]
-    assert S.stale(names, "veilstone-", os.getpid(), lambda pid: pid == 1) == sorted(["veilstone-22", f"veilstone-{os.getpid()}"])
+def test_stale_directories(spark, tmp_path):
+    names = ["veilstone-1", "veilstone-22", "veilstone-x", "other-1", "veilstone-app_7", "veilstone-33"]
+    running = spark.createDataFrame([("1",), ("33",)], "owner string")
+    assert sorted(r["name"] for r in S.stale(spark.createDataFrame([(n,) for n in names], "name string"), running, "33").collect()) == ["veilstone-22", "veilstone-33", "veilstone-app_7"]
     for n in names:
         (tmp_path / n).mkdir()
-    gone = S.sweep_stale(tmp_path)
-    assert f"veilstone-{os.getpid()}" in gone and (tmp_path / "other-1").exists() and (tmp_path / "veilstone-x").exists() and S.sweep_stale(tmp_path / "none") == []
+    assert S.sweep_stale(spark, tmp_path, running, "33") == ["veilstone-22", "veilstone-33", "veilstone-app_7"]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["other-1", "veilstone-1", "veilstone-x"] and S.sweep_stale(spark, tmp_path / "none", running, "33") == []
 
 
 def test_manifest_and_names(spark, tmp_path):
@@ -167,3 +180,23 @@ def test_stream_equals_batch(spark, tmp_path):
     streamed = {r["doc_id"]: r["text"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     batch = {r["doc_id"]: r["text"] for r in D.obfuscate_sessions(spark.createDataFrame(sum(parts, []), schema)).collect()}
     assert streamed == batch
+
+
+def run_stream(spark, tmp_path, schema, parts):
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/{i}"))
+    ST.use_state_store(spark)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    ST.obfuscate_stream(source).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "chk")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(str(tmp_path / "out")).collect()
+
+
+def test_stream_of_edits_and_repeated_deliveries(spark, tmp_path):
+    schema = "session_id string, seq long, doc_id long, text string, op string, label string"
+    parts = [
+        [("s", 0, 0, "a@x.example blue", None, None), (None, 0, 7, "a@x.example", None, None), (None, 0, 8, "b@x.example", None, None)],
+        [("s", 0, 0, "a@x.example blue", None, None), ("s", 1, None, "[EMAIL_A]", "unmark", None), ("s", 2, None, "blue", "mark", "OTHER"), ("s", 3, 1, "a@x.example blue b@x.example", None, None)],
+        [("s", 4, None, "a@x.example", "mark", "EMAIL"), ("s", 5, 2, "a@x.example c@x.example", None, None)],
+    ]
+    got = sorted((r["session_id"] or "", r["doc_id"], r["text"]) for r in run_stream(spark, tmp_path, schema, parts))
+    assert got == [("", 7, "[EMAIL_A]"), ("", 8, "[EMAIL_A]"), ("s", 0, "[EMAIL_A] blue"), ("s", 1, "a@x.example [OTHER_A] [EMAIL_B]"), ("s", 2, "[EMAIL_A] [EMAIL_C]")]

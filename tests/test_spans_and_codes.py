@@ -222,3 +222,24 @@ def test_transcripts(spark):
 def test_html(spark):
     row = spark.createDataFrame([("<a> & b\nc", [(0, 3)])], "t string, s array<struct<start:int,end:int>>")
     assert row.select(E.highlight(F.col("t"), F.col("s"), "red")).first()[0] == '<span style="background-color:red">&lt;a&gt;</span> &amp; b<br>c'
+
+
+def test_documents_without_a_session_share_no_code_book(spark):
+    rows = [(None, 0, 7, "a@x.example"), ("doc:7", 0, 1, "b@x.example"), (None, 0, None, "c@x.example"), (None, 0, None, "d@x.example"), (None, 1, 8, "a@x.example b@x.example")]
+    out = D.obfuscate_sessions(spark.createDataFrame(rows, "session_id string, seq long, doc_id long, text string"))
+    assert sorted((r["session_id"] or "", r["doc_id"] or 0, r["text"]) for r in out.collect()) == [("", 0, "[EMAIL_A]"), ("", 0, "[EMAIL_A]"), ("", 7, "[EMAIL_A]"), ("", 8, "[EMAIL_A] [EMAIL_B]"), ("doc:7", 1, "[EMAIL_A]")]
+    assert {r["session_id"] for r in D.code_book(out).collect()} == {"doc:7"}
+
+
+def test_letters_of_numbers():
+    assert [D.code_letters(n) for n in (0, 25, 26, 701, 702, 18277, 18278)] == ["A", "Z", "AA", "ZZ", "AAA", "ZZZ", "AAAA"]
+    assert all(D.letters_number(D.code_letters(n)) == n for n in range(0, 20000, 7))
+
+
+def test_ranking_of_equal_sets_and_ties(spark):
+    from veilstone.operators import restore
+
+    texts = spark.createDataFrame([(1, "[A_A] [A_B] [A_B]"), (2, "[A_B] x [A_A]"), (3, "[A_C]"), (4, "none"), (5, None), (6, "[A_Z]")], "id long, text string")
+    lookup = spark.createDataFrame([("q", "[A_A]"), ("q", "[A_B]"), ("p", "[A_A]"), ("p", "[A_B]"), ("r", "[A_A]"), ("r", "[A_C]"), ("r", "[A_A]")], "session_id string, code string")
+    order = spark.createDataFrame([("p", 0), ("q", 1), ("r", 2)], "session_id string, ord int")
+    assert sorted(map(tuple, restore.recommend(texts, lookup, order).collect())) == [(1, "p", 2), (2, "p", 2), (3, "r", 1)]

@@ -47,10 +47,14 @@ def restore_table(replies: DataFrame, lookup: DataFrame, id_col: str, session_co
 def recommend(texts: DataFrame, lookup: DataFrame, order: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """``(id, session_id, matches)``: the session that can restore most distinct codes of each text.
 
-    ``order(session_id, ord)`` breaks ties, the least first. Texts that no session can restore have no row.
+    ``order(session_id, ord)`` breaks ties, the least first. Texts that no session can restore have no row. Texts with the
+    same codes are ranked once, and so are sessions with the same: what is compared are distinct sets.
     """
-    wanted = texts.select(F.col(id_col).alias("id"), F.explode(codes_in(F.col(text_col))).alias("code"))
-    held = lookup.select("session_id", "code").distinct().join(order.select("session_id", F.col("ord").cast("long").alias("ord")), "session_id").select("code", "ord")
-    counted = wanted.join(held, "code").groupBy("id", "ord").agg(F.count("*").alias("matches"))  # fixed-width keys
-    best = counted.groupBy("id").agg(F.max(F.struct("matches", (-F.col("ord")).alias("o"))).alias("b")).select("id", F.col("b.matches").alias("matches"), (-F.col("b.o")).alias("ord"))
-    return best.join(order.select("session_id", F.col("ord").cast("long").alias("ord")), "ord").select("id", "session_id", "matches")
+    rows = texts.select(F.col(id_col).alias("id"), F.array_sort(codes_in(F.col(text_col))).alias("codes")).where(F.size("codes") > 0)
+    ranks = order.select("session_id", F.col("ord").cast("long").alias("ord"))
+    held = lookup.groupBy("session_id").agg(F.array_sort(F.collect_set("code")).alias("held")).join(ranks, "session_id")  # bounded by one code book
+    held = held.groupBy("held").agg(F.min("ord").alias("ord")).select("ord", F.explode("held").alias("code"))  # the first session of each set
+    wanted = rows.select("codes").distinct().select("codes", F.explode("codes").alias("code"))
+    counted = wanted.join(held, "code").groupBy("codes", "ord").agg(F.count("*").alias("matches"))
+    best = counted.groupBy("codes").agg(F.max(F.struct("matches", (-F.col("ord")).alias("o"))).alias("b")).select("codes", F.col("b.matches").alias("matches"), (-F.col("b.o")).alias("ord"))
+    return rows.join(best, "codes").join(ranks, "ord").select("id", "session_id", "matches")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veilstone.functions import text as T
 from veilstone.functions.matching import let
 from veilstone.operators import codebook, decoding, detectors, edits, fold, names, restore, rules, spans
-from veilstone.runtime import spread, table
+from veilstone.runtime import fixed_table, spread, table
 from veilstone.sources import store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,7 +41,7 @@ def texts(spark: SparkSession, d: str) -> DataFrame:
 
 def given(spark: SparkSession, d: str) -> list[str]:
     """Given names of a table of fixed size."""
-    return sorted({r["name"] for r in table(spark, d, "given_names").select("name").distinct().collect() if r["name"]})
+    return sorted({r["name"] for r in fixed_table(table(spark, d, "given_names").select("name").distinct()) if r["name"]})
 
 
 def book(spark: SparkSession, d: str) -> DataFrame:
@@ -108,21 +108,85 @@ def _extracted(pattern: str, group: int = 0, where: str = "true") -> str:
     return f"WITH v AS (SELECT doc_id, unnest(regexp_extract_all(text, '{pattern}', {group})) AS value FROM documents) SELECT doc_id, value, count(*) AS hits FROM v WHERE value <> '' AND {where} GROUP BY ALL"
 
 
+_ASCII_WORD = "[A-Za-z0-9_]"
+_OCT = r"(?:25[0-5]|2[0-4]\p{Nd}|1\p{Nd}\p{Nd}|[1-9]?\p{Nd})"
+
+
+def _located(label: str, pattern: str, first: str, before: str, after: str = "", keep: str = "true", group: int = 0) -> str:
+    """SQL of a rule with offsets, without lookaround: the pattern is tried wherever it may begin, and matches are taken from left to right.
+
+    ``first`` and ``before`` are conditions on the character ``c`` where a match begins and on those before it (``b``, and ``b2`` before
+    that), ``after`` is a pattern of what must follow.
+    """
+    quote = lambda x: x.replace("'", "''")
+    return (
+        "WITH RECURSIVE t AS (SELECT doc_id, text, regexp_extract_all(text, '(?s).') AS cs FROM documents WHERE text IS NOT NULL), "
+        "p AS (SELECT doc_id, text, i, cs[i] AS c, coalesce(cs[i - 1], '') AS b, coalesce(cs[i - 2], '') AS b2 FROM (SELECT doc_id, text, cs, unnest(range(1, len(cs) + 1)) AS i FROM t)), "
+        f"q AS (SELECT doc_id, i, regexp_extract(substring(text, i), '^({quote(pattern)})(?:{quote(after)})', 1) AS v, {f"regexp_extract(substring(text, i), '^(?:{quote(pattern)})', {group})" if group else 'NULL'} AS tail FROM p WHERE {first} AND {before}), "
+        "o AS (SELECT doc_id, i AS s, i + length(v) AS e, coalesce(tail, v) AS v, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM q WHERE v <> ''), "
+        "w AS (SELECT doc_id, k, e, v, true AS kept, e AS last FROM o WHERE k = 1 UNION ALL SELECT o.doc_id, o.k, o.e, o.v, o.s >= w.last, CASE WHEN o.s >= w.last THEN o.e ELSE w.last END FROM w JOIN o ON o.doc_id = w.doc_id AND o.k = w.k + 1) "
+        f"SELECT doc_id, CAST(e - length(v) - 1 AS BIGINT) AS span_start, '{label}' AS label, v AS value FROM w WHERE kept AND {keep}"
+    )
+
+
+def _like(column: str, pattern: str) -> str:
+    return f"regexp_full_match({column}, '{pattern}')"
+
+
+_FREE = f"NOT {_like('b', _ASCII_WORD)}"
+_ENDS = "[^A-Za-z0-9_]|$"
+_WIDE = "translate({}, '０１２３４５６７８９', '0123456789')"
+_LUHN = (
+    "(SELECT length(d) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 0 THEN CAST(d[i] AS INTEGER) WHEN CAST(d[i] AS INTEGER) > 4 THEN 2 * CAST(d[i] AS INTEGER) - 9 ELSE 2 * CAST(d[i] AS INTEGER) END)) % 10 = 0 "
+    f"FROM (SELECT regexp_replace({_WIDE.format('v')}, '[ -]', '', 'g') AS d))"
+)
+_TWID = (
+    "(SELECT (n // 10 + n % 10 * 9 + list_sum(list_transform(range(1, 10), lambda i: CAST(d[i + 1] AS INTEGER) * CASE WHEN i = 9 THEN 1 ELSE 9 - i END))) % 10 = 0 "
+    f"FROM (SELECT upper({_WIDE.format('v')}) AS d, instr('{T.TWID_LETTERS}', upper(v[1])) + 9 AS n))"
+)
+_GROUPS = "list_filter(string_split(v, ':'), lambda x: x <> '')"
+_IPV6 = (
+    f"length(v) >= 6 AND NOT contains(v, ':::') AND len(list_filter({_GROUPS}, lambda x: length(x) > 4)) = 0 AND CASE WHEN contains(v, '::') THEN length(v) - length(replace(v, '::', '')) = 2 AND len({_GROUPS}) <= 7 "
+    f"AND NOT regexp_matches(v, '^:[^:]') AND NOT regexp_matches(v, '[^:]:$') AND length(v) - length(replace(v, ':', '')) BETWEEN 2 AND 7 ELSE regexp_full_match(v, '(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}') END"
+).replace("{{", "{").replace("}}", "}")
+_DIGIT = _like("c", r"\p{Nd}")
 for _name in (r.name for r in rules.RULES):
     QUERIES[f"rule_{_name}"] = _rule(_name)
 _NUM = "(?:[0-9０-９]+|[一二三四五六七八九十百零〇]+)"
 _ROAD = r"[^\x{0}-\x{4DFF}\x{A000}-\x{10FFFF}在於到住從往的和與及跟是為至向由近了]"
+_KEYWORD = f"(?i)(?:pa[sſ][sſ]word|pa[sſ][sſ]wd|pwd|[sſ]ecret|to[kK]en|api[_-]?[kK]ey|acce[sſ][sſ][_-]?[kK]ey|密碼|密鑰|金鑰)[{_SPACE}]*[:=：][{_SPACE}]*[\"']?([^{_SPACE}\"'，。；;,]{{4,}})"
+_URL = f"https?://[^{_SPACE}<>\"'，。、；）」』)\\]]+"
+_TW_PLACE = f"(?:{_ROAD}{{2}}[縣市])?(?:{_ROAD}{{1,3}}?[區鄉鎮市])?{_ROAD}{{2,8}}?(?:路|街|大道)(?:[{_SPACE}]*{_NUM}[{_SPACE}]*段)?(?:[{_SPACE}]*{_NUM}[{_SPACE}]*巷)?(?:[{_SPACE}]*{_NUM}[{_SPACE}]*弄)?[{_SPACE}]*{_NUM}(?:[{_SPACE}]*之[{_SPACE}]*{_NUM})?[{_SPACE}]*號(?:[{_SPACE}]*{_NUM}[{_SPACE}]*樓(?:[{_SPACE}]*之[{_SPACE}]*{_NUM})?)?(?:[{_SPACE}]*[0-9０-９]+[{_SPACE}]*室)?"
 for _name, _sql in {
-    "secret_keyword": _extracted(f"(?i)(?:pa[sſ][sſ]word|pa[sſ][sſ]wd|pwd|[sſ]ecret|to[kK]en|api[_-]?[kK]ey|acce[sſ][sſ][_-]?[kK]ey|密碼|密鑰|金鑰)[{_SPACE}]*[:=：][{_SPACE}]*[\"']?([^{_SPACE}\"'，。；;,]{{4,}})", 1),
-    "url": _extracted(f"https?://[^{_SPACE}<>\"'，。、；）」』)\\]]+"),
+    "secret_keyword": _extracted(_KEYWORD, 1),
+    "url": _extracted(_URL),
     "email": _extracted(r"([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})(?:[^A-Za-z0-9_]|$)", 1),
-    "tw_address": _extracted(f"(?:{_ROAD}{{2}}[縣市])?(?:{_ROAD}{{1,3}}?[區鄉鎮市])?{_ROAD}{{2,8}}?(?:路|街|大道)(?:[{_SPACE}]*{_NUM}[{_SPACE}]*段)?(?:[{_SPACE}]*{_NUM}[{_SPACE}]*巷)?(?:[{_SPACE}]*{_NUM}[{_SPACE}]*弄)?[{_SPACE}]*{_NUM}(?:[{_SPACE}]*之[{_SPACE}]*{_NUM})?[{_SPACE}]*號(?:[{_SPACE}]*{_NUM}[{_SPACE}]*樓(?:[{_SPACE}]*之[{_SPACE}]*{_NUM})?)?(?:[{_SPACE}]*[0-9０-９]+[{_SPACE}]*室)?"),
+    "tw_address": _extracted(_TW_PLACE),
     "ipv4": _extracted(r"(?:^|[^A-Za-z0-9_.]|(?:^|[^\p{Nd}])\.)((?:25[0-5]|2[0-4]\p{Nd}|1\p{Nd}\p{Nd}|[1-9]?\p{Nd})(?:\.(?:25[0-5]|2[0-4]\p{Nd}|1\p{Nd}\p{Nd}|[1-9]?\p{Nd})){3})(?:\.*[^\p{Nd}.]|\.*$)", 1),
 }.items():
     QUERIES[f"values_{_name}"] = _values(_name)
     ORACLES[f"values_{_name}"] = _sql
 
 
+_PHONES = (
+    f"\\+886[{_SPACE}-]?9\\p{{Nd}}{{2}}[{_SPACE}-]?\\p{{Nd}}{{3}}[{_SPACE}-]?\\p{{Nd}}{{3}}|09\\p{{Nd}}{{2}}[{_SPACE}-]?\\p{{Nd}}{{3}}[{_SPACE}-]?\\p{{Nd}}{{3}}|\\(0\\p{{Nd}}{{1,2}}\\)[{_SPACE}]?\\p{{Nd}}{{3,4}}[{_SPACE}-]?\\p{{Nd}}{{4}}|0\\p{{Nd}}{{1,2}}-\\p{{Nd}}{{3,4}}-?\\p{{Nd}}{{4}}"
+    f"|\\+\\p{{Nd}}{{1,3}}[{_SPACE}-]?\\(?\\p{{Nd}}{{1,4}}\\)?(?:[{_SPACE}-]?\\p{{Nd}}{{2,4}}){{2,3}}|\\(\\p{{Nd}}{{3}}\\)[{_SPACE}]?\\p{{Nd}}{{3}}-\\p{{Nd}}{{4}}|\\p{{Nd}}{{3}}-\\p{{Nd}}{{3}}-\\p{{Nd}}{{4}}"
+)
+ORACLES |= {
+    "rule_secret_keyword": _located("SECRET", _KEYWORD, _like("c", "[PpSsTtAa密金ſ]"), "true", group=1),
+    "rule_secret_key": _located("SECRET", rules.KEYS.replace("\\\\", "\\"), _like("c", "[sgAxe]"), _FREE, _ENDS),
+    "rule_url": _located("URL", _URL, "c = 'h'", "true"),
+    "rule_email": _located("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _like("c", "[A-Za-z0-9._%+-]"), _FREE, _ENDS),
+    "rule_twid": _located("TWID", r"[A-Za-z][1289]\p{Nd}{8}", _like("c", "[A-Za-z]"), _FREE, _ENDS, _TWID),
+    "rule_card": _located("CARD", r"\p{Nd}(?:[ -]?\p{Nd}){12,18}", _DIGIT, _FREE, _ENDS, _LUHN),
+    "rule_ipv4": _located("IP", _OCT + r"(?:\." + _OCT + "){3}", _DIGIT, _FREE + r" AND NOT (b = '.' AND regexp_full_match(b2, '\p{Nd}'))", r"\.*[^\p{Nd}.]|\.*$"),
+    "rule_ipv6": _located("IP", "(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}", _like("c", "[0-9A-Fa-f:]"), f"NOT {_like('b', '[0-9A-Fa-f:]')}", "[^0-9A-Fa-f:]|$", _IPV6),
+    "rule_phone": _located("PHONE", _PHONES, _like("c", r"[\p{Nd}+(]"), f"NOT {_like('b', r'[\p{Nd}+]')}", r"[^\p{Nd}]|$"),
+    "rule_ssn": _located("SSN", r"\p{Nd}{3}-\p{Nd}{2}-\p{Nd}{4}", _DIGIT, _FREE, _ENDS, "NOT regexp_matches(v, '^(?:000|666|9)') AND v[5:6] <> '00' AND v[8:11] <> '0000'"),
+    "rule_tw_address": _located("LOC", _TW_PLACE, _like("c", _ROAD), "true"),
+}
+
+
 @query()
 def rules_all(spark: SparkSession, d: str) -> DataFrame:
     found = spread(documents(spark, d).select("doc_id", "text")).select("doc_id", F.inline(rules.rule_spans(F.col("text"))))
@@ -130,12 +194,12 @@ def rules_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "WITH c AS (SELECT DISTINCT span_id, text FROM spans WHERE label = 'CARD'), d AS (SELECT span_id, regexp_replace(text, '[ -]', '', 'g') AS v FROM c), "
+    "WITH c AS (SELECT DISTINCT span_id, text FROM spans WHERE text IS NOT NULL), d AS (SELECT span_id, regexp_replace(text, '[ -]', '', 'g') AS v FROM c), "
     "e AS (SELECT span_id, v, list_sum(list_transform(range(1, length(v) + 1), lambda i: CASE WHEN (length(v) - i) % 2 = 0 THEN CAST(v[i] AS INTEGER) WHEN CAST(v[i] AS INTEGER) > 4 THEN 2 * CAST(v[i] AS INTEGER) - 9 ELSE 2 * CAST(v[i] AS INTEGER) END)) AS s FROM d WHERE regexp_full_match(v, '[0-9]{13,19}')) "
     "SELECT d.span_id, coalesce(e.s % 10 = 0, false) AS valid FROM d LEFT JOIN e USING (span_id)"
 )
 def card_check(spark: SparkSession, d: str) -> DataFrame:
-    cards = table(spark, d, "spans").where("label = 'CARD'").dropDuplicates(["span_id"])
+    cards = table(spark, d, "spans").where("text is not null").dropDuplicates(["span_id"])
     digits = F.regexp_replace("text", "[ -]", "").rlike("^[0-9]{13,19}$")
     return cards.select("span_id", (digits & F.coalesce(T.luhn_ok(F.col("text")), F.lit(False))).alias("valid"))
 
@@ -174,13 +238,39 @@ def script_spacing_index(spark: SparkSession, d: str) -> DataFrame:
 # --- names -----------------------------------------------------------------------------------------------------------
 
 
-@query()
+_WORD = "[A-Z][a-z]+(?:[-'’](?:[A-Z][a-z]+|[a-z]{2,}|[a-rt-z]))*"
+_CJK_LINES = (
+    f"l AS (SELECT doc_id, k, ls[k] AS line, CAST(list_sum(list_transform(ls[1:k - 1], lambda x: length(x) + 1)) AS BIGINT) AS lo FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE regexp_matches(text, '[{_HAN}]'))) WHERE regexp_matches(ls[k], '[{_HAN}]')), "
+    "cl AS (SELECT doc_id, k, line, coalesce(lo, 0) AS lo, regexp_extract_all(line, '(?s).') AS cs FROM l), pl AS (SELECT doc_id, k, line, lo, i, cs[i] AS c, coalesce(cs[i - 1], '') AS b FROM (SELECT *, unnest(range(1, len(cs) + 1)) AS i FROM cl))"
+)
+
+
+def _in_lines(found: str) -> str:
+    """SQL of the matches in lines with Chinese, from left to right; ``found`` selects ``doc_id, k, lo, i, n, v, back`` from ``pl``."""
+    return (
+        f"WITH RECURSIVE {_CJK_LINES}, q AS ({found}), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY i) AS j FROM q WHERE v <> ''), "
+        "w AS (SELECT *, true AS kept, i + n AS last FROM o WHERE j = 1 UNION ALL SELECT o.*, o.i >= w.last, CASE WHEN o.i >= w.last THEN o.i + o.n ELSE w.last END FROM w JOIN o ON o.doc_id = w.doc_id AND o.k = w.k AND o.j = w.j + 1), "
+        "m AS (SELECT doc_id, lo + i - 1 + back AS start, v FROM w WHERE kept) "
+    )
+
+
+@query(
+    _in_lines(f"SELECT doc_id, k, lo, i, length(v) AS n, v, 0 AS back FROM (SELECT *, regexp_extract(substring(line, i), '^({_WORD.replace(chr(39), chr(39) * 2)}(?: {_WORD.replace(chr(39), chr(39) * 2)})*)(?:[^A-Za-z0-9_]|$)', 1) AS v FROM pl WHERE {_like('c', '[A-Z]')} AND {_FREE})")
+    + ", g AS (SELECT list(DISTINCT name) AS names FROM given_names), r AS (SELECT doc_id, start, ws, list_position(list_transform(ws, lambda x: list_contains(names, x)), true) AS f FROM (SELECT doc_id, start, string_split(v, ' ') AS ws, names FROM m, g)) "
+    "SELECT doc_id, CAST(start + coalesce(length(array_to_string(ws[1:f - 1], ' ')), 0) + CASE WHEN f > 1 THEN 1 ELSE 0 END AS INTEGER) AS start, array_to_string(ws[f:f + 2], ' ') AS value FROM r WHERE f > 0"
+)
 def given_name_hits(spark: SparkSession, d: str) -> DataFrame:
     found = names.given_name_matches(F.col("text"), given(spark, d))
     return spread(documents(spark, d).where(T.has_cjk(F.col("text"))).select("doc_id", "text")).select("doc_id", F.inline(found)).select("doc_id", "start", F.col("text").alias("value"))
 
 
-@query()
+@query(
+    _in_lines(
+        f"SELECT doc_id, k, lo, i, length(a) AS n, v, length(a) - length(v) AS back FROM (SELECT *, regexp_extract(substring(line, i), '^((?:Mr|Mrs|Ms|Miss|Dr|Prof)\\.? ?{_WORD.replace(chr(39), chr(39) * 2)}(?: {_WORD.replace(chr(39), chr(39) * 2)})?)(?:[^A-Za-z0-9_]|$)', 1) AS a, "
+        f"regexp_extract(substring(line, i), '^(?:Mr|Mrs|Ms|Miss|Dr|Prof)\\.? ?({_WORD.replace(chr(39), chr(39) * 2)}(?: {_WORD.replace(chr(39), chr(39) * 2)})?)(?:[^A-Za-z0-9_]|$)', 1) AS v FROM pl WHERE {_like('c', '[MDP]')} AND NOT {_like('b', '[A-Za-z]')})"
+    )
+    + "SELECT doc_id, CAST(start AS INTEGER) AS start, v AS value FROM m"
+)
 def title_hits(spark: SparkSession, d: str) -> DataFrame:
     found = documents(spark, d).where(T.has_cjk(F.col("text"))).select("doc_id", F.inline(names.titled_matches(F.col("text"))))
     return found.select("doc_id", "start", F.col("text").alias("value"))
@@ -194,7 +284,17 @@ def speaker_labels(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", F.col("text").alias("label")).groupBy("doc_id", "label").agg(F.count("*").alias("hits"))
 
 
-@query()
+_LIST = lambda xs: ", ".join("'" + x.replace("'", "''") + "'" for x in xs)
+
+
+@query(
+    "WITH l AS (SELECT doc_id, ls[k] AS line, coalesce(CAST(list_sum(list_transform(ls[1:k - 1], lambda x: length(x) + 1)) AS BIGINT), 0) AS lo FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))), "
+    "s AS (SELECT doc_id, lo, regexp_extract(line, '^([ \\t]*(?:\\[?\\p{Nd}{1,2}:\\p{Nd}{2}(?::\\p{Nd}{2})?\\]?[ \\t]+)?)(?:[\\x{3400}-\\x{9FFF}]{2,4}|[A-Z][a-z]+(?: [A-Z][a-z]+){0,2})(?:[ \\t]*[:：]|\\t)', 1) AS lead, "
+    "regexp_extract(line, '^[ \\t]*(?:\\[?\\p{Nd}{1,2}:\\p{Nd}{2}(?::\\p{Nd}{2})?\\]?[ \\t]+)?([\\x{3400}-\\x{9FFF}]{2,4}|[A-Z][a-z]+(?: [A-Z][a-z]+){0,2})(?:[ \\t]*[:：]|\\t)', 1) AS v FROM l), "
+    "p AS (SELECT doc_id, list(DISTINCT text) AS persons FROM spans WHERE label = 'PERSON' GROUP BY doc_id), "
+    f"k AS (SELECT doc_id, lo + length(lead) AS start, v, list_contains(persons, v) AS known, CASE WHEN ascii(v) < 128 THEN v NOT IN ({_LIST(T.NOT_SPEAKERS)}) ELSE NOT contains('{T.NOT_NAME_ENDINGS}', right(v, 1)) AND (contains('{T.COMMON_SURNAMES}', v[1]) OR v[1:2] IN ({_LIST(T.COMPOUND_SURNAMES)})) END AS likely "
+    "FROM s JOIN p USING (doc_id) WHERE v <> ''), gate AS (SELECT doc_id FROM k GROUP BY doc_id HAVING bool_or(known)) SELECT doc_id, CAST(start AS INTEGER) AS start, v AS speaker FROM k JOIN gate USING (doc_id) WHERE known OR likely"
+)
 def speaker_gate(spark: SparkSession, d: str) -> DataFrame:
     people = table(spark, d, "spans").where("label = 'PERSON'").groupBy("doc_id").agg(F.collect_set("text").alias("persons"))
     joined = documents(spark, d).select("doc_id", "text").join(people, "doc_id")
@@ -262,15 +362,30 @@ def ignore_filter(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH s AS (SELECT DISTINCT s.span_id, s.doc_id, s.label, d.scope FROM spans s JOIN documents d USING (doc_id)) SELECT span_id FROM s WHERE label = 'PERSON' OR scope IS DISTINCT FROM 'names'")
 def scope_names(spark: SparkSession, d: str) -> DataFrame:
     one = F.struct(F.col("span_start").alias("start"), F.col("span_end").alias("end"), F.coalesce("label", F.lit("")).alias("label"), "text", "score", "prio", "span_id")
-    rows = table(spark, d, "spans").dropDuplicates(["span_id"]).select("doc_id", F.array(one).alias("s")).join(documents(spark, d).select("doc_id", "scope"), "doc_id")
+    rows = table(spark, d, "spans").dropDuplicates(["span_id"]).groupBy("doc_id").agg(F.collect_list(one).alias("s")).join(documents(spark, d).select("doc_id", "scope"), "doc_id")
     return rows.select(F.inline(spans.keep_scope(F.col("s"), F.col("scope")))).select("span_id")
 
 
+def _guarded(value: str, pieces: str) -> str:
+    """SQL of the numbers of the gaps in ``pieces``, a text split by a value, at which the value stands for itself.
+
+    Where the value begins or ends with an ASCII letter or digit, none may touch it there. A value that overlaps itself would
+    be another case.
+    """
+    before = f"CASE WHEN {pieces}[i] = '' THEN CASE WHEN i > 1 THEN right({value}, 1) ELSE '' END ELSE right({pieces}[i], 1) END"
+    after = f"CASE WHEN {pieces}[i + 1] = '' THEN CASE WHEN i + 1 < len({pieces}) THEN left({value}, 1) ELSE '' END ELSE left({pieces}[i + 1], 1) END"
+    word = "'[A-Za-z0-9]'"
+    return (
+        f"list_filter(range(1, len({pieces})), lambda i: NOT (regexp_full_match(left({value}, 1), {word}) AND regexp_full_match({before}, {word})) AND NOT (regexp_full_match(right({value}, 1), {word}) AND regexp_full_match({after}, {word})))"
+    )
+
+
 @query(
-    "WITH v AS (SELECT DISTINCT doc_id, text AS value FROM spans WHERE regexp_full_match(text, '[\\x{4E00}-\\x{9FFF}]{2,}')) SELECT v.doc_id, v.value, CAST((length(d.text) - length(replace(d.text, v.value, ''))) // length(v.value) AS BIGINT) AS hits FROM v JOIN documents d USING (doc_id) WHERE contains(d.text, v.value)"
+    f"WITH v AS (SELECT DISTINCT doc_id, text AS value FROM spans WHERE length(text) > 1 AND regexp_matches(text, '[^{_SPACE}]')), d AS (SELECT v.doc_id, v.value, string_split(d.text, v.value) AS ps FROM v JOIN documents d USING (doc_id) WHERE contains(d.text, v.value)), "
+    f"h AS (SELECT doc_id, value, CAST(len({_guarded('value', 'ps')}) AS BIGINT) AS hits FROM d) SELECT doc_id, value, hits FROM h WHERE hits > 0"
 )
 def known_propagation(spark: SparkSession, d: str) -> DataFrame:
-    """Every known value of a document; the SQL has no edge guards and covers the Chinese values without digits or spaces only."""
+    """Every known value of a document that is longer than one character, wherever it occurs."""
     values = table(spark, d, "spans").where(F.length("text") > 1).groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("text", F.lit("PERSON")))).alias("values"))
     joined = documents(spark, d).select("doc_id", "text").join(values, "doc_id")
     joined = joined.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "doc_id")
@@ -325,29 +440,53 @@ def codebook_preview(spark: SparkSession, d: str) -> DataFrame:
     return codebook.preview(book(spark, d)).withColumn("originals", F.array_join("originals", " | "))
 
 
-@query(f"WITH {_BOOK}, {_IGNORED}, gone AS (SELECT session_id, original, code FROM book WHERE code = '[PERSON_A]') SELECT session_id, original, code FROM gone UNION ALL SELECT session_id, original, code FROM ign")
+@query(
+    f"WITH {_BOOK}, {_IGNORED}, gone AS (SELECT session_id, original, code, row_number() OVER (PARTITION BY session_id ORDER BY code, length(original) DESC, ord) - 1 AS n FROM book WHERE code LIKE '%\\_A]' ESCAPE '\\'), base AS (SELECT session_id, max(ord) + 1 AS b FROM ign GROUP BY session_id) "
+    "SELECT session_id, original, code, CAST(n + coalesce(b, 0) AS BIGINT) AS ord FROM gone LEFT JOIN base USING (session_id) UNION ALL SELECT session_id, original, code, CAST(ord AS BIGINT) FROM ign"
+)
 def codebook_unmark(spark: SparkSession, d: str) -> DataFrame:
+    """The ignored originals after the first code of every label is retired in every session."""
     rows = book(spark, d)
-    _, ignored = codebook.unmark(rows, retired(spark, d), rows.where("code = '[PERSON_A]'").select("session_id", "code"))
-    return ignored.select("session_id", "original", "code")
+    _, ignored = codebook.unmark(rows, retired(spark, d), rows.where(F.col("code").endswith("_A]")).select("session_id", "code"))
+    return ignored.select("session_id", "original", "code", "ord")
+
 
+def stored(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions with their code books, as they are stored: entries in their order."""
+    entries = F.array_sort(F.collect_list(F.struct("ord", F.col("original").alias("key"), F.col("code").alias("value"))))
+    books = book(spark, d).groupBy("session_id").agg(F.map_from_entries(F.transform(entries, lambda x: F.struct(x["key"], x["value"]))).alias("to_code"))
+    sessions = table(spark, d, "sessions").dropDuplicates(["session_id"])
+    return sessions.join(books, "session_id", "left").withColumn("to_code", F.coalesce("to_code", F.create_map().cast("map<string,string>")))
 
-@query("SELECT DISTINCT session_id, created_at, CAST(map_keys(counters) AS VARCHAR) AS labels, CAST(len(map_keys(ignored)) AS BIGINT) AS n_ignored FROM sessions")
+
+def _opened(back: DataFrame) -> DataFrame:
+    """Every entry of sessions that came back: the code book in its order, the counters, the ignored originals."""
+    books = back.select(F.col("id").alias("session_id"), "label", "created_at", F.lit("to_code").alias("part"), F.posexplode("to_code").alias("pos", "key", "value"))
+    ignored = back.select(F.col("id").alias("session_id"), "label", "created_at", F.lit("ignored").alias("part"), F.posexplode("ignored").alias("pos", "key", "value"))
+    counters = back.select(F.col("id").alias("session_id"), "label", "created_at", F.lit("counters").alias("part"), F.posexplode("counters").alias("pos", "key", "value")).withColumn("value", F.col("value").cast("string"))
+    return books.unionByName(ignored).unionByName(counters)
+
+
+_STORED = (
+    f"WITH {_BOOK}, ses AS (SELECT DISTINCT session_id, label, created_at, counters, ignored FROM sessions), b AS (SELECT session_id, original AS key, code AS value, row_number() OVER (PARTITION BY session_id ORDER BY ord, original) - 1 AS pos FROM book) "
+    "SELECT s.session_id, s.label, s.created_at, 'to_code' AS part, CAST(b.pos AS INTEGER) AS pos, b.key, b.value FROM ses s JOIN b USING (session_id) "
+    "UNION ALL SELECT session_id, label, created_at, 'ignored', CAST(unnest(range(len(map_keys(ignored)))) AS INTEGER), unnest(map_keys(ignored)), unnest(map_values(ignored)) FROM ses "
+    "UNION ALL SELECT session_id, label, created_at, 'counters', CAST(unnest(range(len(map_keys(counters)))) AS INTEGER), unnest(map_keys(counters)), CAST(unnest(map_values(counters)) AS VARCHAR) FROM ses"
+)
+
+
+@query(_STORED)
 def session_json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "sessions")
-    json = codebook.session_json(F.col("session_id"), F.col("label"), F.col("created_at"), F.create_map().cast("map<string,string>"), F.col("counters"), F.col("ignored"))
-    back = rows.select(codebook.parse_session(json).alias("s")).select("s.*")
-    labels = F.concat(F.lit("["), F.array_join(F.map_keys("counters"), ", "), F.lit("]"))
-    return back.select(F.col("id").alias("session_id"), "created_at", labels.alias("labels"), F.size(F.map_keys("ignored")).cast("long").alias("n_ignored")).distinct()
+    json = codebook.session_json(*map(F.col, ("session_id", "label", "created_at", "to_code", "counters", "ignored")))
+    return _opened(stored(spark, d).select(codebook.parse_session(json).alias("s")).select("s.*"))
 
 
-@query("SELECT DISTINCT session_id, label, created_at FROM sessions")
+@query(_STORED)
 def aes_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     key = F.lit(bytes(range(32)))
-    json = codebook.session_json(F.col("session_id"), F.col("label"), F.col("created_at"), F.create_map().cast("map<string,string>"), F.col("counters"), F.col("ignored"))
-    sealed = table(spark, d, "sessions").select("session_id", store.encrypt_session(F.col("session_id"), json, key).alias("payload"))
-    back = sealed.select(codebook.parse_session(store.decrypt_session(F.col("session_id"), F.col("payload"), key)).alias("s"))
-    return back.select(F.col("s.id").alias("session_id"), "s.label", "s.created_at").distinct()
+    json = codebook.session_json(*map(F.col, ("session_id", "label", "created_at", "to_code", "counters", "ignored")))
+    sealed = stored(spark, d).select("session_id", store.encrypt_session(F.col("session_id"), json, key).alias("payload"))
+    return _opened(sealed.select(codebook.parse_session(store.decrypt_session(F.col("session_id"), F.col("payload"), key)).alias("s")).select("s.*"))
 
 
 # --- restoring, ranking, edits ---------------------------------------------------------------------------------------
@@ -381,29 +520,39 @@ _WANTED = f"w AS (SELECT DISTINCT result_id, unnest(regexp_extract_all(text, '{_
     "SELECT result_id, count(*) AS matches FROM own GROUP BY ALL"
 )
 def match_count(spark: SparkSession, d: str) -> DataFrame:
-    codes = codebook.restore_lookup(book(spark, d), retired(spark, d)).groupBy("session_id").agg(F.collect_set("code").alias("codes"))
-    counted = results(spark, d).join(codes, "session_id").select("result_id", restore.match_count(F.col("text"), F.col("codes")).cast("long").alias("matches"))
-    return counted.where("matches > 0")
+    lookup = codebook.restore_lookup(book(spark, d), retired(spark, d)).select("session_id", "code")
+    wanted = results(spark, d).select("result_id", "session_id", F.explode(T.codes_in(F.col("text"))).alias("code"))
+    return wanted.join(lookup, ["session_id", "code"]).groupBy("result_id").agg(F.count("*").alias("matches"))
 
 
 @query(
-    f"WITH {_BOOK}, {_RESULTS}, {_WANTED}, c AS (SELECT DISTINCT session_id, code FROM book), n AS (SELECT w.result_id, c.session_id, count(*) AS matches FROM w JOIN c USING (code) GROUP BY ALL), "
+    f"WITH {_LOOKUP}, {_RESULTS}, {_WANTED}, c AS (SELECT DISTINCT session_id, code FROM lookup), n AS (SELECT w.result_id, c.session_id, count(*) AS matches FROM w JOIN c USING (code) GROUP BY ALL), "
     "k AS (SELECT *, row_number() OVER (PARTITION BY result_id ORDER BY matches DESC, session_id) AS r FROM n) SELECT result_id, session_id, matches FROM k WHERE r = 1"
 )
 def recommend_session(spark: SparkSession, d: str) -> DataFrame:
-    codes = book(spark, d).select("session_id", "code")
+    codes = codebook.restore_lookup(book(spark, d), retired(spark, d)).select("session_id", "code")
     order = codebook.numbered(codes.select("session_id").distinct().withColumn("one", F.lit(1)), ["one"], ["session_id"], "ord").select("session_id", "ord")
     return restore.recommend(results(spark, d), codes, order, "result_id").withColumnRenamed("id", "result_id")
 
 
-@query()
+_REPLIES = "rep AS (SELECT DISTINCT result_id, session_id, text, code_spans, originals FROM obfuscate_results WHERE text IS NOT NULL)"
+
+
+@query(
+    f"WITH {_REPLIES}, g AS (SELECT result_id, text, code_spans, originals, CASE WHEN session_id IS NULL THEN [] ELSE list_filter(range(1, len(code_spans) + 1), lambda i: code_spans[i].code = '[PERSON_A]') END AS k FROM rep) "
+    "SELECT result_id, CASE WHEN len(k) = 0 THEN text ELSE array_to_string(list_transform(range(1, len(k) + 1), lambda j: substring(text, CASE WHEN j = 1 THEN 1 ELSE code_spans[k[j - 1]].span_end + 1 END, code_spans[k[j]].span_start - CASE WHEN j = 1 THEN 0 ELSE code_spans[k[j - 1]].span_end END) || originals[k[j]]), '') "
+    "|| substring(text, code_spans[k[-1]].span_end + 1) END AS text, CAST(len(code_spans) - len(k) AS INTEGER) AS n_codes FROM g"
+)
 def unmark_transcript(spark: SparkSession, d: str) -> DataFrame:
     rows = replies(spark, d).where("text is not null")
     codes = rows.select("session_id").distinct().withColumn("code", F.lit("[PERSON_A]"))
     return edits.unmark_in_transcript(rows, codes).select("result_id", "text", F.size("code_spans").alias("n_codes"))
 
 
-@query()
+@query(
+    f"WITH {_REPLIES}, g AS (SELECT result_id, session_id, text, string_split(text, 'ticket') AS ps FROM rep), h AS (SELECT *, CASE WHEN session_id IS NULL THEN [] ELSE {_guarded(repr('ticket'), 'ps')} END AS ok FROM g) "
+    "SELECT result_id, ps[1] || array_to_string(list_transform(range(1, len(ps)), lambda i: CASE WHEN list_contains(ok, i) THEN '[OTHER_ZZ]' ELSE 'ticket' END || ps[i + 1]), '') AS text, CAST(len(ok) AS INTEGER) AS replaced FROM h"
+)
 def mark_transcript(spark: SparkSession, d: str) -> DataFrame:
     rows = replies(spark, d).where("text is not null")
     marks = rows.select("session_id").distinct().where("session_id is not null").withColumn("values", F.create_map(F.lit("ticket"), F.lit("[OTHER_ZZ]")))
@@ -461,14 +610,28 @@ def token_windows(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).where("n_chars is not null").select("doc_id", F.inline(decoding.token_windows(n))).select("doc_id", F.col("start").alias("window_start"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE t AS (SELECT doc_id, text, CASE WHEN length(text) <= 256 THEN [text] ELSE regexp_extract_all(text, '[^\\n]*\\n|[^\\n]+') END AS ls FROM documents WHERE text IS NOT NULL), "
+    "l AS (SELECT doc_id, k, ls[k] AS line, len(string_split(ls[k], ' ')) AS n FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS k FROM t)), "
+    "w AS (SELECT doc_id, k, line, n AS size, 0 AS piece_no FROM l WHERE k = 1 UNION ALL SELECT l.doc_id, l.k, l.line, CASE WHEN w.size + l.n > 256 THEN l.n ELSE w.size + l.n END, CASE WHEN w.size + l.n > 256 THEN w.piece_no + 1 ELSE w.piece_no END FROM w JOIN l ON l.doc_id = w.doc_id AND l.k = w.k + 1) "
+    "SELECT doc_id, CAST(piece_no AS INTEGER) AS piece_no, string_agg(line, '' ORDER BY k) AS piece FROM w GROUP BY doc_id, piece_no"
+)
 def piece_cut(spark: SparkSession, d: str) -> DataFrame:
     lines = F.regexp_extract_all("text", F.lit("[^\\n]*\\n|[^\\n]+"), F.lit(0))
     counts = F.transform(lines, lambda x: F.size(F.split(x, " ")))
     return documents(spark, d).where("text is not null").select("doc_id", F.posexplode(decoding.cut_pieces(F.col("text"), counts, 256)).alias("piece_no", "piece"))
 
 
-@query()
+@query(
+    "WITH s AS (SELECT DISTINCT span_id, text FROM spans), t AS (SELECT span_id, text, unnest(range(0, length(text) // 5)) AS i FROM s WHERE length(text) >= 5), "
+    "g AS (SELECT span_id, text, i, ['B-PER', 'I-PER', 'O', 'B-LOC', 'I-LOC'][(i * i + length(text)) % 5 + 1] AS tag FROM t), e AS (SELECT *, right(tag, 3) AS kind, lag(tag) OVER (PARTITION BY span_id ORDER BY i) AS prev FROM g), "
+    "f AS (SELECT *, sum(CASE WHEN tag = 'O' OR tag LIKE 'B%' OR prev IS NULL OR prev = 'O' OR right(prev, 3) <> kind THEN 1 ELSE 0 END) OVER (PARTITION BY span_id ORDER BY i) AS no FROM e), "
+    "r AS (SELECT span_id, any_value(text) AS text, no, any_value(kind) AS kind, min(i) * 5 AS a, max(i) * 5 + 5 AS b FROM f WHERE tag <> 'O' GROUP BY span_id, no), "
+    f"c AS (SELECT *, regexp_replace(substring(text, a + 1, b - a), '^[{_SPACE}]+', '') AS core FROM r), d AS (SELECT span_id, text, no, kind, b - length(core) AS a, b - length(core) + length(regexp_replace(core, '[{_SPACE}]+$', '')) AS b FROM c), "
+    "h AS (SELECT *, CASE WHEN lag(kind) OVER w = kind AND substring(text, lag(b) OVER w + 1, a - lag(b) OVER w) IN ('', '-', '‐', chr(39), '’', '·', '・') THEN 0 ELSE 1 END AS fresh FROM d WINDOW w AS (PARTITION BY span_id ORDER BY no)), "
+    "j AS (SELECT *, sum(fresh) OVER (PARTITION BY span_id ORDER BY no) AS whole FROM h) "
+    "SELECT span_id, CAST(min(a) AS INTEGER) AS start, CAST(max(b) AS INTEGER) AS end, CASE any_value(kind) WHEN 'PER' THEN 'PERSON' ELSE 'LOC' END AS label, substring(any_value(text), CAST(min(a) AS BIGINT) + 1, CAST(max(b) - min(a) AS BIGINT)) AS value FROM j GROUP BY span_id, whole"
+)
 def bio_decode(spark: SparkSession, d: str) -> DataFrame:
     tags = F.array(*[F.lit(x) for x in ("B-PER", "I-PER", "O", "B-LOC", "I-LOC")])
     words = F.filter(F.transform(F.sequence(F.lit(0), F.greatest((F.length("text") / 5).cast("int") - 1, F.lit(0))), lambda i: i), lambda i: i * 5 + 5 <= F.length("text"))
