@@ -42,6 +42,13 @@ def test_round_trip(spark):
     assert back == {i: t or "" for i, t in enumerate(TEXTS)}
 
 
+def test_decoding_row_by_row(spark):
+    enc = E.encoder(E.vocabulary_path()).encode_ordinary
+    rows = [(1, enc("ab cd")), (1, enc("ef")), (None, enc("日本 x")), (2, []), (3, None)]
+    got = E.decode_ids(spark.createDataFrame(rows, "doc_id long, ids array<int>")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, "ab cd"), (1, "ef"), (None, "日本 x"), (2, ""), (3, None)], key=str)
+
+
 def test_empty_repeated_and_null_ids(spark):
     assert E.encode_corpus(rows(spark, []).limit(0)).count() == 0
     twice = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a")], "doc_id long, text string")
@@ -57,7 +64,7 @@ def contents(plan):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.dictionaries(st.integers(1, 2048), st.integers(1, 300), max_size=40), st.sampled_from(["largest", "cheapest"]))
+@given(st.dictionaries(st.integers(1, 2048), st.integers(1, 300), max_size=40), st.sampled_from([None, (256, 512, 1024, 2048), (512, 2048, 1024, 2048)]))
 def test_best_fit_places_every_item_once(histogram, policy):
     plan = P.best_fit(histogram, policy=policy)
     assert contents(plan) == Counter(histogram)
@@ -67,7 +74,21 @@ def test_best_fit_places_every_item_once(histogram, policy):
 def test_best_fit_is_tight():
     plan = P.best_fit({1500: 10, 548: 10, 1024: 6})
     assert sum(n for _, n in plan) == 13
-    assert sum(n for _, n, _ in P.cheapest({100: 1})) == 1 and P.cheapest({100: 1})[0][2] == 256
+    assert sum(n for _, n, _ in P.cheapest({100: 1})) == 1 and P.cheapest({100: 1})[0][2] == 256 and P.cheapest({}) == []
+
+
+def test_lengths_are_chosen_jointly():
+    """Long containers cost more than their length: a mix of lengths beats the largest one and the smallest ones."""
+    lengths, histogram = (256, 512, 1024, 2048), {1800: 5, 1000: 40, 200: 30, 90: 10}
+    costs = {256: 300, 512: 512, 1024: 1100, 2048: 2600}
+    joint = P.cost_of(P.cheapest(histogram, lengths, costs), costs)
+    largest = P.cost_of(P.sized(histogram, lengths), costs)
+    smallest = P.cost_of(P.sized(histogram, lengths, lengths), costs)
+    assert joint < min(largest, smallest)
+    assert contents([(c, n) for c, n, _ in P.cheapest(histogram, lengths, costs)]) == Counter(histogram)
+    many = tuple(range(128, 2049, 128))  # too many policies to try all
+    steep = {x: x + x * x / 1000 for x in many}
+    assert P.cost_of(P.cheapest(histogram, many, steep), steep) <= P.cost_of(P.sized(histogram, many), steep)
 
 
 @pytest.mark.parametrize("rank_rows", [3, 10**6])

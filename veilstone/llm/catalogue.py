@@ -61,16 +61,35 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, d, "documents"))
 
 
+def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.decode_ids(encoding.encode_corpus(table(spark, d, "documents")))
+
+
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(packing.token_counts(table(spark, d, "documents")))
 
 
+def p7_check(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the containers: one row, all of it zero but the number of texts."""
+    sizes = packing.token_counts(table(spark, d, "documents"))
+    placed = packing.pack(sizes)
+    loads = placed.where("container_id is not null").groupBy("container_id").agg(F.sum("n_tokens").alias("load"), F.max("container_length").alias("most"), F.min("container_length").alias("least"))
+    over = loads.agg(F.coalesce(F.sum(F.expr("int(load > most or most <> least or most > 2048)")), F.lit(0)).alias("overfull"))
+    own = placed.groupBy("doc_id").agg(F.sum("n_tokens").alias("placed"), F.count("*").alias("pieces"))
+    wrong = sizes.join(own, "doc_id", "left").agg(
+        F.count("*").alias("texts"),
+        F.coalesce(F.sum(F.expr("int(coalesce(placed, -1) <> n_tokens)")), F.lit(0)).alias("not_covered"),
+        F.coalesce(F.sum(F.expr("int(pieces <> greatest(1, ceil(n_tokens / 2048)))")), F.lit(0)).alias("split"),
+    )
+    return wrong.crossJoin(over).select("texts", "not_covered", "split", "overfull")  # two single rows
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sharedspans.shared_pairs(table(spark, d, "documents"))
 
 
 def p8_spans(spark: SparkSession, d: str) -> DataFrame:
-    return sharedspans.shared_spans(table(spark, d, "documents"))
+    return sharedspans.shared_spans(table(spark, d, "documents")).select("doc_id", F.inline("spans"))
 
 
 def p8_share(spark: SparkSession, d: str) -> DataFrame:
@@ -93,7 +112,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
     "p6_ids": p6_ids,
+    "p6_decoded": p6_decoded,
     "p7_containers": p7_containers,
+    "p7_check": p7_check,
     "p8_found": p8_found,
     "p8_spans": p8_spans,
     "p8_share": p8_share,
@@ -105,5 +126,12 @@ ORACLES: dict[str, str] = {
         f"WITH {_GRAMS}, c AS (SELECT doc_id, sum(least(200, coalesce(n - s, 200))) AS shared FROM (SELECT doc_id, s, lead(s) OVER (PARTITION BY doc_id ORDER BY s) AS n FROM x) GROUP BY doc_id) "
         "SELECT d.doc_id, CAST(coalesce(c.shared, 0) AS INTEGER) AS shared_chars, CAST(length(d.text) AS INTEGER) AS n_chars FROM documents d LEFT JOIN c USING (doc_id) WHERE d.text IS NOT NULL"
     ),
+    "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p7_check": "SELECT count(*) AS texts, 0 AS not_covered, 0 AS split, 0 AS overfull FROM documents",
+    "p8_spans": (
+        f"WITH {_GRAMS}, o AS (SELECT doc_id, s, sum(CASE WHEN s <= e THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM (SELECT doc_id, s, coalesce(lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 200, -1) AS e FROM x)), "
+        "r AS (SELECT doc_id, CAST(min(s) - 1 AS INTEGER) AS a, CAST(max(s) + 199 AS INTEGER) AS b FROM o GROUP BY doc_id, run), "
+        "SELECT doc_id, a AS span_start, b AS span_end FROM r UNION SELECT doc_id, 0, CAST(length(text) AS INTEGER) FROM documents WHERE length(text) >= 200 AND text IN (SELECT text FROM documents GROUP BY text HAVING count(*) > 1)"
+    ),
     "p4_found": "SELECT DISTINCT result_id FROM obfuscate_results WHERE length(text) > 2000",
 }

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from veilstone.runtime import cut
 
 #: Code points of text in a block; it bounds what one block needs in memory.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -129,6 +129,11 @@ def _assemble(left: pa.Table, right: pa.Table, kind: str) -> pa.Table:
     return pa.table({"doc_id": pa.chunked_array(out_ids, pa.int64()), "ids": pa.chunked_array(out_lists, pa.list_(pa.int32()))})
 
 
+def _tasks(blocks: int) -> int:
+    """Tasks that put blocks together: two blocks each, or up to 64 of them where there would be too many tasks."""
+    return max(1, -(-blocks // 2) if blocks <= 40_000 else max(20_000, -(-blocks // 64)))
+
+
 def encode_corpus(documents: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``(doc_id LONG, ids ARRAY<INT>)``, one row per document row, without special tokens.
 
@@ -147,17 +152,23 @@ def encode_corpus(documents: DataFrame, vocabulary: str | None = None, id_col: s
     def together(left: pa.Table, right: pa.Table) -> pa.Table:
         return _assemble(left, right, kind)
 
-    return skeleton.groupBy("block").cogroup(back.groupBy("home")).applyInArrow(together, "doc_id long, ids array<int>")
+    n = _tasks(blocks.count())  # read from the footers of the written table
+    return skeleton.repartition(n, "block").groupBy("block").cogroup(back.repartition(n, "home").groupBy("home")).applyInArrow(together, "doc_id long, ids array<int>")
 
 
 def decode_ids(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """``(doc_id, text)`` of ``(doc_id, ids)``: the ids joined with the token-byte table, which has a fixed size.
+    """``(doc_id, text)`` of ``(doc_id, ids)``, row by row: the ids looked up in the token-byte table, which has a fixed size.
 
-    An empty list gives the empty text, null gives null.
+    An empty list gives the empty text, null gives null; ids may repeat or be null. A list that isn't whole UTF-8, such as
+    a piece of a text, has the replacement character where bytes are missing.
     """
-    spark = encoded.sparkSession
-    table = spark.createDataFrame([(i, bytes(b)) for b, i in _ranks(vocabulary or vocabulary_path()).items()], "id int, token binary")
-    long = encoded.select("doc_id", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(table), "id")
-    joined = long.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.hex("token").alias("h")))).alias("p"))
-    text = joined.select("doc_id", F.decode(F.unhex(F.array_join(F.transform("p", lambda x: x["h"]), "")), "UTF-8").alias("t"))
-    return encoded.join(text, "doc_id", "left").select("doc_id", F.when(F.col("ids").isNull(), None).otherwise(F.coalesce("t", F.lit(""))).alias("text"))
+    path = vocabulary or vocabulary_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token = {i: b for b, i in _ranks(path).items()}
+        for b in batches:
+            texts = [None if ids is None else b"".join(map(token.__getitem__, ids)).decode("utf-8", "replace") for ids in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    own = encoded.schema["doc_id"].dataType.simpleString()
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {own}, text string")
