@@ -457,7 +457,7 @@ def _candidates(forms: DataFrame, common: int) -> DataFrame:
         right = side.select(*on, F.col("form").alias("b"), F.col("ids").alias("ids_b"))
         return side.select(*on, F.col("form").alias("a"), F.col("ids").alias("ids_a")).join(right, on).where("a < b").select("g", "a", "ids_a", "b", "ids_b")
 
-    by_initial = _by_initial(forms).unionByName(_by_romanisation(forms))
+    by_initial = _by_initial(forms)
     if hot.isEmpty():
         return pairs(blocks.drop("key"), ["g", "k"]).unionByName(by_initial)
     refined = blocks.join(hot, ["g", "k"], "left_semi").select("g", "k", "key", "form", "ids").mapInArrow(_other_letters, "g long, k long, form string, ids array<long>, letters array<string>")
@@ -465,35 +465,26 @@ def _candidates(forms: DataFrame, common: int) -> DataFrame:
     return pairs(blocks.join(hot, ["g", "k"], "left_anti").drop("key"), ["g", "k"]).unionByName(pairs(refined, ["g", "k", "fine"])).unionByName(by_initial)
 
 
-def _pairs_of(met: DataFrame) -> DataFrame:
-    """``(g, a, ids_a, b, ids_b)`` of ``(g, x, ids_x, y, ids_y)``."""
-    swap = F.col("x") < F.col("y")
-    return met.select("g", F.least("x", "y").alias("a"), F.when(swap, F.col("ids_x")).otherwise(F.col("ids_y")).alias("ids_a"), F.greatest("x", "y").alias("b"), F.when(swap, F.col("ids_y")).otherwise(F.col("ids_x")).alias("ids_b"))
-
-
-def _keyed(forms: DataFrame, kind: str, name: str) -> DataFrame:
-    """Forms with the keys of one kind, without the mark of that kind."""
-    own = F.transform(F.filter("keys", lambda k: k.startswith(kind)), lambda k: F.substr(k, F.lit(3)))
-    return forms.select("g", F.col("form").alias(name), F.col("ids").alias(f"ids_{name}"), F.explode(own).alias("key"), F.filter("keys", lambda k: k.startswith("s:")).alias(f"s_{name}"))
-
-
 def _by_initial(forms: DataFrame) -> DataFrame:
-    """Surnames with initials and the full names of their group that may be theirs.
+    """``(g, a, ids_a, b, ids_b)``: short forms and the full names of their group that may be theirs.
 
-    Only pairs without a common suffix; the others are candidates already.
+    Short forms are surnames with initials (by the initial and a letter of the surname; pairs with a common suffix are
+    candidates already) and Chinese names (by the suffix of their surname or given name, as romanised). Full names travel
+    only where their group has such a form.
     """
-    short = _keyed(forms, "i:", "x")
-    full = _keyed(forms.join(forms.where(F.exists("keys", lambda k: k.startswith("i:"))).select("g").distinct(), "g", "left_semi"), "f:", "y")
-    return _pairs_of(short.join(full, ["g", "key"]).where(~F.arrays_overlap("s_x", "s_y")))
-
-
-def _by_romanisation(forms: DataFrame) -> DataFrame:
-    """Chinese names and the Latin names of two words of their group that end like their surname or given name."""
-    chinese = _keyed(forms, "p:", "x")
+    of = lambda kind, to: F.transform(F.filter("keys", lambda k: k.startswith(kind)), lambda k: F.concat(F.lit(to), F.substr(k, F.lit(3))))
+    suffixes = F.filter("keys", lambda k: k.startswith("s:"))
+    none = F.array().cast("array<string>")
+    own = F.concat(of("i:", "i"), of("p:", "p"))
+    short = forms.select("g", own.alias("own"), F.when(F.exists("keys", lambda k: k.startswith("i:")), suffixes).otherwise(none).alias("s_x"), F.col("form").alias("x"), F.col("ids").alias("ids_x")).where(F.size("own") > 0)
+    groups = short.groupBy("g").agg(F.max(F.col("own")[0].startswith("i")).alias("initials"), F.max(F.col("own")[0].startswith("p")).alias("chinese"))
     parts = F.split("form", "\t")
-    two = forms.where((parts[1] == "name") & (parts[3] == "") & (F.size(parts) == 9))
-    latin = _keyed(two.join(forms.where(F.exists("keys", lambda k: k.startswith("p:"))).select("g").distinct(), "g", "left_semi"), "s:", "y")
-    return _pairs_of(chinese.join(latin, ["g", "key"]).select("g", "x", "ids_x", "y", "ids_y").dropDuplicates(["g", "x", "y"]))
+    two = (parts[1] == "name") & (parts[3] == "") & (F.size(parts) == 9)
+    full = forms.select("g", of("f:", "i").alias("f"), F.when(two, of("s:", "p")).otherwise(none).alias("p"), suffixes.alias("s_y"), F.col("form").alias("y"), F.col("ids").alias("ids_y")).where((F.size("f") > 0) | (F.size("p") > 0))
+    full = full.join(groups, "g").select("g", F.explode(F.concat(F.when(F.col("initials"), F.col("f")).otherwise(none), F.when(F.col("chinese"), F.col("p")).otherwise(none))).alias("key"), F.when(F.col("initials"), F.col("s_y")).otherwise(none).alias("s_y"), "y", "ids_y")
+    met = short.select("g", F.explode("own").alias("key"), "s_x", "x", "ids_x").join(full, ["g", "key"]).where(~F.arrays_overlap("s_x", "s_y"))
+    swap = F.col("x") < F.col("y")
+    return met.select("g", F.least("x", "y").alias("a"), F.when(swap, F.col("ids_x")).otherwise(F.col("ids_y")).alias("ids_a"), F.greatest("x", "y").alias("b"), F.when(swap, F.col("ids_y")).otherwise(F.col("ids_x")).alias("ids_b"))
 
 
 def same_names(records: DataFrame, places: frozenset[str] = frozenset(), known: frozenset[str] = frozenset(), common: int = COMMON) -> DataFrame:
