@@ -200,3 +200,68 @@ def test_stream_of_edits_and_repeated_deliveries(spark, tmp_path):
     ]
     got = sorted((r["session_id"] or "", r["doc_id"], r["text"]) for r in run_stream(spark, tmp_path, schema, parts))
     assert got == [("", 7, "[EMAIL_A]"), ("", 8, "[EMAIL_A]"), ("s", 0, "[EMAIL_A] blue"), ("s", 1, "a@x.example [OTHER_A] [EMAIL_B]"), ("s", 2, "[EMAIL_A] [EMAIL_C]")]
+
+
+def test_fetching_goes_on_and_checks(spark, tmp_path):
+    body = bytes(range(200))
+    spec = {"id": "m", "files": [{"name": "w.bin", "url": "u", "size": 200, "sha256": hashlib.sha256(body).hexdigest()}]}
+    asked = []
+
+    def source(url, offset, ranged=True, content=body):
+        asked.append(offset)
+        at = offset if ranged else 0
+        return ranged and offset > 0, [content[i : i + 60] for i in range(at, len(content), 60)]
+
+    left = iter([False, True])
+    assert not S.fetch_model(spec, tmp_path, source, stop=lambda: next(left)) and (tmp_path / "m/w.bin.part").stat().st_size == 60
+    assert S.fetch_model(spec, tmp_path, source) and asked == [0, 60] and (tmp_path / "m/w.bin").read_bytes() == body
+    assert S.fetch_model(spec, tmp_path, source) and len(asked) == 2  # whole files aren't fetched again
+    (tmp_path / "m/w.bin").unlink()
+    (tmp_path / "m/w.bin.part").write_bytes(b"x" * 300)
+    assert S.fetch_model(spec, tmp_path, source) and asked[-1] == 0
+    (tmp_path / "m/w.bin").unlink()
+    (tmp_path / "m/w.bin.part").write_bytes(body[:50])
+    assert S.fetch_model(spec, tmp_path, lambda u, o: source(u, o, ranged=False))
+    (tmp_path / "m/w.bin").unlink()
+    with pytest.raises(S.ChecksumError):
+        S.fetch_model(spec, tmp_path, lambda u, o: source(u, o, content=b"y" * 200))
+    assert not (tmp_path / "m/w.bin.part").exists() and not (tmp_path / "m/.installed").exists()
+    assert S.fetch_model(spec, tmp_path, source)
+    manifest = spark.createDataFrame([("m", [("w.bin", "u", 200, spec["files"][0]["sha256"])]), ("k", [("w.bin", "u", 200, "other")])], "id string, files array<struct<name:string,url:string,size:long,sha256:string>>")
+    text = (tmp_path / "m/.installed").read_text()
+    facts = spark.createDataFrame([("m", "w.bin", 200), ("k", "w.bin", 200)], "id string, name string, size long")
+    got = S.marked_models(manifest, spark.createDataFrame([("m", text), ("k", text)], "id string, text string"), facts)
+    assert {r["id"]: r["installed"] for r in got.collect()} == {"m": True, "k": False}
+    S.delete_model(tmp_path, "m")
+    assert not (tmp_path / "m").exists() and S.models_dir(spark, tmp_path) == tmp_path
+
+
+def test_licences(spark):
+    from veilstone.plans import closure as L
+
+    needs = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y"), ("a", None), ("c", "d")], "name string, requires string")
+    assert sorted(r["name"] for r in L.closure(needs, "a").collect()) == ["b", "c", "d"] and L.closure(needs, "zz").count() == 0
+    rows = [("MIT", True), ("GPL-2.0-only", False), ("LGPL-3.0-only OR GPL-2.0-only", True), ("UNKNOWN", False), (None, False), ("gpl-2.0-ONLY", False)]
+    got = spark.createDataFrame(rows, "l string, want boolean").select(L.compatible(F.col("l"), ["GPL-2.0-only", "Proprietary"]).alias("got"), "want").collect()
+    assert all(r["got"] == r["want"] for r in got)
+
+
+def test_html_with_anchors(spark):
+    from veilstone.operators.edits import highlight
+
+    row = spark.createDataFrame([("a<b>\n'c' & d", [(9, 10), (1, 2)]), ("x", []), (None, [])], "t string, s array<struct<start:int,end:int>>")
+    got = [r[0] for r in row.select(highlight(F.col("t"), F.col("s"), "red", "code")).collect()]
+    assert got == ['a<a href="code:0"><span style="background-color:red">&lt;</span></a>b&gt;<br>&#x27;c&#x27;<a href="code:1"><span style="background-color:red"> </span></a>&amp; d'.replace("<span style=\"background-color:red\"> </span></a>&amp;", '<span style="background-color:red">&amp;</span></a>').replace("&#x27;<a href", "&#x27; <a href"), "x", None]
+    assert "href" not in row.select(highlight(F.col("t"), F.col("s"))).first()[0]
+
+
+def test_numbered_labels_and_hot_sessions(spark):
+    from veilstone.operators import codebook as C
+
+    rows = spark.createDataFrame([("b", None, "2"), ("a", None, "1"), ("c", "mine", None)], "id string, label string, created_at string")
+    assert {r["id"]: r["label"] for r in S.numbered_labels(rows).collect()} == {"c": "mine", "a": "Session 2", "b": "Session 3"}
+    book = spark.createDataFrame([("s", f"v{i % 7}{'x' * (i % 3)}{i}", "A", f"[A_{D.code_letters(i // 2)}]", i) for i in range(60)], "session_id string, original string, label string, code string, ord long")
+    none = spark.createDataFrame([], "session_id string, original string, code string, ord long")
+    codes = book.select("session_id", "code").where("ord < 40")
+    for f in (lambda n: C.preview(book, n), lambda n: C.unmark(book, none, codes, n)[1]):
+        assert sorted(map(str, f(5).collect())) == sorted(map(str, f(10**6).collect()))

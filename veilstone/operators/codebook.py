@@ -76,15 +76,15 @@ def restore_lookup(book: DataFrame, ignored: DataFrame) -> DataFrame:
     return both.select("session_id", "code", F.coalesce("original", "retired").alias("original"))
 
 
-def preview(book: DataFrame) -> DataFrame:
+def preview(book: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """``(session_id, rank, code, originals)``: codes by label, length and code; their originals longest first."""
     keyed = F.array_sort(F.collect_list(F.struct((-F.length("original")).alias("n"), "ord", "original")))
     rows = book.groupBy("session_id", "code").agg(keyed.alias("k")).select("session_id", "code", F.transform("k", lambda x: x["original"]).alias("originals"), label_of_code(F.col("code")).alias("__label"))
-    order = Window.partitionBy("session_id").orderBy("__label", F.length("code"), "code")
-    return rows.withColumn("rank", F.row_number().over(order)).select("session_id", "rank", "code", "originals")
+    ranked = numbered(rows.withColumn("__size", F.length("code")), ["session_id"], ["__label", "__size", "code"], "__n", group_rows)
+    return ranked.select("session_id", (F.col("__n") + 1).cast("int").alias("rank"), "code", "originals")
 
 
-def unmark(book: DataFrame, ignored: DataFrame, codes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def unmark(book: DataFrame, ignored: DataFrame, codes: DataFrame, group_rows: int = GROUP_ROWS) -> tuple[DataFrame, DataFrame]:
     """Retires ``codes(session_id, code)``: the new code book and the new ignored table, in this order.
 
     Retired originals are appended longest first; numbers of codes are never used again.
@@ -93,8 +93,8 @@ def unmark(book: DataFrame, ignored: DataFrame, codes: DataFrame) -> tuple[DataF
     kept = book.join(chosen, ["session_id", "code"], "left_anti").select(*book.columns)
     gone = book.join(chosen, ["session_id", "code"], "left_semi")
     base = ignored.groupBy("session_id").agg((F.max("ord") + 1).alias("__base"))
-    order = Window.partitionBy("session_id").orderBy("code", -F.length("original"), "ord")
-    new = gone.withColumn("__n", F.row_number().over(order) - 1).join(base, "session_id", "left")
+    gone = gone.withColumn("__less", -F.length("original"))
+    new = numbered(gone, ["session_id"], ["code", "__less", "ord", "original"], "__n", group_rows).join(base, "session_id", "left")
     new = new.select("session_id", "original", "code", (F.col("__n") + F.coalesce("__base", F.lit(0))).cast("long").alias("ord"))
     return kept, ignored.select("session_id", "original", "code", F.col("ord").cast("long").alias("ord")).unionByName(new)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,13 +103,18 @@ def may_mark(selection: Column, session_id: Column) -> Column:
     return session_id.isNotNull() & selection.rlike("(?U)\\S") & ~selection.rlike("[\\n\\r\\x{2028}\\x{2029}]") & ~selection.rlike(CODE)
 
 
-def highlight(text: Column, spans: Column, color: str = "#ffe08a") -> Column:
-    """Text as HTML, escaped, line feeds as ``<br>``, spans marked."""
-    esc = lambda t: F.replace(F.replace(F.replace(F.replace(F.replace(F.replace(t, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;")), F.lit("'"), F.lit("&#x27;")), F.lit("\n"), F.lit("<br>"))
+def highlight(text: Column, spans: Column, color: str = "#ffe08a", link: str | None = None) -> Column:
+    """Text as HTML, escaped, line feeds as ``<br>``, spans marked; with ``link``, each mark is an anchor ``<link>:<number of the span>``."""
+    signs = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"), ("\n", "<br>"))
+    esc = lambda t: functools.reduce(lambda c, x: F.replace(c, F.lit(x[0]), F.lit(x[1])), signs, t)
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
 
-    def step(acc: Column, s: Column) -> Column:
-        marked = F.concat(F.lit(f'<span style="background-color:{color}">'), esc(F.substr(text, s["start"] + 1, s["end"] - s["start"])), F.lit("</span>"))
-        return F.struct(F.concat(acc["out"], esc(F.substr(text, acc["pos"] + 1, s["start"] - acc["pos"])), marked).alias("out"), s["end"].alias("pos"))
+    def part(s: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.try_element_at(ordered, i)["end"]).otherwise(F.lit(0))  # the end of the span before
+        mark = F.concat(F.lit(f'<span style="background-color:{color}">'), esc(F.substr(text, s["start"] + 1, s["end"] - s["start"])), F.lit("</span>"))
+        if link is not None:
+            mark = F.concat(F.lit(f'<a href="{link}:'), i.cast("string"), F.lit('">'), mark, F.lit("</a>"))
+        return F.concat(esc(F.substr(text, before + 1, s["start"] - before)), mark)
 
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    return F.aggregate(ordered, F.struct(F.lit("").alias("out"), F.lit(0).alias("pos")), step, lambda acc: F.concat(acc["out"], esc(F.substr(text, acc["pos"] + 1))))
+    rest = esc(F.substr(text, F.coalesce(F.try_element_at(ordered, F.lit(-1))["end"], F.lit(0)) + 1))
+    return F.concat(F.array_join(F.transform(ordered, part), ""), rest)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilstone.functions.matching import let
@@ -58,3 +58,15 @@ def recommend(texts: DataFrame, lookup: DataFrame, order: DataFrame, id_col: str
     counted = wanted.join(held, "code").groupBy("codes", "ord").agg(F.count("*").alias("matches"))
     best = counted.groupBy("codes").agg(F.max(F.struct("matches", (-F.col("ord")).alias("o"))).alias("b")).select("codes", F.col("b.matches").alias("matches"), (-F.col("b.o")).alias("ord"))
     return rows.join(best, "codes").join(ranks, "ord").select("id", "session_id", "matches")
+
+
+def sticky_choice(events: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """``events`` with ``chosen``: what is chosen after each, by ``best``, the recommendation, and ``manual``, a choice by hand.
+
+    A recommendation is taken only where it differs from that of the event before (one without any forgets it), so that
+    a choice by hand stays until the recommendation changes; before any choice there is null.
+    """
+    window = Window.partitionBy(group).orderBy(*order)
+    turned = F.col("best").isNotNull() & ~F.col("best").eqNullSafe(F.lag("best").over(window))
+    picked = F.coalesce("manual", F.when(turned, F.col("best")))
+    return events.withColumn("__picked", picked).withColumn("chosen", F.last("__picked", ignorenulls=True).over(window)).drop("__picked")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from veilstone.functions import text as T
 from veilstone.functions.matching import let
 from veilstone.operators import codebook, decoding, detectors, edits, fold, names, restore, rules, spans
+from veilstone.plans import closure
 from veilstone.runtime import fixed_table, spread, table
 from veilstone.sources import store
 
@@ -582,6 +583,32 @@ def session_codebook(spark: SparkSession, d: str) -> DataFrame:
     return fold.code_book(fold.obfuscate_sessions(documents(spark, d), names=given(spark, d)))
 
 
+@query(
+    "WITH e AS (SELECT user_id, event_id, ts, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END AS best, CASE WHEN event_id % 7 = 0 THEN 'hand' END AS manual FROM events), "
+    "p AS (SELECT *, coalesce(manual, CASE WHEN best IS NOT NULL AND best IS DISTINCT FROM lag(best) OVER w THEN best END) AS picked FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) "
+    "SELECT event_id, last_value(picked IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS chosen FROM p"
+)
+def sticky_choice(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select("user_id", "event_id", "ts", F.when(F.col("event_id") % 5 != 0, F.col("event_type")).alias("best"), F.when(F.col("event_id") % 7 == 0, F.lit("hand")).alias("manual"))
+    return restore.sticky_choice(rows, "user_id", ["ts", "event_id"]).select("event_id", "chosen")
+
+
+@query(
+    "WITH RECURSIVE e AS (SELECT CAST(n_nationkey AS VARCHAR) AS name, CAST((n_nationkey * 2 + k) % 30 AS VARCHAR) AS requires FROM nation, (SELECT unnest([1, 7]) AS k)), "
+    "c AS (SELECT requires AS name FROM e WHERE name = '0' UNION SELECT e.requires FROM c JOIN e USING (name)) SELECT name FROM c WHERE name <> '0'"
+)
+def dependency_closure(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("n_nationkey")
+    needs = table(spark, d, "nation").select(key.cast("string").alias("name"), F.explode(F.array(((key * 2 + 1) % 30).cast("string"), ((key * 2 + 7) % 30).cast("string"))).alias("requires"))
+    return closure.closure(needs, "0")
+
+
+@query("SELECT session_id, coalesce(label, 'Session ' || row_number() OVER (ORDER BY created_at, session_id)) AS label FROM (SELECT session_id, any_value(label) AS label, min(created_at) AS created_at FROM (SELECT DISTINCT session_id, label, created_at FROM sessions) GROUP BY session_id)")
+def session_labels(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "sessions").groupBy(F.col("session_id").alias("id")).agg(F.max("label").alias("label"), F.min("created_at").alias("created_at"))
+    return store.numbered_labels(rows).select(F.col("id").alias("session_id"), "label")
+
+
 # --- model output ----------------------------------------------------------------------------------------------------
 
 
@@ -640,6 +667,52 @@ def bio_decode(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("span_id", F.inline(decoding.decode_bio(F.col("text"), F.col("tokens"), {"PER": "PERSON", "LOC": "LOC"}))).select("span_id", "start", "end", "label", F.col("text").alias("value"))
 
 
+_KEYED = "k AS (SELECT l_orderkey AS doc_id, CAST(l_partkey % 5 AS INTEGER) AS s, CAST(l_partkey % 5 + 1 + l_suppkey % 2 AS INTEGER) AS e, CAST(l_linenumber AS INTEGER) AS prio FROM lineitem)"
+
+
+@query(f"WITH {_KEYED} SELECT doc_id, s AS span_start, e AS span_end, max(prio) AS prio FROM k GROUP BY ALL")
+def window_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    start = (F.col("l_partkey") % 5).cast("int")
+    one = F.struct(start.alias("start"), (start + 1 + F.col("l_suppkey") % 2).cast("int").alias("end"), F.lit("LOC").alias("label"), F.lit("x").alias("text"), F.lit(1.0).alias("score"), F.col("l_linenumber").cast("int").alias("prio"))
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.collect_list(one).alias("spans"))
+    ordered = F.array_sort("spans", lambda a, b: a["prio"] - b["prio"])
+    return rows.select("doc_id", F.inline(decoding.dedupe_windows(ordered))).select("doc_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "prio")
+
+
+@query(
+    "WITH s AS (SELECT DISTINCT span_id, text FROM spans), t AS (SELECT span_id, text, unnest(range(0, length(text) // 3)) AS i FROM s WHERE length(text) >= 3), g AS (SELECT *, ['B-P', 'I-P', 'E-P', 'O', 'S-Q', 'E-Q'][(i * i + length(text)) % 6 + 1] AS tag FROM t), "
+    "o AS (SELECT *, max(CASE WHEN left(tag, 1) IN ('B', 'S') THEN i END) OVER w AS opened, max(CASE WHEN left(tag, 1) IN ('E', 'S') THEN i END) OVER (PARTITION BY span_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS closed FROM g WINDOW w AS (PARTITION BY span_id ORDER BY i)), "
+    "f AS (SELECT o.span_id, o.text, o.opened * 3 AS a, o.i * 3 + 3 AS b, right(g.tag, 1) AS kind FROM o JOIN g ON g.span_id = o.span_id AND g.i = o.opened WHERE left(o.tag, 1) IN ('E', 'S') AND (o.closed IS NULL OR o.closed < o.opened)), "
+    f"c AS (SELECT *, regexp_replace(substring(text, a + 1, b - a), '^[{_SPACE}]+', '') AS core FROM f WHERE kind = 'P'), v AS (SELECT span_id, b - length(core) AS start, regexp_replace(core, '[{_SPACE}]+$', '') AS value FROM c) "
+    "SELECT span_id, CAST(start AS INTEGER) AS start, value FROM v WHERE value <> ''"
+)
+def bioes_emit(spark: SparkSession, d: str) -> DataFrame:
+    tags = F.array(*[F.lit(x) for x in ("B-P", "I-P", "E-P", "O", "S-Q", "E-Q")])
+    n = F.length("text")
+    tokens = F.transform(F.sequence(F.lit(0), F.floor(n / 3).cast("int") - 1), lambda i: F.struct((i * 3).alias("start"), (i * 3 + 3).alias("end"), F.element_at(tags, (F.pmod(i * i + n, F.lit(6)) + 1).cast("int")).alias("tag")))
+    rows = table(spark, d, "spans").dropDuplicates(["span_id"]).where(n >= 3).select("span_id", "text", tokens.alias("tokens"))
+    return rows.select("span_id", F.inline(decoding.emit_bioes(F.col("text"), F.col("tokens"), {"P": "PERSON"}))).select("span_id", "start", F.col("text").alias("value"))
+
+
+@query(
+    "WITH s AS (SELECT DISTINCT span_id, doc_id, span_start, span_end, coalesce(label, 'OTHER') AS label, text FROM spans WHERE length(text) > 1) SELECT doc_id, text AS value, arg_max(label, (span_start, span_end, span_id)) AS label FROM s GROUP BY doc_id, text"
+)
+def known_values(spark: SparkSession, d: str) -> DataFrame:
+    one = F.struct("span_start", "span_end", "span_id", F.coalesce("label", F.lit("OTHER")).alias("label"), "text")
+    rows = table(spark, d, "spans").where("text is not null").dropDuplicates(["span_id"]).groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("spans"))
+    return rows.select("doc_id", F.explode(spans.known_values(F.col("spans"))).alias("value", "label"))
+
+
+_TICKET = r"(?:ticket|case) #?[0-9]{2,}"
+
+
+@query(_located("CASE", _TICKET, "c IN ('t', 'c')", _FREE, "[^0-9]|$"))
+def custom_rule(spark: SparkSession, d: str) -> DataFrame:
+    rule = rules.Rule("case", "CASE", f"(?<![A-Za-z0-9_]){_TICKET}(?![0-9])")
+    found = spread(documents(spark, d).select("doc_id", "text")).select("doc_id", F.inline(rules.rule_spans(F.col("text"), (rule,))))
+    return found.select("doc_id", F.col("start").cast("long").alias("span_start"), "label", F.col("text").alias("value"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Codes all sessions of the documents; the coded text, the codes in it and how many."""
     return obfuscate_sessions(spark, d)
