@@ -243,3 +243,16 @@ def test_ranking_of_equal_sets_and_ties(spark):
     lookup = spark.createDataFrame([("q", "[A_A]"), ("q", "[A_B]"), ("p", "[A_A]"), ("p", "[A_B]"), ("r", "[A_A]"), ("r", "[A_C]"), ("r", "[A_A]")], "session_id string, code string")
     order = spark.createDataFrame([("p", 0), ("q", 1), ("r", 2)], "session_id string, ord int")
     assert sorted(map(tuple, restore.recommend(texts, lookup, order).collect())) == [(1, "p", 2), (2, "p", 2), (3, "r", 1)]
+
+
+def test_large_sessions_are_coded_as_by_the_fold(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("session_id", "seq", "doc_id", "text", "lang_choice", "scope")
+    names = sorted({r["name"] for r in spark.read.parquet(f"{data}/given_names.parquet").collect()})
+    book = spark.createDataFrame([(r["session_id"], "known value", "[OTHER_C]", 4) for r in docs.select("session_id").distinct().limit(3).collect() if r["session_id"]], "session_id string, original string, code string, ord long")
+    ignored = docs.where("session_id is not null").groupBy("session_id").agg(F.first(F.regexp_extract("text", "[A-Za-z0-9.]+@[A-Za-z.]+", 0), True).alias("original")).where("original <> ''").selectExpr("session_id", "original", "'[EMAIL_B]' AS code", "0L AS ord")
+    counters = spark.createDataFrame([(r["session_id"], "EMAIL", 3) for r in book.collect()], "session_id string, label string, n long")
+    more = docs.unionByName(docs.limit(5))  # delivered again
+    one = D.obfuscate_sessions(more, names=names, book=book, ignored=ignored, counters=counters, session_rows=None)
+    other = D.obfuscate_sessions(more, names=names, book=book, ignored=ignored, counters=counters, session_rows=1, chunk_rows=3)
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(one) == key(other) and one.count() == docs.count()
