@@ -18,9 +18,6 @@ from pyspark.sql import functions as F
 from veilstone.llm.unicode_data import Looks, looks
 from veilstone.runtime import cut
 
-FOUND_SCHEMA = "source_table string, id_a long, id_b long"
-
-
 
 def skeleton_column(text: F.Column | str, table: Looks) -> F.Column:
     """The skeleton of a column (Arrow batches); null stays null."""
