@@ -41,3 +41,28 @@ def test_restoring_joins_codes_instead_of_broadcasting_books(spark, data):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "Broadcast" not in text and "Cartesian" not in text and "NestedLoop" not in text
+
+
+def test_tables_of_a_scope_are_deleted_at_its_end(spark):
+    import os
+
+    from veilstone import runtime
+
+    runtime.drop_cuts(spark)
+    kept = runtime.cut(spark.range(3))
+    with runtime.scope(spark):
+        inner = runtime.cut(spark.range(4))
+        assert inner.count() == 4
+        path = runtime._CUTS[-1]
+    assert kept.count() == 3 and len(runtime._CUTS) == 1 and not os.path.exists(path.removeprefix("file://"))
+    assert runtime.drop_cuts(spark) == 1
+
+
+def test_tables_of_a_fixed_size_are_checked(spark):
+    import pytest
+
+    from veilstone import runtime
+
+    assert len(runtime.fixed_table(spark.range(5), 5)) == 5
+    with pytest.raises(ValueError):
+        runtime.fixed_table(spark.range(6), 5)

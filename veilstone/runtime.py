@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,6 +72,17 @@ def drop_cuts(spark: SparkSession) -> int:
     return n
 
 
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that :func:`cut` has written within it: a query is to be run and its result stored inside."""
+    outer, _CUTS[:] = list(_CUTS), []
+    try:
+        yield
+    finally:
+        drop_cuts(spark)
+        _CUTS[:] = outer
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as there are cores; unchanged where the scan already gives them."""
     cores = df.sparkSession.sparkContext.defaultParallelism
