@@ -51,6 +51,17 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_long(table(spark, d, "obfuscate_results"), "result_id", "text").withColumnRenamed("id", "result_id")
 
 
+def p4_check(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the pieces: every text covered in order, no piece above the limit, the overlap as asked."""
+    rows = table(spark, d, "obfuscate_results")
+    pieces = splitting.split_long(rows, "result_id", "text").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("piece_no", "piece_start", "piece_end", "piece"))).alias("p"))
+    got = rows.where("text is not null").dropDuplicates(["result_id"]).join(pieces, F.col("id") == F.col("result_id"), "left")
+    whole = F.array_join(F.transform("p", lambda x: F.when(x["piece_no"] == 0, x["piece"]).otherwise(F.substr(x["piece"], F.lit(splitting.OVERLAP + 1)))), "")
+    steps = F.exists(F.slice("p", 2, F.greatest(F.size("p"), F.lit(1))), lambda x: x["piece_start"] != F.element_at("p", x["piece_no"])["piece_end"] - splitting.OVERLAP)
+    count = lambda c: F.coalesce(F.sum(F.coalesce(c, F.lit(True)).cast("int")), F.lit(0)).cast("int")
+    return got.agg(F.count("*").alias("texts"), count(whole != F.col("text")).alias("not_covered"), count(F.exists("p", lambda x: F.length(x["piece"]) > splitting.LIMIT)).alias("too_long"), count(steps).alias("wrong_overlap"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     book = names.once_per_id(table(spark, d, "codebook"), "entry_id", "session_id", "original", "codebook")
     spans = names.first_spans(table(spark, d, "spans"))
@@ -110,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_forms": p3_forms,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p4_check": p4_check,
     "p5_found": p5_found,
     "p6_ids": p6_ids,
     "p6_decoded": p6_decoded,
@@ -126,6 +138,7 @@ ORACLES: dict[str, str] = {
         f"WITH {_GRAMS}, c AS (SELECT doc_id, sum(least(200, coalesce(n - s, 200))) AS shared FROM (SELECT doc_id, s, lead(s) OVER (PARTITION BY doc_id ORDER BY s) AS n FROM x) GROUP BY doc_id) "
         "SELECT d.doc_id, CAST(coalesce(c.shared, 0) AS INTEGER) AS shared_chars, CAST(length(d.text) AS INTEGER) AS n_chars FROM documents d LEFT JOIN c USING (doc_id) WHERE d.text IS NOT NULL"
     ),
+    "p4_check": "SELECT count(DISTINCT result_id) AS texts, 0 AS not_covered, 0 AS too_long, 0 AS wrong_overlap FROM obfuscate_results WHERE text IS NOT NULL",
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p7_check": "SELECT count(*) AS texts, 0 AS not_covered, 0 AS split, 0 AS overfull FROM documents",
     "p8_spans": (
