@@ -609,6 +609,28 @@ def session_labels(spark: SparkSession, d: str) -> DataFrame:
     return store.numbered_labels(rows).select(F.col("id").alias("session_id"), "label")
 
 
+@query("SELECT doc_id, text FROM documents")
+def sessions_reverted(spark: SparkSession, d: str) -> DataFrame:
+    """The coded documents with the original back in place of each code span: the documents themselves."""
+    coded = fold.obfuscate_sessions(documents(spark, d), names=given(spark, d))
+    before = lambda i: F.coalesce(F.try_element_at("code_spans", i)["end"], F.lit(0))
+    parts = F.transform("code_spans", lambda s, i: F.concat(F.substr("text", F.when(i > 0, before(F.greatest(i, F.lit(1)))).otherwise(0) + 1, s["start"] - F.when(i > 0, before(F.greatest(i, F.lit(1)))).otherwise(0)), F.element_at("originals", i + 1)))
+    return coded.select("doc_id", F.concat(F.array_join(parts, ""), F.substr("text", before(F.lit(-1)) + 1)).alias("text"))
+
+
+@query("SELECT 0 AS doubled, 0 AS misnumbered, 0 AS mislabelled, 0 AS gaps")
+def codebook_sound(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the code books of a fold, as counts of breaches: originals once, numbers without gaps, labels those of the codes."""
+    entries = fold.code_book(fold.obfuscate_sessions(documents(spark, d), names=given(spark, d)))
+    number = F.aggregate(F.split(F.regexp_extract("code", "_([A-Z]+)\\]$", 1), ""), F.lit(0).cast("long"), lambda a, c: F.when(c == "", a).otherwise(a * 26 + F.ascii(c) - 64)) - 1
+    rows = entries.withColumn("number", number)
+    once = rows.groupBy("session_id", "original").agg((F.count("*") - 1).alias("more")).agg(F.coalesce(F.sum("more"), F.lit(0)).cast("int").alias("doubled"))
+    labels = rows.agg(F.coalesce(F.sum((T.label_of_code(F.col("code")) != F.col("label")).cast("int")), F.lit(0)).cast("int").alias("mislabelled"))
+    numbers = rows.groupBy("session_id", "label").agg((F.max("number") + 1 - F.count_distinct("number")).alias("off")).agg(F.coalesce(F.sum("off"), F.lit(0)).cast("int").alias("misnumbered"))
+    order = rows.groupBy("session_id").agg((F.max("ord") + 1 - F.count_distinct("ord")).alias("off")).agg(F.coalesce(F.sum("off"), F.lit(0)).cast("int").alias("gaps"))
+    return once.crossJoin(numbers).crossJoin(labels).crossJoin(order)  # single rows
+
+
 # --- model output ----------------------------------------------------------------------------------------------------
 
 
