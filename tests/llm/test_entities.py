@@ -62,6 +62,22 @@ def test_large_blocks_lose_no_misspelt_street(spark, places):
     assert {p for p in pairs(spark, places, own + more) if p[1] < len(own)} == whole  # as many others of the number in the town change nothing
 
 
+def test_plans_stay_small_for_the_driver(spark, places, monkeypatch):
+    joins = []
+    monkeypatch.setattr(A, "cut", lambda df, real=A.cut: (joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join ")), real(df))[1])
+    assert pairs(spark, places, [f"7 {w} Lane, Lake Marren" for w in STREETS[:6]]) == {(0, 1), (2, 3), (4, 5)}
+    assert max(joins) <= 4
+
+
+def test_words_that_share_a_rest_meet_across_batches():
+    keys = [1, 1, 1, 2, 3, 3, 4, 4, 4, 4, 5]
+    want = {(a, b) for a in range(len(keys)) for b in range(a + 1, len(keys)) if keys[a] == keys[b]}
+    for n in (1, 2, 3, 4, 20):
+        batches = [A.pa.RecordBatch.from_pydict({"key": keys[i : i + n], "w": list(range(i, min(i + n, len(keys))))}) for i in range(0, len(keys), n)]
+        got = [tuple(r.values()) for b in A._runs(iter(batches)) for r in b.to_pylist()]
+        assert len(got) == len(want) and set(got) == want
+
+
 READ = [("10250 Santa Monica Blvd, Los Angeles, CA 90067", "10250"), ("12 Oak St", "12"), ("7 Elm St", "7"), ("123 5th Avenue", "123/5"), ("350 W 42nd St", "350/42"), ("123 Fifth Avenue", "123/5"), ("12-14 Oak Street", "12-14"), ("221A Baker Street", "221a"), ("221B Baker Street", "221b"), ("10250 Oak Street", "10250"), ("12 " + "Very " * 30 + "Long Road", "12"), ("台北市信義區市府路45號3樓", "///45-")]
 
 

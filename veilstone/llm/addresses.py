@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -276,10 +277,11 @@ def _forms(g: Gazetteer):
 def read_addresses(records: DataFrame, g: Gazetteer) -> DataFrame:
     """``(id, num, dig, style, kind, point, district, town, words)`` of the records that are addresses.
 
-    ``records`` has ``id, text``; null ids and texts, bare place names and other texts are left out.
+    ``records`` has ``id, text``; null ids and texts, bare place names and other texts are left out. Ids delivered again
+    count once.
     """
     shape = F.col("text").rlike(r"\p{Nd}|[號号]") & F.col("text").rlike(r"\p{L}{2,}|[路街道]") & ~F.col("text").rlike(r"@|://|\p{Nd}年") & (F.length("text") >= 5)
-    src = records.where(F.col("id").isNotNull() & shape).select(F.col("id").cast("long").alias("id"), "text")
+    src = records.where(F.col("id").isNotNull() & shape).select(F.col("id").cast("long").alias("id"), "text").dropDuplicates(["id"])
     return src.mapInArrow(_forms(g), "id long, " + FORM)
 
 
@@ -316,10 +318,11 @@ def link_forms(forms: DataFrame, edits: int = EDITS, overlap: float = OVERLAP) -
     words = forms.select("f", F.explode("words").alias("word"))
     df = words.groupBy("word").agg(F.count("*").alias("df"))
     weighted = words.join(df, "word").withColumn("weight", 1.0 / (1.0 + F.log1p("df"))).groupBy("f").agg(F.collect_list(F.struct("word", "weight")).alias("weighted"))
-    rich = cut(forms.join(weighted, "f"))
-    pairs = _blocks(rich, edits)
+    rich = cut(forms.join(weighted, "f")).select("f", F.struct(*PARTS, "words", "weighted").alias("x"))
+    pairs = cut(_blocks(forms, edits))
+    pairs = pairs.join(rich.select(F.col("f").alias("fa"), F.col("x").alias("a")), "fa").join(rich.select(F.col("f").alias("fb"), F.col("x").alias("b")), "fb")
     fits = _agree("kind") & _agree("point") & _agree("district") & _agree("town")
-    links = pairs.where(fits & _words_fit(edits, overlap)).select(F.col("a.f").alias("fa"), F.col("b.f").alias("fb"), *[F.struct(F.col(f"a.{c}").alias("a"), F.col(f"b.{c}").alias("b")).alias(c) for c in PARTS]).distinct()
+    links = pairs.where(fits & _words_fit(edits, overlap)).select("fa", "fb", *[F.struct(F.col(f"a.{c}").alias("a"), F.col(f"b.{c}").alias("b")).alias(c) for c in PARTS])
     links = cut(links)
     missing = [F.struct(F.col(mine).alias("f"), F.when(F.col(f"{c}.{side}") == "", F.lit(c)).alias("what"), F.col(f"{c}.{other}").alias("value")) for mine, side, other in (("fa", "a", "b"), ("fb", "b", "a")) for c in PARTS]
     filled = links.select(F.inline(F.array(*missing))).where("what is not null and value <> ''")
@@ -363,35 +366,57 @@ def _shortened(word: F.Column, edits: int) -> F.Column:
     return F.array_distinct(out)
 
 
-def _blocks(rich: DataFrame, edits: int) -> DataFrame:
-    """``(a, b)``: pairs of forms with the same digits, towns that agree, and a street word that is equal or nearly so.
-
-    Of the words of any pair that fits, two are equal or within the edits allowed. Nearly equal words are found among the
-    distinct words of a number by what is left of them after deletions. A form with a town meets those of its town and
-    those without; so neither a frequent number in many towns nor a town with many streets makes a block of all pairs.
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of the words ``w`` that follow each other under one ``key``, of rows sorted by it."""
+    keys, words = np.empty(0, np.int64), np.empty(0, np.int64)
+    for b in batches:
+        key, w = (b.column(i).to_numpy() for i in (0, 1))
+        old = len(keys)  # rows of the last key so far, paired already
+        keys, words = np.concatenate([keys, key]), np.concatenate([words, w])
+        step, at = 1, np.arange(len(keys))
+        while len(at := at[at + step < len(keys)]) and len(at := at[keys[at] == keys[at + step]]):
+            if len(fresh := at[at + step >= old]):
+                for i in range(0, len(fresh), 10_000):
+                    x, y = words[fresh[i : i + 10_000]], words[fresh[i : i + 10_000] + step]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["w", "o"])
+            step += 1
+        if len(keys):
+            last = np.searchsorted(keys, keys[-1])
+            keys, words = keys[last:], words[last:]
+
+
+def _slips(words: DataFrame, edits: int) -> DataFrame:
+    """``(dig, num, style, word, other)``, both ways: different words of a number that are within the edits allowed.
+
+    They are found by what is left of them after deletions. Of that only 64-bit hashes are shuffled, with numbers for the
+    words; the words decide.
     """
     on = ["dig", "num", "style"]
-    side = rich.select(*on, "town", F.explode("words").alias("word"), F.struct("f", "kind", "point", "district", "town", "words", "weighted").alias("a"))
-    distinct = side.select(*on, "word").distinct()
-    keys = distinct.select(*on, "word", F.explode(_shortened(F.col("word"), edits)).alias("rest")).withColumn("rest", F.xxhash64("rest"))
+    words = cut(words.select(*on, "word").distinct().withColumn("w", F.monotonically_increasing_id()))
+    rests = words.select(*on, "w", F.explode(_shortened(F.col("word"), edits)).alias("rest"))
+    keys = rests.select(F.xxhash64(*on, "rest").alias("key"), "w").repartition("key").sortWithinPartitions("key")
+    met = cut(keys.mapInArrow(_runs, "w long, o long").distinct())
+    other = words.select(F.col("w").alias("o"), F.col("word").alias("other"), F.struct(*on).alias("there"))
     fit = F.levenshtein("word", "other") <= F.greatest(_allowed(F.col("word"), edits), _allowed(F.col("other"), edits))
-    near = keys.join(keys.withColumnRenamed("word", "other"), [*on, "rest"]).where((F.col("word") < F.col("other")) & fit).select(*on, "word", "other").distinct()
-    pairs = []
-    with_town, without = side.where("town <> ''"), side.where("town = ''")
-    right = lambda d: d.withColumnRenamed("a", "b")
-    pairs.append(with_town.join(right(with_town), [*on, "town", "word"]).where("a.f < b.f").select("a", "b"))
-    pairs.append(without.join(right(without), [*on, "word"]).where("a.f < b.f").select("a", "b"))
-    pairs.append(without.drop("town").join(right(with_town).drop("town"), [*on, "word"]).select("a", "b"))
-    slips = near.unionByName(near.select(*on, F.col("other").alias("word"), F.col("word").alias("other")))
-    slipped = side.join(slips, [*on, "word"]).drop("word").withColumnRenamed("other", "word")
-    s_town, s_without = slipped.where("town <> ''"), slipped.where("town = ''")
-    pairs.append(s_town.join(right(with_town), [*on, "town", "word"]).where("a.f < b.f").select("a", "b"))
-    pairs.append(s_without.join(right(without), [*on, "word"]).where("a.f < b.f").select("a", "b"))
-    pairs.append(s_without.drop("town").join(right(with_town).drop("town"), [*on, "word"]).select("a", "b"))
-    both = pairs[0]
-    for p in pairs[1:]:
-        both = both.unionByName(p)
-    return both.select(F.when(F.col("a.f") < F.col("b.f"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("a.f") < F.col("b.f"), F.col("b")).otherwise(F.col("a")).alias("b"))
+    near = met.join(words, "w").join(other, "o").where((F.struct(*on) == F.col("there")) & (F.col("word") != F.col("other")) & fit)
+    return near.select(*on, F.inline(F.array(F.struct("word", "other"), F.struct(F.col("other").alias("word"), F.col("word").alias("other")))))
+
+
+def _blocks(forms: DataFrame, edits: int) -> DataFrame:
+    """``(fa, fb)``: pairs of forms with the same digits, towns that agree, and a street word that is equal or nearly so.
+
+    Of the words of any pair that fits, two are equal or within the edits allowed. A form with a town meets those of its
+    town and those without; so neither a frequent number in many towns nor a town with many streets makes a block of all
+    pairs. One join has it all: a form looks with its words and those near them, in its town and among those without;
+    it is found by its own words in its own town. Only numbers of forms are paired.
+    """
+    on = ["dig", "num", "style"]
+    side = cut(forms.select("f", *on, "town", F.explode("words").alias("word")))
+    near = side.join(cut(_slips(side, edits)), [*on, "word"]).drop("word").withColumnRenamed("other", "word")
+    looks = side.unionByName(near).withColumn("at", F.explode(F.array_distinct(F.array("town", F.lit("")))))
+    found = side.select(*on, F.col("town").alias("at"), "word", F.col("f").alias("o"))
+    once = (F.col("town") != F.col("at")) | (F.col("f") < F.col("o"))  # from within a town, or without one, both look
+    return looks.join(found, [*on, "at", "word"]).where(once).select(F.least("f", "o").alias("fa"), F.greatest("f", "o").alias("fb")).distinct()
 
 
 def same_place(records: DataFrame, g: Gazetteer, edits: int = EDITS, overlap: float = OVERLAP) -> DataFrame:
@@ -400,8 +425,7 @@ def same_place(records: DataFrame, g: Gazetteer, edits: int = EDITS, overlap: fl
     Ids delivered again count once. Records of the same form are linked without comparison; locations are the
     classes of linked forms, and each class is expanded to its pairs of records once.
     """
-    read = read_addresses(records.dropDuplicates(["id"]), g)
-    read = cut(read)
+    read = cut(read_addresses(records, g))
     forms = read.groupBy(*_OWN).agg(F.min("id").alias("f"))
     forms = cut(forms)
     labels = classes(link_forms(forms, edits, overlap))
