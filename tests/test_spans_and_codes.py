@@ -196,6 +196,28 @@ def test_recommend_against_counting(spark):
     assert {r["id"]: (r["session_id"], r["matches"]) for r in got.collect()} == want
 
 
+def test_recommend_compares_few_sets_with_the_same_result(spark):
+    random.seed(4)
+    codes = [f"[P_{chr(65 + k)}]" for k in range(20)]
+    books = {f"s{k}": set(codes[: random.randint(1, 20)]) | set(random.sample(codes, 2)) for k in range(300)} | {"odd": {"[Q_A]", codes[19]}}
+    lookup = spark.createDataFrame([(s, c) for s, held in books.items() for c in held], "session_id string, code string")
+    order = spark.createDataFrame([(s, k) for k, s in enumerate(books)], "session_id string, ord int")
+    texts = [(i, " ".join(random.choices([*codes, "[Q_A]", "[Z_Z]"], k=random.randint(0, 9)))) for i in range(200)]
+    want = {}
+    for i, t in texts:
+        n, k = max((len(held & set(t.split())), -k) for k, held in enumerate(books.values()))
+        if n:
+            want[i] = (list(books)[-k], n)
+    rows = spark.createDataFrame(texts, "id int, text string")
+    for most in (10**6, 0):
+        got = X.recommend(rows, lookup, order, most_codes=most)
+        assert {r["id"]: (r["session_id"], r["matches"]) for r in got.collect()} == want
+    held = lookup.join(order, "session_id").groupBy("ord", "session_id").agg(F.collect_set("code").alias("held"))
+    alone = [k for k, (s, h) in enumerate(books.items()) if not any(h <= x for x in list(books.values())[:k])]
+    assert sorted(r["ord"] for r in X._sets_to_compare(held).collect()) == alone
+    assert set(alone) <= {r["ord"] for r in X._sets_to_compare(held, 7).collect()}
+
+
 def test_edits_are_inverse(spark):
     text, originals = "a [P_A] b [P_B] c [P_A]", ["Ann Lee", "Bo", "Ann"]
     spans = [(2, 7, "P", "[P_A]"), (10, 15, "P", "[P_B]"), (18, 23, "P", "[P_A]")]
